@@ -64,22 +64,32 @@ def with_terms(df: DataFrame, text: str, n_max=1, out="terms") -> DataFrame:
 def vocabulary(df: DataFrame, terms="terms", min_df=MIN_DF, max_features=MAX_FEATURES) -> DataFrame:
     """The most frequent terms: (term, df, cf), ties by term.
 
-    Each document emits its terms once for the total count and once, distinct,
-    for the document count. Both are summed in one aggregation with a partial
-    step, so documents are never regrouped.
+    Each document emits its distinct terms and then all its terms; the place in
+    that list tells which count a term adds to. One aggregation with a partial
+    step sums both, so documents are never regrouped. The lowest count that
+    can still be in is taken from a histogram of the counts, so that the final
+    order holds little more than ``max_features`` rows.
     """
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    occurrences = F.transform(terms, lambda t: F.struct(t.alias("term"), zero.alias("df"), one.alias("cf")))
-    documents = F.transform(
-        F.array_distinct(terms), lambda t: F.struct(t.alias("term"), one.alias("df"), zero.alias("cf"))
-    )
+    n_distinct = F.size("_distinct")
     counts = (
-        df.select(F.inline(F.concat(occurrences, documents)))
+        df.select(terms, F.array_distinct(terms).alias("_distinct"))
+        .select(n_distinct.alias("_n"), F.posexplode(F.concat("_distinct", terms)).alias("_i", "term"))
         .groupBy("term")
-        .agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        .agg(F.count_if(F.col("_i") < F.col("_n")).alias("df"), F.count_if(F.col("_i") >= F.col("_n")).alias("cf"))
         .filter(F.col("df") >= min_df)
     )
-    return counts.orderBy(F.desc("cf"), "term").limit(max_features) if max_features else counts
+    if not max_features:
+        return counts
+    running = Window.partitionBy().orderBy(F.desc("cf"))
+    lowest = (
+        counts.groupBy("cf")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("higher", F.sum("n").over(running) - F.col("n"))
+        .filter(F.col("higher") < max_features)
+        .agg(F.min("cf"))
+        .scalar()
+    )
+    return counts.filter(F.col("cf") >= lowest).orderBy(F.desc("cf"), "term").limit(max_features)
 
 
 def idf(terms: DataFrame, n_documents) -> DataFrame:
@@ -142,29 +152,15 @@ def sparse_parts(vector):
     return F.unwrap_udt(vector)
 
 
-def _weights(features: DataFrame, model, sublinear):
-    """Per row: term indices and TF-IDF values; values of a row have length 1."""
-    if not sublinear:
-        return features.withColumn("_parts", sparse_parts(FEATURES)).withColumns(
-            {"_indices": F.col("_parts.indices"), "_values": F.col("_parts.values")}
-        )
-    scale = next(s for s in model.stages if isinstance(s, ElementwiseProduct))
-    presence = CountVectorizerModel.from_vocabulary(
-        feature_terms(model), inputCol="_present", outputCol="_presence", binary=True
-    )
-    with_idf = ElementwiseProduct(scalingVec=scale.getScalingVec(), inputCol="_presence", outputCol="_idf")
+def _with_damped(features):
+    """Add ``_indices`` and ``_values``: (1 + ln(count)) * idf of each entry.
+
+    Counts and weighted counts share their indices, and their ratio is the idf.
+    """
     damped = F.zip_with(
-        sparse_parts(TF)["values"], sparse_parts("_idf")["values"], lambda tf, idf: (1 + F.log(tf)) * idf
-    )
-    length = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x * x))
-    present = features.withColumn("_present", F.array_distinct(TERMS))
-    return (
-        with_idf.transform(presence.transform(present))
-        .withColumn("_indices", sparse_parts(TF)["indices"])
-        .withColumn("_raw", damped)
-        .withColumn("_length", length)
-        .withColumn("_values", F.transform("_raw", lambda x: x / F.col("_length")))
+        sparse_parts(TF)["values"], sparse_parts(WEIGHTED)["values"], lambda tf, w: (1 + F.log(tf)) * w / tf
     )
+    return features.withColumn("_indices", sparse_parts(TF)["indices"]).withColumn("_values", damped)
 
 
 def tfidf_table(df: DataFrame, model: PipelineModel, text: str, id_col: str, sublinear=False) -> DataFrame:
@@ -174,30 +170,42 @@ def tfidf_table(df: DataFrame, model: PipelineModel, text: str, id_col: str, sub
     term names has at most ``max_features`` rows.
     """
     features = model.transform(df.select(id_col, F.col(text).alias(TEXT)))
-    weighted = _weights(features, model, sublinear)
-    entries = weighted.select(id_col, F.inline(F.arrays_zip(F.col("_indices").alias("i"), F.col("_values").alias("w"))))
+    if sublinear:
+        square = F.aggregate("_values", F.lit(0.0), lambda a, x: a + x * x)
+        parts = _with_damped(features).withColumn("_length", F.sqrt(square))
+    else:
+        vector = sparse_parts(FEATURES)
+        parts = features.select(
+            id_col, vector["indices"].alias("_indices"), vector["values"].alias("_values"), F.lit(1.0).alias("_length")
+        )
+    entries = parts.select(
+        id_col, "_length", F.inline(F.arrays_zip(F.col("_indices").alias("i"), F.col("_values").alias("w")))
+    )
     terms = F.broadcast(_vocabulary_frame(df.sparkSession, model))
-    return entries.join(terms, F.col("i") == F.col("term_index")).select(id_col, "term", F.col("w").alias("weight"))
+    return entries.join(terms, F.col("i") == F.col("term_index")).select(
+        id_col, "term", (F.col("w") / F.col("_length")).alias("weight")
+    )
 
 
 def sublinear_features(df: DataFrame, model: PipelineModel, text: str) -> DataFrame:
     """Add TF-IDF vectors with damped counts, as the one-domain models used.
 
     No built-in stage takes the logarithm of a vector, so index and value
-    lists are staged in the layout of a vector and read back as vectors.
+    lists are staged in the layout of a vector, read back as vectors, and
+    scaled to length 1.
     """
-    size = len(feature_terms(model))
-    weighted = _weights(model.transform(df.withColumn(TEXT, F.col(text))), model, True)
     parts = F.struct(
         F.lit(0).cast("byte").alias("type"),
-        F.lit(size).alias("size"),
+        F.lit(len(feature_terms(model))).alias("size"),
         F.col("_indices").alias("indices"),
         F.col("_values").alias("values"),
     )
     path = stage_path(df.sparkSession, "sublinear")
-    weighted.select(*df.columns, parts.alias(FEATURES)).write.parquet(path)
-    schema = T.StructType([*df.schema.fields, T.StructField(FEATURES, VectorUDT())])
-    return df.sparkSession.read.schema(schema).parquet(path)
+    damped = _with_damped(model.transform(df.withColumn(TEXT, F.col(text))))
+    damped.select(*df.columns, parts.alias(WEIGHTED)).write.parquet(path)
+    schema = T.StructType([*df.schema.fields, T.StructField(WEIGHTED, VectorUDT())])
+    vectors = df.sparkSession.read.schema(schema).parquet(path)
+    return Normalizer(p=2.0, inputCol=WEIGHTED, outputCol=FEATURES).transform(vectors).drop(WEIGHTED)
 
 
 def feature_stats(features: DataFrame, model: PipelineModel, vector=FEATURES) -> DataFrame:

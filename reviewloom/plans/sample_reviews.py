@@ -11,8 +11,19 @@ from reviewloom.functions.labels import star_sentiment
 from reviewloom.schema import NEGATIVE, NEUTRAL, POSITIVE
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A sample table; texts in fewer splits than cores are spread over all cores.
+
+    Only a table smaller than one split per core is ever moved for that.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def sample_reviews(spark: SparkSession, sf_dir: str, products=97) -> DataFrame:
