@@ -9,7 +9,7 @@ shuffle.
 import math
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,13 +116,16 @@ def fit_features(
     rows = vocabulary(prepared, TERMS, min_df, max_features).collect()
     if not rows:
         raise ValueError("no term occurs in enough documents")
-    rows.sort(key=lambda r: r.term)
     n = train.count()
-    weights = Vectors.dense([math.log((1 + n) / (1 + r.df)) + 1 for r in rows])
+    idf_of = {r.term: math.log((1 + n) / (1 + r.df)) + 1 for r in rows}
+    # Fitting on the chosen terms, one per row, makes them the vocabulary.
+    chosen = train.sparkSession.createDataFrame([([term],) for term in sorted(idf_of)], f"{TERMS} array<string>")
+    counter = CountVectorizer(inputCol=TERMS, outputCol=TF, vocabSize=len(rows), minDF=1).fit(chosen.coalesce(1))
+    weights = Vectors.dense([idf_of[term] for term in counter.vocabulary])
     return PipelineModel(
         stages
         + [
-            CountVectorizerModel.from_vocabulary([r.term for r in rows], inputCol=TERMS, outputCol=TF),
+            counter,
             ElementwiseProduct(scalingVec=weights, inputCol=TF, outputCol=WEIGHTED),
             Normalizer(p=2.0, inputCol=WEIGHTED, outputCol=FEATURES),
         ]
