@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reviewloom.functions.labels import label_index, label_name, text_representation
 from reviewloom.functions.text import preprocess
 from reviewloom.operators import features as X
-from reviewloom.operators.metrics import class_metrics, overall_metrics
+from reviewloom.operators.metrics import classification_report
 from reviewloom.schema import LABELS
 from reviewloom.session import stage
 
@@ -28,6 +28,9 @@ EXPERIMENTS = (
 
 MAX_ITER = 1000
 
+# Vector entries that keep one solver task busy, about 24 MB.
+ENTRIES_PER_PARTITION = 2_000_000
+
 
 def class_weights(df: DataFrame, label="sentiment") -> DataFrame:
     """Per class: n / (classes * rows of the class)."""
@@ -49,9 +52,14 @@ def fit_logistic(
 
     ``train`` holds the vector, the label index and the row weight. Spark
     averages the loss over the weights, hence the division by their sum.
-    Raise ``aggregation_depth`` with the number of partitions.
+    Every iteration is a job, so a small table is packed into few partitions;
+    a large one keeps its own. Raise ``aggregation_depth`` with their number.
     """
-    total = train.agg(F.sum(WEIGHT)).first()[0]
+    entries = F.size(X.sparse_parts(features)["values"])
+    total, n_entries = train.agg(F.sum(WEIGHT), F.sum(entries)).first()
+    needed = 1 + (n_entries or 0) // ENTRIES_PER_PARTITION
+    if needed < train.sparkSession.sparkContext.defaultParallelism:
+        train = train.coalesce(needed)
     return LogisticRegression(
         family="multinomial",
         featuresCol=features,
@@ -188,10 +196,17 @@ def fit_sentiment_model(
 
 
 def _metrics_row(scored, label):
-    overall = overall_metrics(scored, label).first().asDict()
-    row = {k: overall[k] for k in ("accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_f1")}
-    for r in class_metrics(scored, label).collect():
-        row |= {f"{m}_{r.label}": r[m] for m in ("precision", "recall", "f1")}
+    report = {r.row: r for r in classification_report(scored, label).collect()}
+    macro = report["macro avg"]
+    row = {
+        "accuracy": report["accuracy"].f1,
+        "macro_precision": macro.precision,
+        "macro_recall": macro.recall,
+        "macro_f1": macro.f1,
+        "weighted_f1": report["weighted avg"].f1,
+    }
+    for c in LABELS:
+        row |= {f"{m}_{c}": report[c][m] for m in ("precision", "recall", "f1")}
     return row
 
 

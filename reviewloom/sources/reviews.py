@@ -14,7 +14,9 @@ def read_reviews(spark: SparkSession, path: str, schema=REVIEW_SCHEMA, file_form
 
     ``schema=None`` takes the column names from the CSV header and reads every
     column as text, for uploads of unknown shape. Quoted fields may hold line
-    ends and doubled quotes. A missing path is an error.
+    ends and doubled quotes; empty fields are NULL. A missing path is an error.
+    Because of the line ends a CSV file is one task: keep large tables in
+    Parquet, or in many files.
     """
     file_format = file_format or ("csv" if str(path).endswith((".csv", ".csv.gz")) else "parquet")
     if file_format == "parquet":

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def write_table(df: DataFrame, path: str, file_format="parquet", mode="overwrite", partition_by=()):
-    """Write a table; CSV gets a header and keeps empty strings apart from NULL."""
+    """Write a table; CSV gets a header and keeps outer spaces; empty text reads back as NULL."""
     writer = df.write.mode(mode).partitionBy(*partition_by)
     if file_format == "csv":
-        writer.options(header=True, quote='"', escape='"', emptyValue='""').csv(path)
+        writer.options(
+            header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        ).csv(path)
     elif file_format == "parquet":
         writer.parquet(path)
     else:
