@@ -102,17 +102,35 @@ def row_digest(columns):
     return F.unhex(F.sha2(F.concat(*parts), 256))
 
 
+def _repeats(df, digests):
+    """Rows that repeat an earlier digest, one column per named digest.
+
+    All digests are counted in one shuffle. A NULL digest repeats nothing.
+    """
+    rows = F.array(*[F.struct(F.lit(name).alias("_name"), d.alias("_digest")) for name, d in digests.items()])
+    digested = df.select(F.inline(rows)).filter(F.col("_digest").isNotNull())
+    groups = digested.groupBy("_name", "_digest").agg(F.count(F.lit(1)).alias("n"))
+    return groups.agg(
+        *[
+            F.coalesce(F.sum(F.when(F.col("_name") == name, F.col("n") - 1)), F.lit(0)).alias(name)
+            for name in digests
+        ]
+    )
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """How many rows repeat an earlier complete row; NULLs are equal."""
-    groups = df.groupBy(row_digest(df.columns).alias("_row")).agg(F.count(F.lit(1)).alias("n"))
-    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicate_rows"))
+    return _repeats(df, {"n_duplicate_rows": row_digest(df.columns)})
 
 
 def duplicate_values(df: DataFrame, column: str, drop_null=False) -> DataFrame:
     """How many rows repeat an earlier value; NULL is one value or left out."""
-    source = df.filter(F.col(column).isNotNull()) if drop_null else df
-    groups = source.groupBy(text_digest(column).alias("_key")).agg(F.count(F.lit(1)).alias("n"))
-    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"))
+    return _repeats(df, {"n_duplicates": text_digest(column) if drop_null else _value_digest(column)})
+
+
+def _value_digest(column):
+    """The digest of a text; NULL gets one of its own."""
+    return F.coalesce(text_digest(column), F.unhex(F.lit("00")))
 
 
 def histogram_stats(histogram: DataFrame, by: str, value="value", n="n") -> DataFrame:
@@ -149,10 +167,19 @@ def histogram_stats(histogram: DataFrame, by: str, value="value", n="n") -> Data
     )
 
 
-def group_size_stats(df: DataFrame, key: str) -> DataFrame:
-    """Statistics of the rows per key (``product_id`` or ``reviewer_id``)."""
-    sizes = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("value"))
-    histogram = sizes.groupBy(F.lit(key).alias("key"), "value").agg(F.count(F.lit(1)).alias("n"))
+def group_size_stats(df: DataFrame, *keys: str) -> DataFrame:
+    """Statistics of the rows per value of each key, one row per key.
+
+    ``n_groups`` is the number of distinct values. NULL is no value.
+    """
+    values = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("_id")) for k in keys])
+    sizes = (
+        df.select(F.inline(values))
+        .filter(F.col("_id").isNotNull())
+        .groupBy("key", "_id")
+        .agg(F.count(F.lit(1)).alias("value"))
+    )
+    histogram = sizes.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
     return histogram_stats(histogram, "key").withColumnRenamed("n", "n_groups")
 
 
@@ -184,26 +211,39 @@ def category_by_stars(df: DataFrame, category="product_category", stars="stars")
     return crosstab(df, category, stars, STARS, prefix="stars_")
 
 
-def _section(name, df, payload):
-    return df.select(F.lit(name).alias("section"), F.to_json(payload).alias("payload"))
-
-
-def _counts_section(name, df, key, value="n"):
-    """A section that maps each value to its count; values are few by nature."""
+def _json_map(df, key, value="n"):
+    """JSON of value -> count, as a scalar; such values are few by nature."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("key"), F.col(value).alias("value"))))
-    return _section(name, df.agg(F.map_from_entries(pairs).alias("m")), F.col("m"))
+    return df.agg(F.to_json(F.map_from_entries(pairs))).scalar()
 
 
-def _row_section(name, df):
-    return _section(name, df, F.struct(*df.columns))
+def _struct_of(columns, prefix):
+    return F.struct(*[F.col(f"{prefix}_{i}").alias(c) for i, c in columns])
 
 
 def audit_report(df: DataFrame) -> DataFrame:
     """The whole audit as one JSON document in the column ``report``.
 
-    Distributions and crosstabs share one small (category, stars, language)
-    aggregate instead of reading the table once each.
+    Five reads of the table: one aggregate of counts, one of ids, one of
+    digests, one of lengths, and one of (category, stars, language), from which
+    all distributions and crosstabs follow.
     """
+    columns = list(enumerate(df.columns))
+    texts = [(i, f.name) for i, f in enumerate(df.schema) if isinstance(f.dataType, T.StringType)]
+    facts = df.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(~valid_stars("stars")).alias("invalid_stars"),
+        *[F.count_if(F.col(c).isNull()).alias(f"null_{i}") for i, c in columns],
+        *[F.count_if(is_blank(c)).alias(f"blank_{i}") for i, c in texts],
+    )
+    repeats = _repeats(
+        df,
+        {
+            "complete_rows": row_digest(df.columns),
+            "review_bodies": _value_digest("review_body"),
+            "review_titles": text_digest("review_title"),
+        },
+    )
     cells = df.groupBy("product_category", "stars", "language").agg(F.count(F.lit(1)).alias("n"))
     cells = cells.withColumn("sentiment", star_sentiment("stars"))
 
@@ -215,35 +255,25 @@ def audit_report(df: DataFrame) -> DataFrame:
         table = cells.filter(F.col("product_category").isNotNull()).groupBy("product_category").agg(*sums)
         return table.select("product_category", F.struct(*[str(v) for v in values]).alias("n"))
 
-    profile = column_profile(df)
-    lengths = length_stats(df)
-    stats = F.struct("mean", "std", "min", "max", "median")
-    sections = [
-        _row_section("shape", shape(df)),
-        _counts_section("column_types", profile, "column_name", "data_type"),
-        _counts_section("missing_values", profile, "column_name", "n_null"),
-        _counts_section("empty_strings", profile.filter("n_blank IS NOT NULL"), "column_name", "n_blank"),
-        _row_section("invalid_stars", invalid_star_count(df)),
-        _row_section("distinct_ids", distinct_counts(df)),
-        _row_section("duplicate_complete_rows", duplicate_rows(df)),
-        _row_section("duplicate_review_bodies", duplicate_values(df, "review_body")),
-        _row_section("duplicate_review_titles", duplicate_values(df, "review_title", drop_null=True)),
-        _row_section("reviews_per_product", group_size_stats(df, "product_id").drop("key")),
-        _row_section("reviews_per_reviewer", group_size_stats(df, "reviewer_id").drop("key")),
-        _counts_section("text_lengths", lengths.select("measure", stats.alias("n")), "measure"),
-        _counts_section("language_distribution", distribution("language"), "language"),
-        _counts_section("category_distribution", distribution("product_category"), "product_category"),
-        _counts_section("star_distribution", distribution("stars"), "stars"),
-        _counts_section("sentiment_distribution", distribution("sentiment"), "sentiment"),
-        _counts_section("sentiment_percent", _with_percent(distribution("sentiment")), "sentiment", "percent"),
-        _counts_section("category_by_sentiment", cross("sentiment", LABELS + (INVALID,)), "product_category"),
-        _counts_section("category_by_stars", cross("stars", STARS), "product_category"),
-    ]
-    document = sections[0]
-    for section in sections[1:]:
-        document = document.unionByName(section)
-    members = F.transform(
-        F.array_sort(F.collect_list(F.struct("section", "payload"))),
-        lambda s: F.concat(F.lit('"'), s["section"], F.lit('":'), s["payload"]),
-    )
-    return document.agg(F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")).alias("report"))
+    stats = F.struct("mean", "std", "min", "max", "median", "q25", "q75")
+    ids = group_size_stats(df, "review_id", "product_id", "reviewer_id")
+    sections = {
+        "shape": F.to_json(F.struct("n_rows", F.lit(len(df.columns)).alias("n_columns"))),
+        "column_types": F.to_json(F.struct(*[F.lit(t).alias(c) for c, t in df.dtypes])),
+        "missing_values": F.to_json(_struct_of(columns, "null")),
+        "empty_strings": F.to_json(_struct_of(texts, "blank")),
+        "invalid_stars": F.to_json(F.struct("invalid_stars")),
+        "duplicates": repeats.select(F.to_json(F.struct(*repeats.columns))).scalar(),
+        "distinct_ids": _json_map(ids, "key", "n_groups"),
+        "reviews_per_id": _json_map(ids.select("key", stats.alias("n")), "key"),
+        "text_lengths": _json_map(length_stats(df).select("measure", stats.alias("n")), "measure"),
+        "language_distribution": _json_map(distribution("language"), "language"),
+        "category_distribution": _json_map(distribution("product_category"), "product_category"),
+        "star_distribution": _json_map(distribution("stars"), "stars"),
+        "sentiment_distribution": _json_map(distribution("sentiment"), "sentiment"),
+        "sentiment_percent": _json_map(_with_percent(distribution("sentiment")), "sentiment", "percent"),
+        "category_by_sentiment": _json_map(cross("sentiment", LABELS + (INVALID,)), "product_category"),
+        "category_by_stars": _json_map(cross("stars", STARS), "product_category"),
+    }
+    members = [F.concat(F.lit(f'"{name}":'), payload) for name, payload in sections.items()]
+    return facts.select(F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}")).alias("report"))

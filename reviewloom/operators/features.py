@@ -166,27 +166,28 @@ def _with_damped(features):
     return features.withColumn("_indices", sparse_parts(TF)["indices"]).withColumn("_values", damped)
 
 
-def tfidf_table(df: DataFrame, model: PipelineModel, text: str, id_col: str, sublinear=False) -> DataFrame:
-    """Long form (id, term, weight) of the TF-IDF vectors.
+def tfidf_table(df: DataFrame, model: PipelineModel, text: str, *keep: str, sublinear=False) -> DataFrame:
+    """Long form (kept columns, term, weight) of the TF-IDF vectors.
 
-    ``sublinear`` damps counts to 1 + ln(count). The vocabulary joined for the
+    ``keep`` names the id and whatever else each entry shall carry, a label for
+    one, so that it need not be joined to the many entries later. ``sublinear`` damps counts to 1 + ln(count). The vocabulary joined for the
     term names has at most ``max_features`` rows.
     """
-    features = model.transform(df.select(id_col, F.col(text).alias(TEXT)))
+    features = model.transform(df.select(*keep, F.col(text).alias(TEXT)))
     if sublinear:
         square = F.aggregate("_values", F.lit(0.0), lambda a, x: a + x * x)
         parts = _with_damped(features).withColumn("_length", F.sqrt(square))
     else:
         vector = sparse_parts(FEATURES)
         parts = features.select(
-            id_col, vector["indices"].alias("_indices"), vector["values"].alias("_values"), F.lit(1.0).alias("_length")
+            *keep, vector["indices"].alias("_indices"), vector["values"].alias("_values"), F.lit(1.0).alias("_length")
         )
     entries = parts.select(
-        id_col, "_length", F.inline(F.arrays_zip(F.col("_indices").alias("i"), F.col("_values").alias("w")))
+        *keep, "_length", F.inline(F.arrays_zip(F.col("_indices").alias("i"), F.col("_values").alias("w")))
     )
     terms = F.broadcast(_vocabulary_frame(df.sparkSession, model))
     return entries.join(terms, F.col("i") == F.col("term_index")).select(
-        id_col, "term", (F.col("w") / F.col("_length")).alias("weight")
+        *keep, "term", (F.col("w") / F.col("_length")).alias("weight")
     )
 
 

@@ -93,15 +93,14 @@ def fit_naive_bayes(train: DataFrame, smoothing=1.0, features=X.FEATURES):
     ).fit(train)
 
 
-def naive_bayes_table(weights: DataFrame, labels: DataFrame, id_col: str, label="sentiment", smoothing=1.0):
+def naive_bayes_table(weights: DataFrame, rows: DataFrame, label="sentiment", smoothing=1.0):
     """Naive Bayes from a long TF-IDF table: (class, term, log_prob), (class, log_prior).
 
-    ``labels`` holds id and label of every training row. One row per term with
-    a sum per class is all that leaves the aggregation.
+    ``weights`` carries the label of its row; ``rows`` are all training rows.
+    One row per term with a sum per class is all that leaves the aggregation.
     """
     sums = (
-        weights.join(labels.select(id_col, label), id_col)
-        .groupBy("term")
+        weights.groupBy("term")
         .agg(*[F.coalesce(F.sum(F.when(F.col(label) == c, F.col("weight"))), F.lit(0.0)).alias(c) for c in LABELS])
     )
     sums = stage(sums, "naive-bayes-sums")
@@ -112,7 +111,7 @@ def naive_bayes_table(weights: DataFrame, labels: DataFrame, id_col: str, label=
     terms = long.join(F.broadcast(per_class), "class").select(
         "class", "term", F.log((F.col("total") + smoothing) / F.col("mass")).alias("log_prob")
     )
-    counts = labels.filter(F.col(label).isin(*LABELS)).groupBy(F.col(label).alias("class")).agg(
+    counts = rows.filter(F.col(label).isin(*LABELS)).groupBy(F.col(label).alias("class")).agg(
         F.count(F.lit(1)).alias("n")
     )
     n = counts.agg(F.sum("n")).scalar()

@@ -88,9 +88,17 @@ def report_round_trip(spark, sf_dir):
     """The audit document written and read back as JSON."""
     path = stage_path(spark, "audit-report")
     ST.write_report(A.audit_report(sample_reviews(spark, sf_dir)), path)
-    schema = "shape struct<n_rows bigint, n_columns bigint>, distinct_ids struct<distinct_review_id bigint>"
+    schema = (
+        "shape struct<n_rows bigint, n_columns bigint>, distinct_ids struct<review_id bigint, product_id bigint>, "
+        "duplicates struct<review_bodies bigint, review_titles bigint>"
+    )
     return spark.read.schema(schema).json(path).select(
-        "shape.n_rows", "shape.n_columns", F.col("distinct_ids.distinct_review_id").alias("distinct_reviews")
+        "shape.n_rows",
+        "shape.n_columns",
+        F.col("distinct_ids.review_id").alias("distinct_reviews"),
+        F.col("distinct_ids.product_id").alias("distinct_products"),
+        F.col("duplicates.review_bodies").alias("duplicate_bodies"),
+        F.col("duplicates.review_titles").alias("duplicate_titles"),
     )
 
 
@@ -252,7 +260,7 @@ def gated_documents(spark, sf_dir):
     """Documents by gate message, with one word swapped so that every rule fires."""
     swapped = F.when(F.col("doc_id") % 4 == 0, F.regexp_replace("text", r"\b(?:on|la|der)\b", "quality")).when(
         F.col("doc_id") % 4 == 1, F.regexp_replace("text", r"\b(?:the|le|die)\b", "fever")
-    ).when(F.col("doc_id") % 4 == 2, F.split_part("text", F.lit(" "), F.lit(1))).otherwise(F.col("text"))
+    ).when(F.col("doc_id") % 4 == 2, F.col("lang")).otherwise(F.col("text"))
     return (
         table(spark, sf_dir, "documents")
         .select("doc_id", domain_gate(swapped).alias("g"))
@@ -569,8 +577,8 @@ def row_weights(spark, sf_dir):
 
 def _bayes(spark, sf_dir):
     texts = labelled_reviews(spark, sf_dir).select("review_id", "sentiment", L.text_representation("B").alias("text"))
-    weights = X.tfidf_table(texts, X.fit_features(texts, "text", 1), "text", "review_id")
-    return texts, weights, *M.naive_bayes_table(weights, texts, "review_id")
+    weights = X.tfidf_table(texts, X.fit_features(texts, "text", 1), "text", "review_id", "sentiment")
+    return texts, weights, *M.naive_bayes_table(weights, texts)
 
 
 @query
@@ -767,10 +775,11 @@ def text_overlap(spark, sf_dir):
     """Turns and benchmark items whose text is a review body or title."""
     turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("item"), "text")
     items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("item"), "text")
-    copies = table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("d"), "doc_id").alias("item"), F.concat(F.lit(" "), F.split_part("text", F.lit("."), F.lit(1)), F.lit("\n")).alias("text")
+    titles = sample_reviews(spark, sf_dir).select(
+        F.concat(F.lit("r"), "review_id").alias("item"),
+        F.concat(F.lit(" "), F.coalesce("review_title", F.lit("")), F.lit("\n")).alias("text"),
     )
-    return V.text_overlap(G.union_splits(turns, items, copies), sample_reviews(spark, sf_dir), "text")
+    return V.text_overlap(G.union_splits(turns, items, titles), sample_reviews(spark, sf_dir), "text")
 
 
 @query

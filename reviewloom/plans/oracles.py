@@ -166,7 +166,9 @@ ORACLES["partitioned_write"] = f"""WITH {reviews()}
 SELECT language, count(*) AS n, CAST(sum(stars) AS BIGINT) AS sum_stars FROM reviews GROUP BY language"""
 
 ORACLES["report_round_trip"] = f"""WITH {reviews()}
-SELECT count(*) AS n_rows, CAST(8 AS BIGINT) AS n_columns, count(DISTINCT review_id) AS distinct_reviews FROM reviews"""
+SELECT count(*) AS n_rows, CAST(8 AS BIGINT) AS n_columns, count(DISTINCT review_id) AS distinct_reviews,
+       count(DISTINCT product_id) AS distinct_products, count(*) - count(DISTINCT review_body) AS duplicate_bodies,
+       count(review_title) - count(DISTINCT review_title) AS duplicate_titles FROM reviews"""
 
 ORACLES["detected_text_column"] = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, 'text' AS text_column, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM {t}"
@@ -235,7 +237,7 @@ def _swap(pattern, by):
 
 ORACLES["gated_documents"] = f"""WITH s AS (
   SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN {_swap('on|la|der', 'quality')} WHEN 1 THEN {_swap('the|le|die', 'fever')}
-         WHEN 2 THEN split_part(text, ' ', 1) ELSE text END AS swapped FROM documents),
+         WHEN 2 THEN lang ELSE text END AS swapped FROM documents),
 g AS (SELECT doc_id, {gate_message('swapped')} AS message FROM s)
 SELECT doc_id, {accepted('message')} AS is_product_feedback, message FROM g"""
 
@@ -614,7 +616,7 @@ _KEY = f"lower({strip('text')})"
 ORACLES["text_overlap"] = f"""WITH {reviews()}, items AS (
   SELECT concat(conv_id, '-', turn) AS item, text FROM conversations
   UNION ALL SELECT concat('b', item_id), text FROM benchmark
-  UNION ALL SELECT concat('d', doc_id), concat(' ', split_part(text, '.', 1), chr(10)) FROM documents),
+  UNION ALL SELECT concat('r', review_id), concat(' ', coalesce(review_title, ''), chr(10)) FROM reviews),
 seen AS (SELECT lower({strip("coalesce(review_body, '')")}) AS k FROM reviews
   UNION SELECT lower({strip("coalesce(review_title, '')")}) FROM reviews)
 SELECT item, text FROM items WHERE {_KEY} IN (SELECT k FROM seen)"""

@@ -72,7 +72,7 @@ def test_tfidf_equals_the_formula(texts, options):
     fit = {k: v for k, v in options.items() if k != "sublinear"}
     model = X.fit_features(texts, "review_body", **({"n_max": 1} | fit))
     got = [{} for _ in rows]
-    for r in X.tfidf_table(texts, model, "review_body", "review_id", sublinear).collect():
+    for r in X.tfidf_table(texts, model, "review_body", "review_id", sublinear=sublinear).collect():
         got[r.review_id][r.term] = r.weight
     for a, b in zip(got, expected, strict=True):
         assert a.keys() == b.keys() and all(a[t] == pytest.approx(b[t], abs=1e-12) for t in a)
@@ -131,8 +131,8 @@ def test_logistic_reaches_the_minimum_of_the_objective(texts):
 
 def test_naive_bayes_table_equals_numpy(texts):
     model = X.fit_features(texts, "review_body", 1)
-    weights = X.tfidf_table(texts, model, "review_body", "review_id")
-    terms, priors = M.naive_bayes_table(weights, texts, "review_id")
+    weights = X.tfidf_table(texts, model, "review_body", "review_id", "sentiment")
+    terms, priors = M.naive_bayes_table(weights, texts)
     docs = texts.orderBy("review_id").collect()
     tfidf = expected_tfidf([r.review_body for r in docs])
     names = sorted({t for d in tfidf for t in d})
@@ -185,7 +185,7 @@ def test_saved_pipeline_gives_the_same_scores(texts, fitted, spark, tmp_path):
 
 def test_experiments_and_selection(texts):
     train, val = texts.filter("review_id % 4 != 0"), texts.filter("review_id % 4 = 0")
-    results = M.run_experiments(train, val, max_iter=15)
+    results = M.run_experiments(train, val, max_iter=3)
     rows = results.orderBy("exp_no").collect()
     assert [r.exp_no for r in rows] == [1, 2, 3, 4, 5]
     assert all(0 <= r.macro_f1 <= 1 and r.fit_seconds > 0 for r in rows)

@@ -39,7 +39,7 @@ def test_whole_run(spark, sf_dir, tmp_path):
         [("home", "Positive", "I love this kettle", False), ("home", "Negative", "the lid broke", False)],
         "domain string, expected_sentiment string, review_text string, is_qualitative boolean",
     )
-    tables = run_review_pipeline(reviews, str(tmp_path), unseen, seeds=range(42, 47), max_iter=5)
+    tables = run_review_pipeline(reviews, str(tmp_path), unseen, seeds=range(42, 47), max_iter=3)
     cleaned, splits = tables["cleaned"], tables["splits"]
     assert splits.count() == cleaned.count() < reviews.count()
     assert {r.split for r in splits.select("split").distinct().collect()} == set(SPLITS)
