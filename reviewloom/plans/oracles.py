@@ -374,12 +374,12 @@ UNION ALL SELECT 'final_rows', NULL, final, NULL FROM n
 )
 
 
-def _ranked_groups(seeds):
+def _ranked_groups(seeds, source="prepared"):
     return f"""seeds AS (SELECT CAST(unnest(range({seeds[0]}, {seeds[1]})) AS INTEGER) AS seed),
 places AS (
   SELECT seed, product_id, count(*) OVER (PARTITION BY seed) AS g,
          row_number() OVER (PARTITION BY seed ORDER BY md5(concat(product_id, ':', CAST(seed AS VARCHAR))), product_id) AS place
-  FROM (SELECT DISTINCT product_id FROM prepared), seeds),
+  FROM (SELECT DISTINCT product_id FROM {source}), seeds),
 quotas AS (SELECT *, floor(CAST(0.7 AS DOUBLE) * g) AS n_train FROM places),
 split_of AS (
   SELECT seed, product_id, CASE WHEN place <= n_train THEN 'train'
@@ -514,14 +514,14 @@ ORACLES["row_weights"] = f"""WITH {LABELLED}, c AS (SELECT sentiment, count(*) A
 SELECT review_id, sentiment, round(CAST((SELECT sum(n) FROM c) AS DOUBLE) / ((SELECT count(*) FROM c) * n), 6) AS weight
 FROM labelled JOIN c USING (sentiment)"""
 
-_BAYES = f"""{LABELLED}, {_terms(1, 'labelled')}, {_vocabulary(2, 50000)}, {_weights()},
-classes AS (SELECT unnest({list(LABELS)}) AS class),
+_BAYES_RULES = f"""classes AS (SELECT unnest({list(LABELS)}) AS class),
 sums AS (SELECT l.sentiment AS class, w.term, sum(w.weight) AS total FROM weights w JOIN labelled l USING (review_id) GROUP BY ALL),
 filled AS (SELECT c.class, v.term, coalesce(s.total, 0) + 1.0 AS total FROM classes c CROSS JOIN vocabulary v
   LEFT JOIN sums s ON s.class = c.class AND s.term = v.term),
 log_probs AS (SELECT class, term, ln(total / sum(total) OVER (PARTITION BY class)) AS log_prob FROM filled),
 priors AS (SELECT sentiment AS class, ln(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM labelled)) AS log_prior
   FROM labelled GROUP BY sentiment)"""
+_BAYES = f"{LABELLED}, {_terms(1, 'labelled')}, {_vocabulary(2, 50000)}, {_weights()}, {_BAYES_RULES}"
 
 ORACLES["naive_bayes_terms"] = f"WITH {_BAYES} SELECT class, term, round(log_prob, 6) AS log_prob FROM log_probs"
 ORACLES["naive_bayes_priors"] = f"WITH {_BAYES} SELECT class, round(log_prior, 6) AS log_prior FROM priors"
@@ -534,6 +534,28 @@ scores AS (SELECT l.review_id, p.class, p.log_prior + coalesce(o.s, 0) AS s FROM
 SELECT review_id, arg_max(class, s) AS predicted_sentiment, {_SCORE_COLUMNS} FROM scores GROUP BY review_id"""
 
 
+_PROCESSED = joined(lemmas(kept(tokens("review_body"))))
+ORACLES["naive_bayes_vectors"] = f"""WITH {LABELLED},
+processed AS (SELECT review_id, {_PROCESSED} AS text FROM labelled),
+{_terms(2, 'processed', 'text')}, {_vocabulary(1, 10000)}, {_weights('(1 + ln(tf))')}, {_BAYES_RULES},
+smoothed AS (SELECT sentiment AS class, ln((count(*) + 1.0) / ((SELECT count(*) FROM labelled) + 3.0)) AS log_prior
+  FROM labelled GROUP BY sentiment),
+sums_of AS (SELECT review_id, class, sum(weight * log_prob) AS s FROM weights JOIN log_probs USING (term) GROUP BY ALL),
+scores AS (SELECT l.review_id, l.sentiment, p.class, p.log_prior + coalesce(o.s, 0) AS s FROM labelled l CROSS JOIN smoothed p
+  LEFT JOIN sums_of o ON o.review_id = l.review_id AND o.class = p.class)
+SELECT review_id, sentiment, arg_max(class, s) AS predicted_sentiment FROM scores GROUP BY ALL"""
+
+_ITEM_WORDS = f"""item_words AS (SELECT item_id, {words('text')} AS w FROM benchmark),
+item_terms AS (SELECT DISTINCT item_id, unnest(list_concat(w, {_bigrams('w')})) AS term FROM item_words)"""
+ORACLES["unknown_terms"] = f"""WITH {LABELLED},
+stripped AS (SELECT * REPLACE ({strip("coalesce(review_title, '')")} AS review_title,
+  {strip("coalesce(review_body, '')")} AS review_body) FROM labelled),
+{_ranked_groups((42, 43), 'stripped')},
+fit AS (SELECT p.* FROM stripped p JOIN split_of s ON p.product_id = s.product_id WHERE s.split <> 'test'),
+{_terms(2, 'fit')}, {_vocabulary(2, 50000)}, {_ITEM_WORDS}
+SELECT item_id, term FROM item_terms WHERE term NOT IN (SELECT term FROM vocabulary)"""
+
+
 def _metrics(source, by=None, actual="sentiment", always=False):
     """CTEs ``label_rows`` and ``averages`` of a scored table, per group."""
     keys = f"{by}, " if by else ""
