@@ -151,6 +151,8 @@ def best_group_split(reviews: DataFrame, key="product_id", label="sentiment", se
     """
     scores = seed_scores(reviews, key, label, seeds, **shares)
     best = scores.orderBy(F.round("divergence", 12), "seed").first()
+    if best is None:
+        raise ValueError("no reviews to split")
     position = hash_position(key, best.seed)
     split = _split_name(position, _text(best.train_cut), _text(best.val_cut))
     return reviews.withColumn("split", split), best.seed, best.divergence
