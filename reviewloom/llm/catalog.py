@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from reviewloom.llm import decontamination, exact_dedup, line_dedup, url_filter
+from reviewloom.llm import decontamination, exact_dedup, line_dedup, near_dedup, url_filter
 from reviewloom.llm.common import table
 from reviewloom.llm.oracles import ORACLES
 
@@ -19,6 +19,10 @@ def op6_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op7_minhash_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark, sf_dir):
     hits = decontamination.benchmark_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select(

@@ -17,14 +17,12 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from reviewloom.llm.common import record_batch, slices, utf8
+from reviewloom.llm.shingles import WordHash, shingle_hashes
 
 WINDOW = 13
 SHINGLE = 4
 #: Bytes of benchmark text whose index is sent to the executors at once.
 BLOCK_BYTES = 4_000_000
-#: Hashes of words that a worker remembers at most.
-_CACHE_WORDS = 500_000
-
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
     for b in range(256)
@@ -49,30 +47,6 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_WORD_BYTES).split()
 
 
-class _WordHash(dict):
-    def __missing__(self, word):
-        if len(self) >= _CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxh3_64_intdigest(word)
-        return value
-
-
-def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    """One 64-bit hash for every run of ``size`` words."""
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(size):
-        out = (out ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out
-
-
-def _hashed(found, cache):
-    return np.fromiter(map(cache.__getitem__, found), np.uint64, len(found))
-
-
 def _windows(items, window):
     """For every distinct window, its words and the items that have it."""
     out = defaultdict(set)
@@ -95,10 +69,10 @@ def _count(wanted):
     wanted = {size: np.sort(np.array(list(hashes), np.uint64)) for size, hashes in wanted.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, totals = _WordHash(), {size: np.zeros(len(h), np.int64) for size, h in wanted.items()}
+        cache, totals = WordHash(), {size: np.zeros(len(h), np.int64) for size, h in wanted.items()}
         for batch in slices(batches, "text"):
             for text in batch.column("text").to_pylist():
-                hashes = _hashed(words(text), cache)
+                hashes = cache.of(words(text))
                 for size, known in wanted.items():
                     own = shingle_hashes(hashes, size)
                     at = np.searchsorted(known, own)
@@ -141,7 +115,7 @@ def _search(index, last):
                         items |= names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WordHash()
+        cache = WordHash()
         for batch in slices(batches, "text"):
             rows = []
             for doc_id, text, bits, names in zip(*(batch.column(c).to_pylist() for c in _FIELDS), strict=True):
@@ -149,7 +123,7 @@ def _search(index, last):
                 hit = np.zeros(len(found), bool)
                 if bits:
                     hit = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(found)).astype(bool)
-                mark(found, _hashed(found, cache), hit, items)
+                mark(found, cache.of(found), hit, items)
                 n_hit = int(hit.sum())
                 bits = np.packbits(hit).tobytes() if n_hit else b""
                 rows.append((doc_id, b"" if last else text, bits, sorted(items), len(found), n_hit))
