@@ -2,11 +2,31 @@
 
 from pyspark.sql import functions as F
 
-from reviewloom.llm import decontamination, exact_dedup, line_dedup, near_dedup, url_filter
+from reviewloom.llm import (
+    decontamination,
+    exact_dedup,
+    language_id,
+    license_scan,
+    line_dedup,
+    near_dedup,
+    packing,
+    url_filter,
+)
 from reviewloom.llm.common import table
 from reviewloom.llm.oracles import ORACLES
 
 
+def tokenizer_path():
+    """The vocabulary file that comes with the installed tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_language_id(spark, sf_dir):
+    return language_id.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -15,6 +35,10 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("n_points")
 
 
+def op5_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -23,6 +47,10 @@ def op7_minhash_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scans(spark, sf_dir):
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark, sf_dir):
     hits = decontamination.benchmark_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select(
