@@ -11,6 +11,7 @@ from reviewloom.llm import (
     near_dedup,
     packing,
     url_filter,
+    warc,
 )
 from reviewloom.llm.common import table
 from reviewloom.llm.oracles import ORACLES
@@ -31,6 +32,10 @@ def op2_url_filters(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_warc(spark, sf_dir):
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("n_points")
 

@@ -25,6 +25,18 @@ SELECT page_id, host, path, best.rule AS rule,
 FROM judged
 """
 
+OP3 = """
+WITH payloads AS (
+    SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+    FROM pages
+), winners AS (
+    SELECT payload_digest, max(page_id) AS winner FROM payloads WHERE payload_bytes >= 1000 GROUP BY payload_digest
+), marked AS (SELECT *, coalesce(page_id <> winner, false) AS again FROM payloads LEFT JOIN winners USING (payload_digest))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN winner END AS refers_to
+FROM marked
+"""
+
 OP4 = r"""
 WITH texts AS (
     SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256,
@@ -90,6 +102,7 @@ FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 
 ORACLES = {
     "op2_url_filters": OP2,
+    "op3_warc": OP3,
     "op4_exact_dedup": OP4,
     "op6_line_dedup": OP6,
     "op10_decontamination": OP10,
