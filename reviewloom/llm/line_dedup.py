@@ -86,7 +86,8 @@ def dedup_lines(docs: DataFrame, min_points=MIN_POINTS, min_documents=MIN_DOCUME
     )
     dropped = stage(dropped, "dropped_lines").withColumnRenamed("doc_id", "dropped_id")
     touched = F.col("doc_id").eqNullSafe(F.col("dropped_id"))
-    changed = texts.join(dropped, touched).select("doc_id", "text", "dropped")
+    # by a shuffle whatever the size: the list of documents grows with the corpus
+    changed = texts.join(dropped.hint("merge"), touched).select("doc_id", "text", "dropped")
     changed = changed.mapInArrow(_drop(min_points), "doc_id long, n_lines long, n_dropped long, kept binary")
     whole = lines.join(dropped.select("dropped_id"), touched, "left_anti").select(
         "doc_id",
