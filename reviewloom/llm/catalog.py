@@ -10,6 +10,7 @@ from reviewloom.llm import (
     line_dedup,
     near_dedup,
     packing,
+    suffix_dedup,
     url_filter,
     warc,
 )
@@ -56,6 +57,10 @@ def op8_license_scans(spark, sf_dir):
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.drop_repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark, sf_dir):
     hits = decontamination.benchmark_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select(

@@ -4,6 +4,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +49,10 @@ def record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     """The rows, at least one, as a batch."""
     columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
+def filesystem(path: str):
+    """The file system of a path or URI that all executors reach, and the place in it."""
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path

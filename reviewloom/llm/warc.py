@@ -18,12 +18,11 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import record_batch, slices, utf8
+from reviewloom.llm.common import filesystem, record_batch, slices, utf8
 from reviewloom.session import stage, stage_path
 
 #: Payloads from this size on may be left out where another record has the same.
@@ -116,16 +115,12 @@ def parse_record(raw: bytes):
 # Packages
 
 
-def _filesystem(path):
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 class _Package:
     """Writes one package as a stream, without a local copy."""
 
     def __init__(self, path):
         self.path, self.sizes, self.bytes = path, [], 0
-        files, place = _filesystem(path)
+        files, place = filesystem(path)
         files.create_dir(place.rpartition("/")[0], recursive=True)
         self.out = files.open_output_stream(place)
         self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_STORED, allowZip64=True)
@@ -205,7 +200,7 @@ class _Ranges:
     """Reads ranges of a package."""
 
     def __init__(self, path):
-        files, place = _filesystem(path)
+        files, place = filesystem(path)
         self.file = files.open_input_file(place)
         self.size = self.file.size()
 
