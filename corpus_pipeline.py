@@ -1 +1,55 @@
 """Five stages that turn raw documents into packed training sequences."""
+
+from pyspark.sql import DataFrame, SparkSession
+
+from reviewloom.llm import decontamination, exact_dedup, language_id, near_dedup, packing
+from reviewloom.llm.common import table, tokenizer_path
+from reviewloom.session import stage
+
+#: Percent of the word shingles that near duplicates share at least.
+NEAR_PERCENT = 80
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach; rejected ones go."""
+    return language_id.keep_identified(docs)
+
+
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
+    return exact_dedup.drop_exact_duplicates(docs)
+
+
+def distinct_enough(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dedup.drop_near_duplicates(docs, percent=NEAR_PERCENT)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a notable share of benchmark passages."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents with their places in sequences."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language id", identified),
+    ("exact dedup", unrepeated),
+    ("near dedup", distinct_enough),
+    ("decontamination", decontaminated),
+    ("packing", packed),
+]
+
+#: SQL expresses neither the language model nor the tokenizer; tests/llm holds the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to ``documents``, each to the table that the one before has written."""
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

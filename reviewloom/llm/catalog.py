@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from corpus_pipeline import ORACLE_SQL, run
+
 from reviewloom.llm import (
     decontamination,
     exact_dedup,
@@ -14,15 +16,8 @@ from reviewloom.llm import (
     url_filter,
     warc,
 )
-from reviewloom.llm.common import table
-from reviewloom.llm.oracles import ORACLES
-
-
-def tokenizer_path():
-    """The vocabulary file that comes with the installed tokenizers."""
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
+from reviewloom.llm.common import table, tokenizer_path
+from reviewloom.llm.oracles import OPERATORS
 
 
 def op1_language_id(spark, sf_dir):
@@ -73,8 +68,6 @@ def op10_decontamination(spark, sf_dir):
     )
 
 
-QUERIES = {
-    name: query for name, query in sorted(globals().items()) if name.startswith("op") and callable(query)
-}
-
-__all__ = ["ORACLES", "QUERIES"]
+QUERIES = {name: query for name, query in sorted(globals().items()) if name.startswith("op") and callable(query)}
+QUERIES["pipeline"] = run
+ORACLES = OPERATORS | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})

@@ -25,6 +25,18 @@ def utf8(column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary")
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file that the installed tokenizers bring along; a parameter wherever it is used."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def whole_rows(df: DataFrame) -> DataFrame:
+    """Each row as one column ``row``, so that no name of its own can clash with a new one."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
 def in_order(column) -> Column:
     """A key that sorts by ``column`` with NULL last."""
     column = F.col(column) if isinstance(column, str) else column

@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from reviewloom.llm.common import record_batch, slices, utf8
+from reviewloom.llm.common import record_batch, slices, utf8, whole_rows
 from reviewloom.llm.shingles import WordHash, shingle_hashes
 
 WINDOW = 13
@@ -28,18 +29,13 @@ _WORD_BYTES = bytes(
     for b in range(256)
 )
 _COUNTS = pa.schema([("length", pa.int32()), ("shingle", pa.int64()), ("documents", pa.int64())])
-_FIELDS = ("doc_id", "text", "hits", "items")
-_HITS = pa.schema(
-    [
-        ("doc_id", pa.int64()),
-        ("text", pa.binary()),
-        ("hits", pa.binary()),
-        ("items", pa.list_(pa.string())),
-        ("n_words", pa.int64()),
-        ("n_hit", pa.int64()),
-    ]
-)
-_HITS_DDL = "doc_id long, text binary, hits binary, items array<string>, n_words long, n_hit long"
+_MARKS = [
+    pa.field("text", pa.binary()),
+    pa.field("hits", pa.binary()),
+    pa.field("items", pa.list_(pa.string())),
+    pa.field("n_words", pa.int64()),
+    pa.field("n_hit", pa.int64()),
+]
 
 
 def words(text: bytes) -> list[bytes]:
@@ -117,8 +113,8 @@ def _search(index, last):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
         for batch in slices(batches, "text"):
-            rows = []
-            for doc_id, text, bits, names in zip(*(batch.column(c).to_pylist() for c in _FIELDS), strict=True):
+            marks = []
+            for text, bits, names in zip(*(batch.column(c).to_pylist() for c in ("text", "hits", "items")), strict=True):
                 found, items = words(text), set(names)
                 hit = np.zeros(len(found), bool)
                 if bits:
@@ -126,8 +122,10 @@ def _search(index, last):
                 mark(found, cache.of(found), hit, items)
                 n_hit = int(hit.sum())
                 bits = np.packbits(hit).tobytes() if n_hit else b""
-                rows.append((doc_id, b"" if last else text, bits, sorted(items), len(found), n_hit))
-            yield record_batch(rows, _HITS)
+                marks.append((b"" if last else text, bits, sorted(items), len(found), n_hit))
+            columns = zip(_MARKS, zip(*marks, strict=True), strict=True)
+            arrays = [batch.column("row"), *(pa.array(values, field.type) for field, values in columns)]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", *(field.name for field in _MARKS)])
 
     return run
 
@@ -169,6 +167,24 @@ def window_index(texts: DataFrame, items, window=WINDOW, shingle=SHINGLE):
     return dict(index)
 
 
+def _marked(rows: DataFrame, benchmark: DataFrame, window, shingle, block_bytes) -> DataFrame:
+    """``rows`` (row, text) with the items found and the numbers of words and hit words; no shuffle of texts.
+
+    The index of ``block_bytes`` of benchmark text goes to the executors; a
+    larger benchmark is searched block by block, one after the other.
+    """
+    found = rows.withColumns({"hits": F.lit(b""), "items": F.array().cast("array<string>")})
+    indexes = (window_index(rows, block, window, shingle) for block in _blocks(benchmark, block_bytes))
+    ahead = next(indexes)
+    while ahead is not None:
+        index, ahead = ahead, next(indexes, None)
+        found = found.select("row", "text", "hits", "items")
+        schema = T.StructType([*found.schema, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType())])
+        found = found.mapInArrow(_search(index, ahead is None), schema)
+    contaminated = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return found.select("row", "n_words", "n_hit", "items", contaminated.alias("contaminated"))
+
+
 def benchmark_overlap(
     docs: DataFrame, benchmark: DataFrame, window=WINDOW, shingle=SHINGLE, block_bytes=BLOCK_BYTES
 ) -> DataFrame:
@@ -180,16 +196,16 @@ def benchmark_overlap(
     items without words no window; an item without id marks words but is in no
     list. An empty table on either side is no error. Rows repeated in either
     table and other columns change nothing.
-
-    The index of ``block_bytes`` of benchmark text goes to the executors; a
-    larger benchmark is searched block by block, without a shuffle of texts.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    found = texts.withColumns({"hits": F.lit(b""), "items": F.array().cast("array<string>")})
-    indexes = (window_index(texts, block, window, shingle) for block in _blocks(benchmark, block_bytes))
-    ahead = next(indexes)
-    while ahead is not None:
-        index, ahead = ahead, next(indexes, None)
-        found = found.select(*_FIELDS).mapInArrow(_search(index, ahead is None), _HITS_DDL)
-    contaminated = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    return found.select("doc_id", "n_words", "n_hit", "items", contaminated.alias("contaminated"))
+    rows = docs.select(F.struct("doc_id").alias("row"), utf8("text").alias("text"))
+    return _marked(rows, benchmark, window, shingle, block_bytes).select(
+        "row.doc_id", "n_words", "n_hit", "items", "contaminated"
+    )
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, window=WINDOW, shingle=SHINGLE, block_bytes=BLOCK_BYTES
+) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, all columns."""
+    rows = whole_rows(docs).withColumn("text", utf8("row.text"))
+    return _marked(rows, benchmark, window, shingle, block_bytes).filter("NOT contaminated").select("row.*")

@@ -10,7 +10,7 @@ settled where they are read. All other digests are shuffled as usual.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import in_order
+from reviewloom.llm.common import in_order, whole_rows
 from reviewloom.session import stage
 
 WHITESPACE = r"[\x20\x09-\x0D]"
@@ -94,11 +94,10 @@ def drop_exact_duplicates(docs: DataFrame, support=SUPPORT) -> DataFrame:
     dropped = decisions.filter(~F.col("kept") & (F.col("group_size") < least)).select(*keys)
     repeated = decisions.filter("kept").groupBy(*keys).count().filter("count > 1").select(*keys)
 
-    own = docs.columns
-    marked = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"),
-        text_digest().alias("_sha"),
-        F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("_n"),
+    marked = whole_rows(docs).select(
+        F.col("row").alias("_row"),
+        text_digest("row.text").alias("_sha"),
+        F.length(F.coalesce(F.col("row.text"), F.lit(""))).cast("long").alias("_n"),
     )
     ahead = marked.join(F.broadcast(frequent), F.col("_sha") == F.col("_digest"), "left")
     stays = F.col("_digest").isNull() | (
@@ -120,4 +119,4 @@ def drop_exact_duplicates(docs: DataFrame, support=SUPPORT) -> DataFrame:
         several = left.join(repeated, same(repeated), "left_semi")
         first = several.groupBy("_sha", "_n", F.col("_row.doc_id").alias("_id")).agg(F.first("_row").alias("_row"))
         left = single.unionByName(first.select("_row", "_sha", "_n"))
-    return left.select(*[F.col(f"_row.`{c}`").alias(c) for c in own])
+    return left.select("_row.*")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import record_batch, slices, utf8
+from reviewloom.llm.common import record_batch, slices, utf8, whole_rows
 
 UNDETERMINED = "und"
 #: n-gram lengths in bytes, hash buckets, embedding width.
@@ -224,12 +224,12 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or fit_language_model(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_raw"):
+        for batch in slices(batches, "text"):
             keep = []
-            for raw in batch.column("_raw").to_pylist():
+            for raw in batch.column("text").to_pylist():
                 text = raw.decode("utf-8", "replace")
-                keep.append(bool(model.labels) and has_letter(text) and model.probabilities(text).max() >= model.limit)
-            yield batch.select(names).filter(pa.array(keep))
+                keep.append(bool(model.labels) and has_letter(text) and bool(model.probabilities(text).max() >= model.limit))
+            yield batch.select(["row"]).filter(pa.array(keep))
 
-    names = docs.columns
-    return docs.withColumn("_raw", utf8("text")).mapInArrow(run, docs.schema)
+    rows = whole_rows(docs)
+    return rows.withColumn("text", utf8("row.text")).mapInArrow(run, rows.schema).select("row.*")

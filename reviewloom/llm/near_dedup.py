@@ -27,10 +27,10 @@ from reviewloom.session import stage
 SHINGLE = 5
 #: Percent of the union that two sets share at least.
 PERCENT = 85
-#: Bands and minima per band: a pair at the limit shares no bucket with a chance of 7e-7.
-BANDS, ROWS = 30, 6
-#: Signatures that agree less often than this are of sets below the limit (5 standard deviations).
-AGREEMENT = 0.72
+#: Bands and minima per band: a pair that shares 80 percent has no bucket in common with a chance of 6e-7.
+BANDS, ROWS = 36, 5
+#: Signatures whose agreement is more than so many standard deviations below the limit are not compared further.
+DEVIATIONS = 5
 #: Members of a bucket that are compared at once, and partners that share one copy of a text.
 BLOCK, PARTNERS = 1024, 256
 
@@ -173,7 +173,7 @@ def _relabelled(nodes, components):
 
 
 def near_duplicates(
-    docs: DataFrame, shingle=SHINGLE, percent=PERCENT, bands=BANDS, rows=ROWS, agreement=AGREEMENT
+    docs: DataFrame, shingle=SHINGLE, percent=PERCENT, bands=BANDS, rows=ROWS, deviations=DEVIATIONS
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, per row of ``docs``.
 
@@ -185,7 +185,8 @@ def near_duplicates(
     copies, NULL and is kept; it stands for no link between others. An empty
     table gives no row; other columns are not read.
     """
-    n_hashes = bands * rows
+    n_hashes, limit = bands * rows, percent / 100
+    agreement = limit - deviations * (limit * (1 - limit) / n_hashes) ** 0.5
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
     signed = texts.mapInArrow(
         _sign(shingle, n_hashes), "doc_id long, n_shingles long, digest binary, signature binary"

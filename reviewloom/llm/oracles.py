@@ -100,7 +100,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES = {
+OPERATORS = {
     "op2_url_filters": OP2,
     "op3_warc": OP3,
     "op4_exact_dedup": OP4,
