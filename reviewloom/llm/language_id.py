@@ -72,11 +72,13 @@ def bag(text: str):
 
 @dataclass(frozen=True)
 class Model:
-    """Scores per bucket and label (embeddings times the linear layer), bias, temperature and limit."""
+    """Scores per bucket and label (embeddings times the linear layer), temperature and limit.
+
+    Without a bias, a text of unknown n-grams scores all labels alike.
+    """
 
     labels: tuple[str, ...]
     weights: np.ndarray
-    bias: np.ndarray
     temperature: float
     limit: float
 
@@ -85,7 +87,7 @@ class Model:
         for found in subwords(text):
             total += self.weights[found].sum(axis=0, dtype=np.float64)
             n += len(found)
-        return _softmax((total / max(1, n) + self.bias) / self.temperature)
+        return _softmax(total / max(1, n) / self.temperature)
 
 
 def _softmax(logits):
@@ -94,10 +96,10 @@ def _softmax(logits):
 
 
 def _fit(bags, n_labels, seed=7):
-    """Embeddings times layer, and bias, by stochastic gradient descent. ``bags``: (label no., buckets, shares)."""
+    """Embeddings times layer by stochastic gradient descent. ``bags``: (label number, buckets, shares)."""
     random = np.random.default_rng(seed)
     embeddings = random.uniform(-1, 1, (BUCKETS, WIDTH)) / WIDTH
-    layer, bias = random.normal(0, 0.3, (WIDTH, n_labels)), np.zeros(n_labels)
+    layer = random.normal(0, 0.3, (WIDTH, n_labels))
     steps, total = 0, EPOCHS * len(bags)
     for _ in range(EPOCHS):
         for k in random.permutation(len(bags)):
@@ -105,14 +107,13 @@ def _fit(bags, n_labels, seed=7):
             rate = RATE * (1 - steps / total)
             steps += 1
             hidden = shares @ embeddings[buckets]
-            error = _softmax(hidden @ layer + bias)
+            error = _softmax(hidden @ layer)
             error[label] -= 1
             back = layer @ error
             layer -= rate * np.outer(hidden, error)
-            bias -= rate * error
             # each n-gram of a long text has a tiny share: the step is scaled to move the mean alike for all texts
             embeddings[buckets] -= rate * (shares / (shares @ shares))[:, None] * back
-    return (embeddings @ layer).astype(np.float32), bias
+    return (embeddings @ layer).astype(np.float32)
 
 
 def _bags(windows):
@@ -171,10 +172,10 @@ def fit_language_model(docs: DataFrame, rows_per_label=ROWS_PER_LABEL) -> Model:
     ]
     bags.sort(key=lambda b: (b[0], len(b[1]), b[1].tobytes()))  # the same order whatever the partitions were
     if not bags:
-        return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return Model((), np.zeros((BUCKETS, 0), np.float32), 1.0, 0.0)
     apart = [b for i, b in enumerate(bags) if i % 5 == 0]
-    weights, bias = _fit([b for i, b in enumerate(bags) if i % 5], len(labels)) if len(bags) > 1 else _fit(bags, len(labels))
-    logits = np.array([shares @ weights[buckets] + bias for _, buckets, shares in apart])
+    weights = _fit([b for i, b in enumerate(bags) if i % 5] or bags, len(labels))
+    logits = np.array([shares @ weights[buckets] for _, buckets, shares in apart])
     truth = np.array([label for label, _, _ in apart])
     temperature = min(
         np.geomspace(0.05, 20, 60),
@@ -183,7 +184,7 @@ def fit_language_model(docs: DataFrame, rows_per_label=ROWS_PER_LABEL) -> Model:
     probabilities = _softmax(logits / temperature)
     right = np.sort(probabilities.max(axis=1)[probabilities.argmax(axis=1) == truth])
     limit = float(right[int(REJECTED_SHARE * len(right))]) if len(right) else 0.0
-    return Model(labels, weights, bias, float(temperature), min(limit, 1 / len(labels) + 0.1))
+    return Model(labels, weights, float(temperature), min(limit, 1 / len(labels) + 0.1))
 
 
 def _predict(model):

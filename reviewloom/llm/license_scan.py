@@ -128,7 +128,7 @@ class Sentences:
         A sentence ends at a mark before white space or at the end of a line;
         lines that together are a known sentence are joined.
         """
-        parts, found, i = [p for p in map(normal, _ENDS.split(text)) if p], [], 0
+        parts, found, i, number = [p for p in map(normal, _ENDS.split(text)) if p], [], 0, 0
         while i < len(parts):
             best, whole, j = None, parts[i], i
             while True:
@@ -139,10 +139,10 @@ class Sentences:
                 j += 1
                 whole = whole + b" " + parts[j]
             if best:
-                found.append((i, best[1]))
+                found.append((number, best[1]))
                 i = best[0]
-            i += 1
-        return len(parts), found
+            i, number = i + 1, number + 1
+        return number, found
 
 
 def match_rules(found, rules, gap):
