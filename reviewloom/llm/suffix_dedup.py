@@ -38,7 +38,7 @@ SPAN, TOKEN = 50, 24
 #: Windows that can have one leading token.
 REACH = SPAN - TOKEN + 1
 #: Windows that are hashed at once, cells that a task holds back to merge equal ones, bytes of text per bucket.
-PIECE, HELD, BUCKET_BYTES = 1_000_000, 400_000, 64_000_000
+PIECE, HELD, BUCKET_BYTES = 500_000, 200_000, 64_000_000
 #: Documents and tokens of each that the splitters are sampled from.
 SAMPLED_DOCUMENTS, SAMPLED_TOKENS = 2000, 50
 
@@ -79,6 +79,11 @@ def window_hashes(data: np.ndarray):
     return least[:n], whole
 
 
+def _cell_keys(least, whole, first, count):
+    """The leading token and the hash of the cells at ``first``; first and last window cover a cell."""
+    return least[first], _mix(_mix(whole[first], whole[first + count - 1]), count.astype(np.uint64))
+
+
 class Cells:
     """The cells of some texts: text number, first window in the text, windows, token, hash, and place in ``data``."""
 
@@ -105,8 +110,8 @@ class Cells:
             rest = np.repeat(count, times) - again * REACH
             first, part = np.repeat(first, times) + again * REACH, np.repeat(part, times)
             count = np.minimum(rest, REACH)
-        self.place, self.count, self.token = first, count, least[first]
-        self.hash = _mix(_mix(whole[first], whole[first + count - 1]), count.astype(np.uint64))
+        self.place, self.count = first, count
+        self.token, self.hash = _cell_keys(least, whole, first, count)
         numbers, offsets = np.array([n for n, _, _ in parts]), np.array([o for _, o, _ in parts])
         self.text, self.start = numbers[part], first - begins[part] + offsets[part]
 
@@ -186,8 +191,6 @@ _CELLS = pa.schema(
     [
         ("bucket", pa.int64()),
         ("block", pa.int64()),
-        ("token", pa.binary()),
-        ("hash", pa.binary()),
         ("document", pa.binary()),
         ("several", pa.binary()),
         ("count", pa.binary()),
@@ -315,7 +318,7 @@ def _emit_cells(splitters, folder):
             rows = []
             for k in np.unique(bucket).tolist():
                 own = least[bucket == k]
-                arrays = (token[own], hash_[own], document[own], several[bucket == k].astype(np.uint8), count[own].astype(np.uint8))
+                arrays = (document[own], several[bucket == k].astype(np.uint8), count[own].astype(np.uint8))
                 rows.append((k, block, *(a.tobytes() for a in arrays), b"".join([content[i] for i in own.tolist()])))
             return record_batch(rows, _CELLS)
 
@@ -340,16 +343,27 @@ def _emit_cells(splitters, folder):
     return run
 
 
+def _keys_of(data, begin, count):
+    """Tokens and hashes of cells from their bytes, a bounded number at a time."""
+    token, hash_ = np.empty(len(begin), np.uint64), np.empty(len(begin), np.uint64)
+    for a in range(0, len(begin), 5000):
+        b = min(a + 5000, len(begin))
+        part = np.frombuffer(data, np.uint8)[begin[a] : begin[b - 1] + count[b - 1] + SPAN - 1]
+        token[a:b], hash_[a:b] = _cell_keys(*window_hashes(part), begin[a:b] - begin[a], count[a:b])
+    return token, hash_
+
+
 def _resolve(group: pa.Table) -> pa.Table:
     """The smallest documents of the windows of a bucket, for each block that has a larger one with them."""
     def read(name, kind):
         return np.concatenate([np.frombuffer(v, kind) for v in group.column(name).to_pylist()])
 
-    token, hash_, document = read("token", np.uint64), read("hash", np.uint64), read("document", np.int64)
+    document = read("document", np.int64)
     several, count = read("several", np.uint8).astype(bool), read("count", np.uint8).astype(np.int64)
     block = np.repeat(np.asarray(group.column("block")), [len(v) for v in group.column("several").to_pylist()])
     data = b"".join(group.column("content").to_pylist())
     begin = np.cumsum(count + SPAN - 1) - (count + SPAN - 1)
+    token, hash_ = _keys_of(data, begin, count)
 
     order = np.lexsort((document, hash_, token))
     fresh_token = np.append(True, token[order][1:] != token[order][:-1])
@@ -479,7 +493,8 @@ def drop_repeated_passages(docs: DataFrame, texts=False) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
     blocks = stage(rows.mapInArrow(_number, _ddl(_BLOCKS)), "blocks")
     size = blocks.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["bytes"] or 0) // BUCKET_BYTES))
+    # more buckets than partitions, since they are dealt out by a hash
+    n_buckets = max(3 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["bytes"] or 0) // BUCKET_BYTES))
     splitters = sampled_splitters(blocks, size["n"], n_buckets)
 
     tokens = blocks.mapInArrow(_emit_tokens(splitters), _ddl(_TOKENS))
