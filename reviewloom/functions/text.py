@@ -131,20 +131,31 @@ def lemmatize(tokens) -> Column:
 def lemmatize_with_table(df, tokens, lemmas, id_col, out="lemmas"):
     """Replace tokens by the lemma a table gives (``token``, ``lemma``).
 
-    Tokens the table does not list stay as they are. The table is broadcast
-    when Spark finds it small, else joined on the token. ``id_col`` names the
-    row; rows without tokens get an empty list.
+    Tokens the table does not list stay as they are; of several lemmas of a
+    token the first by name counts. Each row sends the distinct tokens of its
+    own to the table, and only those that change come back, as a map that is
+    applied in place: token lists are not taken apart. A token of every row is
+    joined by adaptive execution in several tasks, or to a broadcast table.
+    Rows are told apart by ``id_col`` and their tokens, so a repeated id does
+    no harm. Rows without tokens get an empty list.
     """
-    words = df.select(id_col, F.posexplode(tokens).alias("position", "token"))
-    lemma = F.coalesce(F.col("lemma"), F.col("token"))
-    lists = (
-        words.join(lemmas.select("token", "lemma"), "token", "left")
-        .groupBy(id_col)
-        .agg(F.array_sort(F.collect_list(F.struct("position", lemma.alias("lemma")))).alias("_w"))
-        .select(id_col, F.col("_w.lemma").alias(out))
+    own = F.coalesce(_col(tokens), F.array().cast("array<string>"))
+    keyed = df.withColumn("_own", own).withColumn(
+        "_row", F.unhex(F.sha2(F.to_json(F.struct(F.col(id_col), F.col("_own"))).cast("binary"), 256))
+    )
+    one = lemmas.groupBy("token").agg(F.min("lemma").alias("lemma")).filter("lemma <> token")
+    words = keyed.select("_row", F.explode(F.array_distinct("_own")).alias("token")).distinct()
+    changes = (
+        words.join(one, "token")
+        .groupBy("_row")
+        .agg(F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_changes"))
+    )
+    replaced = F.transform("_own", lambda t: F.coalesce(F.element_at("_changes", t), t))
+    return (
+        keyed.join(changes, "_row", "left")
+        .withColumn(out, F.when(F.col("_changes").isNull(), F.col("_own")).otherwise(replaced))
+        .drop("_row", "_own", "_changes")
     )
-    empty = F.array().cast("array<string>")
-    return df.join(lists, id_col, "left").withColumn(out, F.coalesce(F.col(out), empty))
 
 
 def preprocess(c) -> Column:

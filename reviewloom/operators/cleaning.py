@@ -2,7 +2,9 @@
 
 Groups of equal bodies are found by digest, and each group is reduced in the
 partial aggregation. A body that fills a third of the table is one row per
-task at the shuffle.
+task at the shuffle. Texts stay where they are read: only digests, labels and
+the order column are aggregated, and the reviews are joined to the repeated
+bodies alone.
 """
 
 from pyspark.sql import DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.labels import normalize_reviews, star_sentiment
 from reviewloom.functions.text import is_blank, text_digest
+from reviewloom.operators.audit import row_digest
 from reviewloom.schema import INVALID, LABELS
 
 # One bit per label, so the labels of a group combine with bit_or.
@@ -94,17 +97,43 @@ def drop_conflicting(reviews: DataFrame, body="review_body", sentiment="sentimen
 def dedup_keep_first(reviews: DataFrame, key="review_body", order=("review_id",)) -> DataFrame:
     """The first row of each key, by an explicit order.
 
-    An aggregation and not a window: equal keys are reduced before the shuffle.
-    Rows that tie on ``order`` are told apart by their other columns.
+    Rows that tie on ``order`` are told apart by the digest of all their
+    columns; of rows that are equal in all of them one stays.
     """
-    return _first_rows(reviews, key, order).select("_row.*")
+    return _keep_first(reviews, _first_places(reviews, key, order), key, order).drop("_agree")
 
 
-def _first_rows(reviews, key, order, *more):
-    position = F.struct(*order, *[c for c in reviews.columns if c not in order])
-    return reviews.groupBy(text_digest(key).alias("_key")).agg(
-        F.min_by(F.struct(*reviews.columns), position).alias("_row"), *more
+def _place(reviews, order):
+    return F.struct(*order, row_digest(reviews.columns).alias("_digest"))
+
+
+def _first_places(reviews, key, order, *more):
+    """One narrow row per key that repeats: the place of its first row, and whether that row itself repeats."""
+    places = reviews.select(text_digest(key).alias("_key"), _place(reviews, order).alias("_place"), *more)
+    groups = places.groupBy("_key").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min("_place").alias("_first"),
+        F.bit_or("_label").alias("_labels") if more else F.lit(1).alias("_labels"),
+        F.count_distinct("_place").alias("_places"),
+    )
+    return groups.filter("_n > 1").select(
+        "_key", "_first", (F.bit_count("_labels") == 1).alias("_agree"), (F.col("_n") > F.col("_places")).alias("_copies")
+    )
+
+
+def _keep_first(reviews, repeated, key, order):
+    """The reviews without repeats. Spark broadcasts ``repeated`` where it is small; else a hot key is split."""
+    own = reviews.columns
+    joined = (
+        reviews.withColumn("_place", _place(reviews, order))
+        .withColumn("_key", text_digest(key))
+        .join(repeated, "_key", "left")
+        .filter(F.col("_first").isNull() | (F.col("_first") == F.col("_place")))
     )
+    kept = joined.select(*own, F.coalesce("_agree", F.lit(True)).alias("_agree"), "_key", "_copies")
+    single = kept.filter("_copies IS NULL OR NOT _copies")
+    equal = kept.filter("_copies").dropDuplicates(["_key"])
+    return single.unionByName(equal).drop("_key", "_copies")
 
 
 def drop_empty_body(reviews: DataFrame, body="review_body") -> DataFrame:
@@ -132,19 +161,18 @@ def repeated_bodies(prepared: DataFrame, order="review_id") -> DataFrame:
 def clean_reviews(reviews: DataFrame, order="review_id", drop_empty=True, repeated=None) -> DataFrame:
     """Label, normalise, drop contradictory bodies, keep the first of each other.
 
-    Without ``repeated`` everything happens in one aggregation by body digest,
-    one shuffle of the table, whatever the table holds. With ``repeated`` (a
-    staged ``repeated_bodies`` table) the reviews are only joined to the few
-    repeated bodies: when that table is small Spark broadcasts it, and the
-    reviews are not shuffled. That way needs ``order`` to be unique.
+    The reviews are joined to the few repeated bodies: where these are small
+    Spark broadcasts them, and the reviews are not shuffled. ``repeated`` may
+    be a staged ``repeated_bodies`` table, which needs no digests of whole rows
+    but an ``order`` without ties; without it, ties and equal rows are told
+    apart.
     """
     prepared = prepare_reviews(reviews)
     if drop_empty:
         prepared = drop_empty_body(prepared)
     if repeated is None:
-        labels = F.bit_or(_label_bit("sentiment")).alias("_labels")
-        groups = _first_rows(prepared, "review_body", (order,), labels)
-        return groups.filter(F.bit_count("_labels") == 1).select("_row.*")
+        places = _first_places(prepared, "review_body", (order,), _label_bit("sentiment").alias("_label"))
+        return _keep_first(prepared, places, "review_body", (order,)).filter("_agree").drop("_agree")
     keep = F.col("_first").isNull() | (F.col("_agree") & (F.col("_first") == F.col(order)))
     return (
         prepared.withColumn("_body", text_digest("review_body"))
@@ -170,8 +198,14 @@ def cleaning_report(reviews: DataFrame, drop_empty=True) -> DataFrame:
         F.sum(F.when(~agree, F.col("n"))).alias("conflicting"),
         F.sum(F.when(agree, F.col("n") - 1)).alias("repeated"),
         F.count_if(agree).alias("final"),
+        F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("in_groups"),
+        F.count_if(F.col("n") > 1).alias("groups"),
         *[F.count_if(F.col("labels") == bit).alias(f"final_{label}") for label, bit in _BITS.items()],
-    ).withColumn("initial", reviews.agg(F.count(F.lit(1))).scalar())
+    )
+    raw = F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col("review_title").isNull()).alias("untitled"))
+    row = row.withColumn("_raw", reviews.agg(raw.alias("r")).scalar()).withColumns(
+        {"initial": F.col("_raw.n"), "untitled": F.col("_raw.untitled")}
+    )
     zero = F.lit(0)
 
     def metric(name, value, label=None, percent=None):
@@ -185,6 +219,9 @@ def cleaning_report(reviews: DataFrame, drop_empty=True) -> DataFrame:
     c = F.col
     metrics = [
         metric("initial_rows", c("initial")),
+        metric("filled_titles", c("untitled")),
+        metric("rows_in_duplicate_groups", c("in_groups")),
+        metric("duplicate_texts", c("groups")),
         metric("dropped_empty_body", c("initial") - F.coalesce(c("kept"), zero)),
         metric("dropped_conflicting", c("conflicting")),
         metric("dropped_repeated", c("repeated")),

@@ -9,13 +9,13 @@ shuffle.
 import math
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewloom.session import stage_path
+from reviewloom.session import stage, stage_path
 
 TEXT, WORDS, TERMS, TF, WEIGHTED, FEATURES = (
     f"_model_{name}" for name in ("text", "words", "terms", "tf", "weighted", "features")
@@ -109,18 +109,21 @@ def fit_features(
 ) -> PipelineModel:
     """Fit vocabulary and weights on ``train``; apply with ``transform_features``.
 
-    The stages: words, terms, counts, times idf, scaled to length 1.
+    The stages: words, terms, counts, times idf, scaled to length 1. Terms are
+    numbered alphabetically. The texts are staged once as a narrow table, which
+    the vocabulary and the number of documents are read from. The driver holds
+    the vocabulary, so ``max_features`` has to bound it.
     """
+    if not max_features:
+        raise ValueError("max_features has to bound the vocabulary")
     stages = _term_stages(n_max)
-    prepared = PipelineModel(stages).transform(train.select(F.col(text).alias(TEXT)))
-    rows = vocabulary(prepared, TERMS, min_df, max_features).collect()
+    texts = stage(train.select(F.col(text).alias(TEXT)), "texts")
+    rows = vocabulary(PipelineModel(stages).transform(texts), TERMS, min_df, max_features).collect()
     if not rows:
         raise ValueError("no term occurs in enough documents")
-    n = train.count()
+    n = texts.count()
     idf_of = {r.term: math.log((1 + n) / (1 + r.df)) + 1 for r in rows}
-    # Fitting on the chosen terms, one per row, makes them the vocabulary.
-    chosen = train.sparkSession.createDataFrame([([term],) for term in sorted(idf_of)], f"{TERMS} array<string>")
-    counter = CountVectorizer(inputCol=TERMS, outputCol=TF, vocabSize=len(rows), minDF=1).fit(chosen.coalesce(1))
+    counter = CountVectorizerModel.from_vocabulary(sorted(idf_of), inputCol=TERMS, outputCol=TF)
     weights = Vectors.dense([idf_of[term] for term in counter.vocabulary])
     return PipelineModel(
         stages
@@ -170,8 +173,9 @@ def tfidf_table(df: DataFrame, model: PipelineModel, text: str, *keep: str, subl
     """Long form (kept columns, term, weight) of the TF-IDF vectors.
 
     ``keep`` names the id and whatever else each entry shall carry, a label for
-    one, so that it need not be joined to the many entries later. ``sublinear`` damps counts to 1 + ln(count). The vocabulary joined for the
-    term names has at most ``max_features`` rows.
+    one, so that it need not be joined to the many entries later. ``sublinear``
+    damps counts to 1 + ln(count). The vocabulary joined for the term names has
+    at most ``max_features`` rows.
     """
     features = model.transform(df.select(*keep, F.col(text).alias(TEXT)))
     if sublinear:

@@ -184,21 +184,32 @@ def parity_check(a: DataFrame, b: DataFrame, key: str, label=PREDICTED, toleranc
     """Two scored tables by id: same label, and probabilities within tolerance.
 
     ``missing_in`` names the table that lacks the row, so a row on one side
-    only never counts as a match.
+    only never counts as a match. A probability that is NULL on one side alone
+    is no match either; NULL on both is. A repeated key is an error.
     """
     probabilities = [f"prob_{c}" for c in LABELS]
 
     def side(df, name):
-        return df.select(
+        values = F.struct(F.col(label).alias("label"), *probabilities)
+        rows = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max(values).alias("_v"))
+        message = F.concat(F.lit(f"{key} occurs more than once: "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
+        once = F.when(F.col("_n") > 1, F.raise_error(message)).otherwise(F.lit(True))
+        return rows.select(
             key,
-            F.col(label).alias(f"label_{name}"),
-            *[F.col(p).alias(f"{p}_{name}") for p in probabilities],
-            F.lit(True).alias(f"in_{name}"),
+            F.col("_v.label").alias(f"label_{name}"),
+            *[F.col(f"_v.{p}").alias(f"{p}_{name}") for p in probabilities],
+            once.alias(f"in_{name}"),
         )
 
+    def near(p):
+        a, b = F.col(f"{p}_a"), F.col(f"{p}_b")
+        return a.eqNullSafe(b) | F.coalesce(F.abs(a - b) <= tolerance, F.lit(False))
+
     gap = F.greatest(*[F.abs(F.col(f"{p}_a") - F.col(f"{p}_b")) for p in probabilities])
     both = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
-    same = F.col("label_a").eqNullSafe(F.col("label_b")) & (F.coalesce(gap, F.lit(0.0)) <= tolerance)
+    same = F.col("label_a").eqNullSafe(F.col("label_b"))
+    for p in probabilities:
+        same = same & near(p)
     return (
         side(a, "a")
         .join(side(b, "b"), key, "full_outer")
@@ -268,12 +279,13 @@ def category_accuracy(scored: DataFrame, by="category", actual="expected_sentime
 
 
 def keyword_by_class(df: DataFrame, words, terms: str, label=ACTUAL) -> DataFrame:
-    """Per keyword: rows that contain it, in all and by class; 0 for unseen words.
+    """Per distinct keyword: rows that contain it, in all and by class; 0 for unseen words.
 
     ``terms`` is a token list column. Keywords are cut out of each list before
     the shuffle, so only hits move.
     """
-    keywords = F.lit(list(words))
+    words = list(dict.fromkeys(words))
+    keywords = F.lit(words)
     found = df.select(label, F.explode(F.array_intersect(terms, keywords)).alias("word"))
     listed = df.sparkSession.createDataFrame([(w,) for w in words], "word string").withColumn(
         label, F.lit(None).cast("string")

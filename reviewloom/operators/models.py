@@ -3,7 +3,8 @@
 import time
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, NaiveBayes
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, NaiveBayes, NaiveBayesModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +29,6 @@ EXPERIMENTS = (
 
 MAX_ITER = 1000
 
-# Vector entries that keep one solver task busy, about 24 MB.
-ENTRIES_PER_PARTITION = 2_000_000
-
 
 def class_weights(df: DataFrame, label="sentiment") -> DataFrame:
     """Per class: n / (classes * rows of the class)."""
@@ -46,20 +44,18 @@ def balanced_weights(df: DataFrame, label="sentiment", out=WEIGHT) -> DataFrame:
 
 
 def fit_logistic(
-    train: DataFrame, c=1.0, max_iter=MAX_ITER, tol=1e-6, aggregation_depth=2, features=X.FEATURES
+    train: DataFrame, c=1.0, max_iter=MAX_ITER, tol=1e-6, aggregation_depth=2, features=X.FEATURES, partitions=None
 ) -> LogisticRegressionModel:
     """Multinomial logistic regression with an L2 penalty of strength 1 / ``c``.
 
     ``train`` holds the vector, the label index and the row weight. Spark
     averages the loss over the weights, hence the division by their sum.
-    Every iteration is a job, so a small table is packed into few partitions;
-    a large one keeps its own. Raise ``aggregation_depth`` with their number.
+    Every iteration is a job: ``partitions`` packs the table into so many,
+    otherwise it keeps its own. Raise ``aggregation_depth`` with their number.
     """
-    entries = F.size(X.sparse_parts(features)["values"])
-    total, n_entries = train.agg(F.sum(WEIGHT), F.sum(entries)).first()
-    needed = 1 + (n_entries or 0) // ENTRIES_PER_PARTITION
-    if needed < train.sparkSession.sparkContext.defaultParallelism:
-        train = train.coalesce(needed)
+    total = train.agg(F.sum(WEIGHT)).first()[0]
+    if partitions:
+        train = train.coalesce(partitions)
     return LogisticRegression(
         family="multinomial",
         featuresCol=features,
@@ -94,43 +90,40 @@ def fit_naive_bayes(train: DataFrame, smoothing=1.0, features=X.FEATURES):
 
 
 def naive_bayes_table(weights: DataFrame, rows: DataFrame, label="sentiment", smoothing=1.0):
-    """Naive Bayes from a long TF-IDF table: (class, term, log_prob), (class, log_prior).
+    """Naive Bayes from a long TF-IDF table: terms and priors, each with a column per class.
 
     ``weights`` carries the label of its row; ``rows`` are all training rows.
-    One row per term with a sum per class is all that leaves the aggregation.
+    ``terms`` has the logarithm of each term's share of a class, ``priors``, one
+    row, that of each class's share of the rows (NULL for a class without rows).
+    One row per term is all that leaves the aggregation.
     """
-    sums = (
-        weights.groupBy("term")
-        .agg(*[F.coalesce(F.sum(F.when(F.col(label) == c, F.col("weight"))), F.lit(0.0)).alias(c) for c in LABELS])
+    sums = weights.groupBy("term").agg(
+        *[F.coalesce(F.sum(F.when(F.col(label) == c, F.col("weight"))), F.lit(0.0)).alias(c) for c in LABELS]
     )
     sums = stage(sums, "naive-bayes-sums")
-    long = sums.unpivot(["term"], list(LABELS), "class", "total")
-    per_class = long.groupBy("class").agg(
-        (F.sum("total") + smoothing * F.count(F.lit(1))).alias("mass")
-    )
-    terms = long.join(F.broadcast(per_class), "class").select(
-        "class", "term", F.log((F.col("total") + smoothing) / F.col("mass")).alias("log_prob")
+    masses = F.struct(*[(F.sum(c) + smoothing * F.count(F.lit(1))).alias(c) for c in LABELS])
+    masses = sums.agg(masses.alias("m")).scalar()
+    terms = sums.select("term", *[F.log((F.col(c) + smoothing) / masses[c]).alias(c) for c in LABELS])
+    counts = rows.filter(F.col(label).isin(*LABELS)).agg(
+        F.count(F.lit(1)).alias("_all"), *[F.count_if(F.col(label) == c).alias(c) for c in LABELS]
     )
-    counts = rows.filter(F.col(label).isin(*LABELS)).groupBy(F.col(label).alias("class")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    n = counts.agg(F.sum("n")).scalar()
-    return terms, counts.select("class", F.log(F.col("n") / n).alias("log_prior"))
+    return terms, counts.select(*[F.log(F.nullif(F.col(c), F.lit(0)) / F.col("_all")).alias(c) for c in LABELS])
+
+
+def by_class(table: DataFrame, value: str, *keep: str) -> DataFrame:
+    """A table with a column per class as rows (kept columns, class, value); NULL values left out."""
+    return table.unpivot(list(keep), list(LABELS), "class", value).filter(F.col(value).isNotNull())
 
 
 def score_naive_bayes(weights: DataFrame, ids: DataFrame, terms: DataFrame, priors: DataFrame, id_col: str) -> DataFrame:
     """Most probable class per id; rows without a known term get the prior.
 
-    The model has one row per vocabulary term, so it is broadcast, and a
-    document's terms are summed where they are read.
+    The model is joined on the term; Spark broadcasts it where its staged size
+    is small, and else splits a term of very many rows.
     """
-    wide = terms.groupBy("term").pivot("class", list(LABELS)).agg(F.first("log_prob"))
-    sums = (
-        weights.join(F.broadcast(wide), "term")
-        .groupBy(id_col)
-        .agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in LABELS])
-    )
-    prior = {c: priors.filter(F.col("class") == c).select("log_prior").agg(F.max("log_prior")).scalar() for c in LABELS}
+    terms = stage(terms, "naive-bayes-terms")
+    sums = weights.join(terms, "term").groupBy(id_col).agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in LABELS])
+    prior = priors.select(F.struct(*LABELS).alias("p")).scalar()
     scored = ids.select(id_col).join(sums, id_col, "left").withColumns(
         {c: F.coalesce(F.col(c), F.lit(0.0)) + F.coalesce(prior[c], F.lit(float("-inf"))) for c in LABELS}
     )
@@ -153,8 +146,13 @@ def model_text(option="B", text_mode="raw"):
     raise ValueError(f"text mode must be 'raw' or 'processed', not {text_mode!r}")
 
 
+def untrainable_rows(df: DataFrame, label="sentiment") -> int:
+    """The number of rows without one of the fixed labels, which no model is trained on."""
+    return df.filter(~F.coalesce(F.col(label).isin(*LABELS), F.lit(False))).count()
+
+
 def training_rows(df: DataFrame, label="sentiment") -> DataFrame:
-    """Rows with one of the fixed labels, with its index."""
+    """Rows with one of the fixed labels, with its index; ``untrainable_rows`` counts the others."""
     return df.filter(F.col(label).isin(*LABELS)).withColumn(LABEL, label_index(label))
 
 
@@ -173,25 +171,34 @@ def fit_sentiment_model(
     min_df=X.MIN_DF,
     max_features=X.MAX_FEATURES,
     label="sentiment",
+    classifier="logistic",
     **solver,
 ):
     """Features and classifier in one pipeline, and the settings its scorer needs.
 
-    The vectors are staged once: the solver then reads them in every iteration
+    ``classifier``: ``logistic``, with the options of ``fit_logistic``, or
+    ``naive_bayes``, which is one pass and takes no class weights. The vectors are staged once: the solver then reads them in every iteration
     without building the features again, whatever executors are lost.
     """
     rows = training_rows(train, label).select(F.col(label), LABEL, model_text(text_option, text_mode).alias("_text"))
     features = X.fit_features(rows, "_text", n_max, min_df, max_features)
     vectors = stage(X.transform_features(features, rows, "_text").select(label, LABEL, X.FEATURES), "vectors")
-    classifier = fit_logistic(_weighted(vectors, class_weight, label), **solver)
+    if classifier == "naive_bayes":
+        fitted, class_weight = fit_naive_bayes(vectors, **solver), "none"
+    elif classifier == "logistic":
+        fitted = fit_logistic(_weighted(vectors, class_weight, label), **solver)
+    else:
+        raise ValueError(f"classifier must be 'logistic' or 'naive_bayes', not {classifier!r}")
     settings = {
         "text_option": text_option,
         "n_max": n_max,
         "class_weight": class_weight,
         "text_mode": text_mode,
+        "classifier": classifier,
         "vocabulary_size": len(X.feature_terms(features)),
+        "untrainable_rows": untrainable_rows(train, label),
     }
-    return PipelineModel(features.stages + [classifier]), settings
+    return PipelineModel(features.stages + [fitted]), settings
 
 
 def _metrics_row(scored, label):
@@ -262,13 +269,58 @@ def train_final(train: DataFrame, val: DataFrame, best, **options):
     )
 
 
-def _classifier(model):
-    return next(s for s in model.stages if isinstance(s, LogisticRegressionModel))
+def solver_gradient(rows: DataFrame, model: LogisticRegressionModel, c=1.0, features=X.FEATURES) -> DataFrame:
+    """(class, n_rows, gradient) of the penalised loss at the fitted coefficients.
+
+    ``rows`` holds the vectors, label indices and weights that ``model`` was
+    fitted on; ``gradient`` is the largest entry, per unit of weight, in
+    absolute value. Every row adds its entries in place, and only one sum for
+    each term is shuffled.
+    """
+    classes = range(len(LABELS))
+    parts = X.sparse_parts(features)
+    scored = model.transform(rows).withColumn("_p", vector_to_array(PROBABILITY))
+    errors = [(F.col("_p")[k] - (F.col(LABEL) == k).cast("double")) * F.col(WEIGHT) for k in classes]
+    entries = scored.select(
+        *[e.alias(f"e{k}") for k, e in enumerate(errors)],
+        F.inline(F.arrays_zip(parts["indices"].alias("i"), parts["values"].alias("x"))),
+    )
+    sums = entries.groupBy("i").agg(*[F.sum(F.col(f"e{k}") * F.col("x")).alias(f"g{k}") for k in classes])
+    matrix = model.coefficientMatrix.toArray()
+    kept = [(i, *(float(matrix[k, i]) for k in classes)) for i in range(matrix.shape[1])]
+    kept = rows.sparkSession.createDataFrame(kept, "i int, " + ", ".join(f"w{k} double" for k in classes))
+    slopes = [F.max(F.abs(F.coalesce(F.col(f"g{k}"), F.lit(0.0)) + F.col(f"w{k}") / c)).alias(f"m{k}") for k in classes]
+    largest = kept.join(sums, "i", "left").agg(*slopes)
+    counts = scored.agg(
+        *[F.count_if(F.col(LABEL) == k).alias(f"n{k}") for k in classes],
+        *[F.abs(F.sum(e)).alias(f"b{k}") for k, e in enumerate(errors)],
+        F.sum(WEIGHT).alias("total"),
+    )
+    row = counts.withColumn("_m", largest.select(F.struct(*[f"m{k}" for k in classes])).scalar())
+    lines = [
+        F.struct(
+            F.lit(label).alias("class"),
+            F.col(f"n{k}").alias("n_rows"),
+            (F.greatest(f"_m.m{k}", f"b{k}") / F.col("total")).alias("gradient"),
+        )
+        for k, label in enumerate(LABELS)
+    ]
+    return row.select(F.inline(F.array(*lines)))
+
+
+def _class_weights(model):
+    """One row of weights per class: coefficients, or the log shares of naive Bayes."""
+    for s in model.stages:
+        if isinstance(s, LogisticRegressionModel):
+            return s.coefficientMatrix.toArray()
+        if isinstance(s, NaiveBayesModel):
+            return s.theta.toArray()
+    raise ValueError("the pipeline has no classifier with a weight per term")
 
 
 def term_coefficients(spark, model: PipelineModel) -> DataFrame:
     """(term, weight per class) of the fitted classifier; one row per term."""
-    matrix = _classifier(model).coefficientMatrix.toArray()
+    matrix = _class_weights(model)
     rows = [
         (term, *[float(matrix[k, i]) for k in range(len(LABELS))]) for i, term in enumerate(X.feature_terms(model))
     ]

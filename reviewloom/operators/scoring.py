@@ -81,6 +81,7 @@ def score_gated(df: DataFrame, model: PipelineModel, text_column=None, text_mode
             "domain_message": F.col("_gate.message"),
             "sentiment": F.when(blank, NEUTRAL).when(accepted, label_name(PREDICTION)),
             "confidence": F.when(accepted, F.round(F.array_max("_p") * 100, 2)).otherwise(0.0),
+            "predicted_class_probability": F.when(accepted, F.round(F.array_max("_p") * 100, 2)).otherwise(0.0),
             "probabilities": F.when(blank, percents(lambda c: F.lit(thirds[c])))
             .when(accepted, percents(lambda c: F.round(F.col("_p")[LABELS.index(c)] * 100, 2)))
             .otherwise(percents(lambda c: F.lit(0.0))),
@@ -89,7 +90,8 @@ def score_gated(df: DataFrame, model: PipelineModel, text_column=None, text_mode
                 ~blank,
                 F.col("_steps")
                 .withField("num_nonzero_features", features)
-                .withField("vocabulary_size", vocabulary_size),
+                .withField("vocabulary_size", vocabulary_size)
+                .withField("model_used", F.lit(f"TF-IDF + {type(model.stages[-1]).__name__.removesuffix('Model')}")),
             ),
         }
     )

@@ -159,8 +159,10 @@ def best_group_split(reviews: DataFrame, key="product_id", label="sentiment", se
 
 
 def split_leakage(split_reviews: DataFrame, key="product_id") -> DataFrame:
-    """Keys that each pair of splits shares; all zero in a sound split."""
-    bit = F.when(F.col("split") == "train", 1).when(F.col("split") == "val", 2).otherwise(4)
+    """Keys that each pair of splits shares; all zero in a sound split. Another split name is an error."""
+    unknown = F.raise_error(F.concat(F.lit("unknown split: "), F.coalesce("split", F.lit("NULL")))).cast("int")
+    bit = F.when(F.col("split") == "train", 1).when(F.col("split") == "val", 2)
+    bit = bit.when(F.col("split") == "test", 4).otherwise(unknown)
     masks = split_reviews.groupBy(key).agg(F.bit_or(bit).alias("mask"))
     return masks.agg(
         F.count_if(F.col("mask").bitwiseAND(3) == 3).alias("train_val"),

@@ -27,8 +27,8 @@ from reviewloom.streaming.scoring import score_stream
 
 QUERIES = {}
 
-# Iterations of the solver in the queries; the library default is 1000.
-QUERY_ITERATIONS = 30
+# Largest entry of the gradient, per unit of weight, at which the loss counts as minimal.
+GRADIENT_BELOW = 1e-3
 
 KEYWORDS = ("the", "and", "les", "der", "with", "ing", "nowhere")
 
@@ -257,20 +257,29 @@ def gated_turns(spark, sf_dir):
 
 @query
 def gated_documents(spark, sf_dir):
-    """Documents by gate message, with one word swapped so that every rule fires."""
+    """Documents by gate message, with one word swapped in a part of them, and their languages as short texts."""
     swapped = F.when(F.col("doc_id") % 4 == 0, F.regexp_replace("text", r"\b(?:on|la|der)\b", "quality")).when(
         F.col("doc_id") % 4 == 1, F.regexp_replace("text", r"\b(?:the|le|die)\b", "fever")
-    ).when(F.col("doc_id") % 4 == 2, F.col("lang")).otherwise(F.col("text"))
-    return (
-        table(spark, sf_dir, "documents")
-        .select("doc_id", domain_gate(swapped).alias("g"))
-        .select("doc_id", "g.is_product_feedback", "g.message")
+    ).otherwise(F.col("text"))
+    texts = F.array(
+        F.struct(F.lit("text").alias("part"), swapped.alias("text")), F.struct(F.lit("lang").alias("part"), F.col("lang").alias("text"))
+    )
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.inline(texts))
+    return rows.select("doc_id", "part", domain_gate("text").alias("g")).select(
+        "doc_id", "part", "g.is_product_feedback", "g.message"
     )
 
 
 @query
 def join_keys(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", TX.normalize_join_text("text").alias("join_text"))
+    """Of the benchmark the key itself, of every document its digest."""
+    items = table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("b"), "item_id").alias("item"), TX.normalize_join_text("text").alias("join_text")
+    )
+    docs = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), "doc_id").alias("item"), F.md5(TX.normalize_join_text("text").cast("binary")).alias("join_text")
+    )
+    return items.unionByName(docs)
 
 
 # Audit
@@ -335,7 +344,12 @@ def distinct_ids(spark, sf_dir):
 
 @query
 def distinct_ids_approximate(spark, sf_dir):
-    return A.distinct_counts(sample_reviews(spark, sf_dir), approximate=True)
+    """The exact counts, and whether the approximate ones are within three times their stated error of 5 percent."""
+    reviews = sample_reviews(spark, sf_dir)
+    exact = A.distinct_counts(reviews)
+    near = A.distinct_counts(reviews, approximate=True).select(F.struct("*").alias("n")).scalar()
+    close = [(F.abs(near[c] - F.col(c)) <= 0.15 * F.col(c)).alias(f"{c}_close") for c in exact.columns]
+    return exact.select("*", *close)
 
 
 @query
@@ -483,7 +497,8 @@ def stratified_split(spark, sf_dir):
 @query
 def stacked_splits(spark, sf_dir):
     reviews = prepared(spark, sf_dir)
-    parts = [G.with_split(reviews.filter(F.col("language") == x), x) for x in ("en", "fr", "de", "es")]
+    english = F.col("language") == "en"
+    parts = [G.with_split(reviews.filter(english), "en"), G.with_split(reviews.filter(~english | english.isNull()), "other")]
     return G.union_splits(*parts).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("stars").alias("sum_stars"))
 
 
@@ -549,16 +564,22 @@ def features_of_unseen(spark, sf_dir):
     return features.select("review_id", "split", "num_nonzero_features", "vocabulary_size")
 
 
+@query
+def weights_of_unseen(spark, sf_dir):
+    """The weights behind those counts."""
+    rows = G.group_split(prepared(spark, sf_dir, 7)).select("review_id", "split", L.text_representation("B").alias("text"))
+    model = X.fit_features(rows.filter("split = 'train'"), "text", 1)
+    return rounded(X.tfidf_table(rows.filter("split != 'train'"), model, "text", "review_id", "split"))
+
+
 @query
 def sublinear_vectors(spark, sf_dir):
-    """The damped vectors as Spark ML vectors: their lengths and entries."""
+    """The entries of the damped vectors as Spark ML has them, by the number of their term."""
     texts = _texts(spark, sf_dir)
     model = X.fit_features(texts, "text", 1, X.LEGACY_MIN_DF, X.LEGACY_MAX_FEATURES)
-    values = X.sparse_parts(X.FEATURES)["values"]
-    square = F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x)
-    return X.sublinear_features(texts, model, "text").select(
-        "review_id", F.size(values).cast("long").alias("n_features"), F.round(F.sqrt(square), 6).alias("length")
-    )
+    parts = X.sparse_parts(X.FEATURES)
+    entries = F.arrays_zip(parts["indices"].alias("term_index"), parts["values"].alias("weight"))
+    return rounded(X.sublinear_features(texts, model, "text").select("review_id", F.inline(entries)))
 
 
 # Models
@@ -583,12 +604,12 @@ def _bayes(spark, sf_dir):
 
 @query
 def naive_bayes_terms(spark, sf_dir):
-    return rounded(_bayes(spark, sf_dir)[2])
+    return rounded(M.by_class(_bayes(spark, sf_dir)[2], "log_prob", "term"))
 
 
 @query
 def naive_bayes_priors(spark, sf_dir):
-    return rounded(_bayes(spark, sf_dir)[3])
+    return rounded(M.by_class(_bayes(spark, sf_dir)[3], "log_prior"))
 
 
 @query
@@ -613,14 +634,27 @@ def _splits(spark, sf_dir):
 
 
 def _model(spark, sf_dir, **options):
+    """The model of the scoring queries: naive Bayes, which SQL can express."""
     train, val, _ = _splits(spark, sf_dir)
-    return M.fit_sentiment_model(train.unionByName(val), max_iter=QUERY_ITERATIONS, **options)
+    return M.fit_sentiment_model(train.unionByName(val), classifier="naive_bayes", **options)
 
 
 @query
 def experiment_results(spark, sf_dir):
     train, val, _ = _splits(spark, sf_dir)
-    return M.run_experiments(train, val, max_iter=QUERY_ITERATIONS)
+    return M.run_experiments(train, val)
+
+
+@query
+def solver_gradients(spark, sf_dir):
+    """Rows per class, and whether the solver has reached a minimum of the loss."""
+    train, _, _ = _splits(spark, sf_dir)
+    rows = M.training_rows(train).select("sentiment", M.LABEL, M.model_text("A").alias("text"))
+    features = X.fit_features(rows, "text", 1)
+    vectors = stage(X.transform_features(features, rows, "text").select("sentiment", M.LABEL, X.FEATURES), "vectors")
+    weighted = M.balanced_weights(vectors)
+    found = M.solver_gradient(weighted, M.fit_logistic(weighted))
+    return found.select("class", "n_rows", (F.col("gradient") < GRADIENT_BELOW).alias("at_minimum"))
 
 
 @query
@@ -640,7 +674,7 @@ def final_model_report(spark, sf_dir):
     """Refit on train and validation, measured on the test products."""
     train, val, test = _splits(spark, sf_dir)
     best = {"text_option": "B", "n_max": 2, "class_weight": "balanced"}
-    model, settings = M.train_final(train, val, best, max_iter=QUERY_ITERATIONS)
+    model, settings = M.train_final(train, val, best)
     text = test.withColumn("text", M.model_text(settings["text_option"]))
     return rounded(V.classification_report(R.score_batch(text, model, "text")))
 
@@ -651,7 +685,7 @@ def final_model_report(spark, sf_dir):
 @query
 def scored_turns(spark, sf_dir):
     model, _ = _model(spark, sf_dir)
-    return R.score_batch(table(spark, sf_dir, "conversations"), model, with_probabilities=True)
+    return rounded(R.score_batch(table(spark, sf_dir, "conversations"), model, with_probabilities=True))
 
 
 @query
@@ -666,7 +700,29 @@ def scored_turns_processed(spark, sf_dir):
 @query
 def gated_scores(spark, sf_dir):
     model, _ = _model(spark, sf_dir)
-    return R.score_gated(table(spark, sf_dir, "conversations"), model)
+    return _flat_answers(R.score_gated(table(spark, sf_dir, "conversations"), model))
+
+
+def _flat_answers(answers):
+    """The answers with their probabilities and counts as columns."""
+    steps = F.col("nlp_steps")
+    return answers.select(
+        "conv_id",
+        "turn",
+        "is_valid_domain",
+        "domain_status",
+        "domain_message",
+        "sentiment",
+        "confidence",
+        "predicted_class_probability",
+        *[F.col("probabilities")[c].alias(f"percent_{c}") for c in LABELS],
+        "cleaned_text",
+        steps["processed_text"].alias("processed_text"),
+        steps["num_tokens"].alias("num_tokens"),
+        steps["num_nonzero_features"].alias("num_nonzero_features"),
+        steps["vocabulary_size"].alias("vocabulary_size"),
+        steps["model_used"].alias("model_used"),
+    )
 
 
 @query
@@ -717,7 +773,7 @@ def streamed_scores(spark, sf_dir):
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/conversations*.parquet")
     path = stage_path(spark, "streamed")
     score_stream(stream, model, path, stage_path(spark, "stream-checkpoint")).awaitTermination()
-    return spark.read.parquet(path)
+    return _flat_answers(spark.read.parquet(path))
 
 
 # Evaluation
@@ -767,6 +823,7 @@ def parity_check(spark, sf_dir):
     a = _with_probabilities(scored.filter("language != 'es'"), 0.0)
     b = _with_probabilities(scored.filter("language != 'de'"), F.when(F.col("review_id") % 7 == 0, 0.01).otherwise(0.0))
     b = b.withColumn("predicted_sentiment", F.when(F.col("review_id") % 23 == 0, "Neutral").otherwise(F.col("predicted_sentiment")))
+    b = b.withColumn("prob_Neutral", F.when(F.col("review_id") % 31 != 0, F.col("prob_Neutral")))
     return rounded(V.parity_check(a, b, "review_id"))
 
 
@@ -798,7 +855,7 @@ def probability_columns(spark, sf_dir):
     model, _ = _model(spark, sf_dir)
     texts = table(spark, sf_dir, "benchmark").withColumn(X.TEXT, F.col("text"))
     scored = V.probability_columns(model.transform(texts), M.PROBABILITY)
-    return scored.select("item_id", *[f"prob_{c}" for c in LABELS])
+    return rounded(scored.select("item_id", *[f"prob_{c}" for c in LABELS]))
 
 
 @query
@@ -821,10 +878,12 @@ def keyword_classes(spark, sf_dir):
 @query
 def feature_contributions(spark, sf_dir):
     model, _ = _model(spark, sf_dir)
-    return M.feature_contributions(table(spark, sf_dir, "benchmark"), model, "text", "item_id")
+    return rounded(M.feature_contributions(table(spark, sf_dir, "benchmark"), model, "text", "item_id"))
 
 
 @query
 def unknown_terms(spark, sf_dir):
-    model, _ = _model(spark, sf_dir)
+    train, val, _ = _splits(spark, sf_dir)
+    texts = train.unionByName(val).select(M.model_text("B").alias("text"))
+    model = X.fit_features(texts, "text", 2)
     return M.unknown_terms(table(spark, sf_dir, "benchmark"), model, "text", "item_id")

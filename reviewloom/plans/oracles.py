@@ -236,12 +236,14 @@ def _swap(pattern, by):
 
 
 ORACLES["gated_documents"] = f"""WITH s AS (
-  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN {_swap('on|la|der', 'quality')} WHEN 1 THEN {_swap('the|le|die', 'fever')}
-         WHEN 2 THEN lang ELSE text END AS swapped FROM documents),
-g AS (SELECT doc_id, {gate_message('swapped')} AS message FROM s)
-SELECT doc_id, {accepted('message')} AS is_product_feedback, message FROM g"""
+  SELECT doc_id, 'text' AS part, CASE doc_id % 4 WHEN 0 THEN {_swap('on|la|der', 'quality')} WHEN 1 THEN {_swap('the|le|die', 'fever')}
+         ELSE text END AS swapped FROM documents
+  UNION ALL SELECT doc_id, 'lang', lang FROM documents),
+g AS (SELECT doc_id, part, {gate_message('swapped')} AS message FROM s)
+SELECT doc_id, part, {accepted('message')} AS is_product_feedback, message FROM g"""
 
-ORACLES["join_keys"] = f"SELECT item_id, lower({strip('text')}) AS join_text FROM benchmark"
+ORACLES["join_keys"] = f"""SELECT concat('b', item_id) AS item, lower({strip('text')}) AS join_text FROM benchmark
+UNION ALL SELECT concat('d', doc_id), md5(lower({strip('text')})) FROM documents"""
 
 ORACLES["table_shape"] = f"WITH {reviews()} SELECT count(*) AS n_rows, CAST(8 AS BIGINT) AS n_columns FROM reviews"
 
@@ -287,6 +289,11 @@ ORACLES["distinct_ids"] = f"""WITH {reviews()}
 SELECT count(DISTINCT review_id) AS distinct_review_id, count(DISTINCT product_id) AS distinct_product_id,
        count(DISTINCT reviewer_id) AS distinct_reviewer_id FROM reviews"""
 
+ORACLES["distinct_ids_approximate"] = f"""WITH {reviews()}
+SELECT count(DISTINCT review_id) AS distinct_review_id, count(DISTINCT product_id) AS distinct_product_id,
+       count(DISTINCT reviewer_id) AS distinct_reviewer_id, true AS distinct_review_id_close,
+       true AS distinct_product_id_close, true AS distinct_reviewer_id_close FROM reviews"""
+
 ORACLES["duplicate_complete_rows"] = f"""WITH {reviews()},
 twice AS (SELECT * EXCLUDE (review_id) FROM reviews
   UNION ALL SELECT * EXCLUDE (review_id) FROM reviews WHERE product_id LIKE 'src1:%'),
@@ -362,6 +369,9 @@ ORACLES["cleaning_report"] = f"""WITH {CLEANED}, n AS (
          (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM groups WHERE n_labels > 1 AND {strip('review_body')} <> '') AS conflicting,
          (SELECT count(*) FROM cleaned) AS final)
 SELECT 'initial_rows' AS metric, CAST(NULL AS VARCHAR) AS label, initial AS n, CAST(NULL AS DOUBLE) AS percent FROM n
+UNION ALL SELECT 'filled_titles', NULL, (SELECT count(*) FROM documents WHERE doc_id % 61 = 0), NULL FROM n
+UNION ALL SELECT 'rows_in_duplicate_groups', NULL, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM groups WHERE n > 1 AND {strip('review_body')} <> ''), NULL FROM n
+UNION ALL SELECT 'duplicate_texts', NULL, (SELECT count(*) FROM groups WHERE n > 1 AND {strip('review_body')} <> ''), NULL FROM n
 UNION ALL SELECT 'dropped_empty_body', NULL, empty, NULL FROM n
 UNION ALL SELECT 'dropped_conflicting', NULL, conflicting, NULL FROM n
 UNION ALL SELECT 'dropped_repeated', NULL, initial - empty - conflicting - final, NULL FROM n
@@ -448,7 +458,8 @@ SELECT p.review_id, p.sentiment, CASE WHEN row_number() OVER (PARTITION BY p.sen
 FROM prepared p JOIN o ON p.sentiment = o.sentiment"""
 
 ORACLES["stacked_splits"] = f"""WITH {prepared()}
-SELECT language AS split, count(*) AS n, CAST(sum(stars) AS BIGINT) AS sum_stars FROM prepared GROUP BY language"""
+SELECT CASE WHEN language = 'en' THEN 'en' ELSE 'other' END AS split, count(*) AS n, CAST(sum(stars) AS BIGINT) AS sum_stars
+FROM prepared GROUP BY ALL"""
 
 ORACLES["sample_per_class"] = f"""WITH {prepared()}
 SELECT review_id, sentiment FROM prepared QUALIFY row_number() OVER (PARTITION BY sentiment {_HASH_ORDER}) <= 20"""
@@ -502,10 +513,16 @@ known AS (SELECT review_id, count(*) AS k FROM others JOIN vocabulary USING (ter
 SELECT t.review_id, t.split, coalesce(k, 0) AS num_nonzero_features, (SELECT count(*) FROM vocabulary) AS vocabulary_size
 FROM term_lists t LEFT JOIN known USING (review_id) WHERE t.split <> 'train'"""
 
-ORACLES["sublinear_vectors"] = f"""WITH {reviews()}, {_terms(1)}, {_vocabulary(1, 10000)},
-known AS (SELECT review_id, count(*) AS k FROM tf JOIN vocabulary USING (term) GROUP BY review_id)
-SELECT review_id, coalesce(k, 0) AS n_features, CASE WHEN k > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length
-FROM term_lists LEFT JOIN known USING (review_id)"""
+ORACLES["weights_of_unseen"] = f"""WITH {_SPLIT}, {_terms(1, 'splits', columns='review_id, split')},
+fit AS (SELECT * FROM term_lists WHERE split = 'train'), {_vocabulary(2, 50000, 'fit')},
+idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM fit)) / (1.0 + df)) + 1 AS idf FROM vocabulary),
+others AS (SELECT review_id, split, unnest(terms) AS term FROM term_lists WHERE split <> 'train'),
+raw AS (SELECT review_id, split, term, count(*) * any_value(idf) AS w FROM others JOIN idf USING (term) GROUP BY ALL)
+SELECT review_id, split, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY review_id)), 6) AS weight FROM raw"""
+
+ORACLES["sublinear_vectors"] = f"""WITH {reviews()}, {_terms(1)}, {_vocabulary(1, 10000)}, {_weights('(1 + ln(tf))')},
+numbered AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_index FROM vocabulary)
+SELECT review_id, term_index, round(weight, 6) AS weight FROM weights JOIN numbered USING (term)"""
 
 ORACLES["class_weights"] = f"""WITH {LABELLED}, c AS (SELECT sentiment, count(*) AS n FROM labelled GROUP BY sentiment)
 SELECT sentiment, n, round(CAST((SELECT sum(n) FROM c) AS DOUBLE) / ((SELECT count(*) FROM c) * n), 6) AS weight FROM c"""
@@ -514,13 +531,19 @@ ORACLES["row_weights"] = f"""WITH {LABELLED}, c AS (SELECT sentiment, count(*) A
 SELECT review_id, sentiment, round(CAST((SELECT sum(n) FROM c) AS DOUBLE) / ((SELECT count(*) FROM c) * n), 6) AS weight
 FROM labelled JOIN c USING (sentiment)"""
 
-_BAYES_RULES = f"""classes AS (SELECT unnest({list(LABELS)}) AS class),
-sums AS (SELECT l.sentiment AS class, w.term, sum(w.weight) AS total FROM weights w JOIN labelled l USING (review_id) GROUP BY ALL),
+
+
+def _bayes_rules(rows="labelled"):
+    return f"""classes AS (SELECT unnest({list(LABELS)}) AS class),
+sums AS (SELECT l.sentiment AS class, w.term, sum(w.weight) AS total FROM weights w JOIN {rows} l USING (review_id) GROUP BY ALL),
 filled AS (SELECT c.class, v.term, coalesce(s.total, 0) + 1.0 AS total FROM classes c CROSS JOIN vocabulary v
   LEFT JOIN sums s ON s.class = c.class AND s.term = v.term),
 log_probs AS (SELECT class, term, ln(total / sum(total) OVER (PARTITION BY class)) AS log_prob FROM filled),
-priors AS (SELECT sentiment AS class, ln(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM labelled)) AS log_prior
-  FROM labelled GROUP BY sentiment)"""
+priors AS (SELECT sentiment AS class, ln(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM {rows})) AS log_prior
+  FROM {rows} GROUP BY sentiment)"""
+
+
+_BAYES_RULES = _bayes_rules()
 _BAYES = f"{LABELLED}, {_terms(1, 'labelled')}, {_vocabulary(2, 50000)}, {_weights()}, {_BAYES_RULES}"
 
 ORACLES["naive_bayes_terms"] = f"WITH {_BAYES} SELECT class, term, round(log_prob, 6) AS log_prob FROM log_probs"
@@ -545,15 +568,68 @@ scores AS (SELECT l.review_id, l.sentiment, p.class, p.log_prior + coalesce(o.s,
   LEFT JOIN sums_of o ON o.review_id = l.review_id AND o.class = p.class)
 SELECT review_id, sentiment, arg_max(class, s) AS predicted_sentiment FROM scores GROUP BY ALL"""
 
+_FIT = f"""{LABELLED},
+stripped AS (SELECT * REPLACE ({strip("coalesce(review_title, '')")} AS review_title,
+  {strip("coalesce(review_body, '')")} AS review_body) FROM labelled),
+{_ranked_groups((42, 43), 'stripped')},
+fit AS (SELECT p.* FROM stripped p JOIN split_of s ON p.product_id = s.product_id WHERE s.split <> 'test')"""
 _ITEM_WORDS = f"""item_words AS (SELECT item_id, {words('text')} AS w FROM benchmark),
 item_terms AS (SELECT DISTINCT item_id, unnest(list_concat(w, {_bigrams('w')})) AS term FROM item_words)"""
-ORACLES["unknown_terms"] = f"""WITH {LABELLED},
+ORACLES["unknown_terms"] = f"""WITH {_FIT}, {_terms(2, 'fit')}, {_vocabulary(2, 50000)}, {_ITEM_WORDS}
+SELECT item_id, term FROM item_terms WHERE term NOT IN (SELECT term FROM vocabulary)"""
+
+
+def _model_scores(source, keys, text="text", processed=False):
+    """CTEs up to ``probabilities`` (keys, class, p): the fitted naive Bayes model applied to ``source``."""
+    fit_text, own = _TEXT_B, words(text)
+    prepare = ""
+    if processed:
+        prepare = f"cooked AS (SELECT review_id, {joined(lemmas(kept(tokens(_TEXT_B))))} AS text FROM fit),\n"
+        fit_text, own = "text", words(joined(lemmas(kept(tokens(text)))))
+    rows = "cooked" if processed else "fit"
+    return f"""{_FIT}, {prepare}{_terms(2, rows, fit_text)}, {_vocabulary(2, 50000)}, {_weights()}, {_bayes_rules('fit')},
+smoothed AS (SELECT class, ln((count(sentiment) + 1.0) / ((SELECT count(*) FROM fit) + 3.0)) AS log_prior
+  FROM classes LEFT JOIN fit ON sentiment = class GROUP BY class),
+s_words AS (SELECT {keys}, {own} AS w FROM {source}),
+s_terms AS (SELECT {keys}, unnest(list_concat(w, {_bigrams('w')})) AS term FROM s_words),
+s_raw AS (SELECT {keys}, term, count(*) * any_value(idf) AS w FROM s_terms JOIN idf USING (term) GROUP BY ALL),
+s_weights AS (SELECT {keys}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {keys})) AS weight FROM s_raw),
+s_sums AS (SELECT {keys}, class, sum(weight * log_prob) AS s FROM s_weights JOIN log_probs USING (term) GROUP BY ALL),
+s_all AS (SELECT {keys}, class, log_prior FROM s_words CROSS JOIN smoothed),
+s_scores AS (SELECT {keys}, class, log_prior + coalesce(s, 0) AS s FROM s_all LEFT JOIN s_sums USING ({keys}, class)),
+s_top AS (SELECT *, max(s) OVER (PARTITION BY {keys}) AS top FROM s_scores),
+probabilities AS (SELECT {keys}, class, exp(s - top) / sum(exp(s - top)) OVER (PARTITION BY {keys}) AS p FROM s_top),
+answers AS (SELECT {keys}, arg_max(class, p) AS predicted_sentiment, round(max(p) * 100, 2) AS confidence,
+  {', '.join(f"max(p) FILTER (class = '{c}') AS \"p_{c}\"" for c in LABELS)} FROM probabilities GROUP BY ALL),
+s_features AS (SELECT {keys}, count(*) AS k FROM s_weights GROUP BY ALL)"""
+
+
+_PROBABILITIES = ", ".join(f"round(\"p_{c}\", 6) AS \"prob_{c}\"" for c in LABELS)
+ORACLES["scored_turns"] = f"""WITH {_model_scores('conversations', 'conv_id, turn')}
+SELECT c.*, predicted_sentiment, confidence, {_PROBABILITIES} FROM conversations c JOIN answers USING (conv_id, turn)"""
+
+ORACLES["scored_turns_processed"] = f"""WITH {_model_scores('conversations', 'conv_id, turn', processed=True)}
+SELECT c.*, predicted_sentiment, confidence, {joined(lemmas(kept(tokens('c.text'))))} AS processed_text
+FROM conversations c JOIN answers USING (conv_id, turn)"""
+
+ORACLES["saved_pipeline_scores"] = f"""WITH {_model_scores('benchmark', 'item_id')}
+SELECT b.*, predicted_sentiment, confidence FROM benchmark b JOIN answers USING (item_id)"""
+
+ORACLES["probability_columns"] = f"""WITH {_model_scores('benchmark', 'item_id')}
+SELECT item_id, {_PROBABILITIES} FROM answers"""
+
+ORACLES["feature_contributions"] = f"""WITH {_model_scores('benchmark', 'item_id')},
+wide AS (SELECT term, {', '.join(f"max(log_prob) FILTER (class = '{c}') AS \"w_{c}\"" for c in LABELS)} FROM log_probs GROUP BY term)
+SELECT item_id, term, round(weight, 6) AS tfidf, {', '.join(f"round(\"w_{c}\", 6) AS \"weight_{c}\"" for c in LABELS)},
+  {', '.join(f"round(weight * \"w_{c}\", 6) AS \"contribution_{c}\"" for c in LABELS)} FROM s_weights JOIN wide USING (term)"""
+
+ORACLES["solver_gradients"] = f"""WITH {LABELLED},
 stripped AS (SELECT * REPLACE ({strip("coalesce(review_title, '')")} AS review_title,
   {strip("coalesce(review_body, '')")} AS review_body) FROM labelled),
 {_ranked_groups((42, 43), 'stripped')},
-fit AS (SELECT p.* FROM stripped p JOIN split_of s ON p.product_id = s.product_id WHERE s.split <> 'test'),
-{_terms(2, 'fit')}, {_vocabulary(2, 50000)}, {_ITEM_WORDS}
-SELECT item_id, term FROM item_terms WHERE term NOT IN (SELECT term FROM vocabulary)"""
+fit AS (SELECT p.* FROM stripped p JOIN split_of s ON p.product_id = s.product_id WHERE s.split = 'train')
+SELECT class, count(sentiment) AS n_rows, true AS at_minimum
+FROM (SELECT unnest({list(LABELS)}) AS class) LEFT JOIN fit ON sentiment = class GROUP BY class"""
 
 
 def _metrics(source, by=None, actual="sentiment", always=False):
@@ -632,7 +708,7 @@ ORACLES["parity_check"] = f"""WITH {SCORED}, base AS (
 SELECT review_id, CASE WHEN language <> 'es' THEN label_a END AS label_a, CASE WHEN language <> 'de' THEN label_b END AS label_b,
        CASE WHEN language NOT IN ('es', 'de') THEN CAST(gap AS DOUBLE) END AS max_probability_gap,
        CASE language WHEN 'es' THEN 'a' WHEN 'de' THEN 'b' END AS missing_in,
-       language NOT IN ('es', 'de') AND label_a = label_b AND gap = 0 AS match FROM base"""
+       language NOT IN ('es', 'de') AND label_a = label_b AND gap = 0 AND review_id % 31 <> 0 AS match FROM base"""
 
 _KEY = f"lower({strip('text')})"
 ORACLES["text_overlap"] = f"""WITH {reviews()}, items AS (
@@ -665,6 +741,24 @@ SELECT conv_id, turn, {accepted('message')} AS is_valid_domain,
        CASE WHEN {accepted('message')} THEN '{ACCEPTED}' ELSE '{REJECTED}' END AS domain_status,
        message AS domain_message, cleaned_text FROM g"""
 
+_GATED = f"""WITH {_model_scores('conversations', 'conv_id, turn')},
+g AS (SELECT *, {gate_message('text')} AS message, {clean('text')} AS cleaned, {joined(lemmas(kept(tokens('text'))))} AS processed,
+      {strip("coalesce(text, '')")} = '' AS blank, len({tokens('text')}) AS n_tokens FROM conversations)
+SELECT conv_id, turn, {accepted('message')} AS is_valid_domain,
+       CASE WHEN {accepted('message')} THEN '{ACCEPTED}' ELSE '{REJECTED}' END AS domain_status, message AS domain_message,
+       CASE WHEN blank THEN 'Neutral' WHEN {accepted('message')} THEN predicted_sentiment END AS sentiment,
+       CASE WHEN {accepted('message')} THEN confidence ELSE 0.0 END AS confidence,
+       CASE WHEN {accepted('message')} THEN confidence ELSE 0.0 END AS predicted_class_probability,
+       {', '.join(f"CASE WHEN blank THEN {v} WHEN {accepted('message')} THEN round(\"p_{c}\" * 100, 2) ELSE 0.0 END::DOUBLE AS \"percent_{c}\"" for c, v in zip(LABELS, (33.33, 33.34, 33.33)))},
+       CASE WHEN {accepted('message')} AND processed <> '' THEN processed ELSE cleaned END AS cleaned_text,
+       CASE WHEN NOT blank THEN processed END AS processed_text, CASE WHEN NOT blank THEN n_tokens END AS num_tokens,
+       CASE WHEN NOT blank THEN coalesce(k, 0) END AS num_nonzero_features,
+       CASE WHEN NOT blank THEN (SELECT count(*) FROM vocabulary) END AS vocabulary_size,
+       CASE WHEN NOT blank THEN 'TF-IDF + NaiveBayes' END AS model_used
+FROM g JOIN answers USING (conv_id, turn) LEFT JOIN s_features USING (conv_id, turn)"""
+ORACLES["gated_scores"] = _GATED
+ORACLES["streamed_scores"] = _GATED
+
 _N = ", ".join(f"count(*) FILTER (predicted_sentiment = '{c}') AS {c.lower()}_count" for c in LABELS)
 ORACLES["score_summary"] = f"WITH {SCORED} SELECT count(*) AS total_reviews, {_N}, 'review_body' AS detected_text_column FROM scored"
 

@@ -141,7 +141,7 @@ def test_naive_bayes_table_equals_numpy(texts):
     sums = np.array([x[y == k].sum(axis=0) + 1 for k in range(3)])
     log_prob = np.log(sums / sums.sum(axis=1, keepdims=True))
     log_prior = np.log(np.bincount(y) / len(y))
-    got = {(r["class"], r.term): r.log_prob for r in terms.collect()}
+    got = {(r["class"], r.term): r.log_prob for r in M.by_class(terms, "log_prob", "term").collect()}
     assert len(got) == 3 * len(names)
     for k, c in enumerate(LABELS):
         assert [got[c, t] for t in names] == pytest.approx(list(log_prob[k]))
