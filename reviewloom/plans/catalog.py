@@ -19,6 +19,7 @@ from reviewloom.operators import models as M
 from reviewloom.operators import scoring as R
 from reviewloom.operators import splitting as G
 from reviewloom.plans.sample_reviews import labelled_reviews, sample_reviews, scored_reviews, table
+from reviewloom.plans.scoring_job import score_folder, score_upload
 from reviewloom.schema import LABELS
 from reviewloom.session import stage, stage_path
 from reviewloom.sources import reviews as S
@@ -776,6 +777,66 @@ def streamed_scores(spark, sf_dir):
     return _flat_answers(spark.read.parquet(path))
 
 
+def _saved_model(spark, sf_dir):
+    model, settings = _model(spark, sf_dir)
+    path = stage_path(spark, "pipeline")
+    ST.save_pipeline(model, path, **settings)
+    return path
+
+
+@query
+def batch_scoring_job(spark, sf_dir):
+    """One run of the job on an uploaded CSV file: its summary, and what it has written."""
+    turns = table(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace("text", "^$", "."))
+    path, output = stage_path(spark, "upload") + ".csv", stage_path(spark, "scored-upload")
+    ST.write_table(turns, path, "csv")
+    tables = score_upload(spark, path, _saved_model(spark, sf_dir), output, "text")
+    counts = tables["scored"].groupBy("predicted_sentiment").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 4).alias("sum_confidence")
+    )
+    sample = tables["sample"].agg(F.count(F.lit(1))).scalar()
+    summary = tables["summary"].select(F.struct("*").alias("s")).scalar()
+    return counts.withColumn("_s", summary).select("*", "_s.*").drop("_s").withColumn("n_sample", sample)
+
+
+@query
+def streaming_scoring_job(spark, sf_dir):
+    """The turns as files of a folder, two for each micro-batch, scored by the saved pipeline."""
+    source = table(spark, sf_dir, "conversations")
+    folder, output = stage_path(spark, "arriving"), stage_path(spark, "scored-stream")
+    source.repartition(5, "conv_id").write.parquet(folder)
+    model, checkpoint = _saved_model(spark, sf_dir), stage_path(spark, "job-checkpoint")
+    score_folder(spark, folder, source.schema, model, output, checkpoint, "text", files_per_trigger=2).awaitTermination()
+    return _flat_answers(spark.read.parquet(output))
+
+
+@query
+def notebook_comparison(spark, sf_dir):
+    """Preprocess, split 80/20 by class, damped TF-IDF of 10,000 terms, naive Bayes: metrics of the held-out part."""
+    train, test = _notebook_parts(spark, sf_dir)
+    return rounded(V.classification_report(_notebook_scores(M.fit_naive_bayes(train), test)))
+
+
+@query
+def notebook_comparison_logistic(spark, sf_dir):
+    """The same with balanced logistic regression."""
+    train, test = _notebook_parts(spark, sf_dir)
+    fitted = M.fit_logistic(M.balanced_weights(train))
+    return rounded(V.classification_report(_notebook_scores(fitted, test)))
+
+
+def _notebook_parts(spark, sf_dir):
+    texts = labelled_reviews(spark, sf_dir).select("review_id", "sentiment", TX.preprocess("review_body").alias("text"))
+    rows = stage(G.stratified_split(M.training_rows(texts)), "notebook")
+    train, test = (rows.filter(F.col("split") == s) for s in ("train", "test"))
+    model = X.fit_features(train, "text", 2, X.LEGACY_MIN_DF, X.LEGACY_MAX_FEATURES)
+    return [X.sublinear_features(part, model, "text") for part in (train, test)]
+
+
+def _notebook_scores(fitted, test):
+    return fitted.transform(test).select("sentiment", L.label_name(M.PREDICTION).alias("predicted_sentiment"))
+
+
 # Evaluation
 
 

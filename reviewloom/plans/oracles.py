@@ -756,8 +756,40 @@ SELECT conv_id, turn, {accepted('message')} AS is_valid_domain,
        CASE WHEN NOT blank THEN (SELECT count(*) FROM vocabulary) END AS vocabulary_size,
        CASE WHEN NOT blank THEN 'TF-IDF + NaiveBayes' END AS model_used
 FROM g JOIN answers USING (conv_id, turn) LEFT JOIN s_features USING (conv_id, turn)"""
-ORACLES["gated_scores"] = _GATED
-ORACLES["streamed_scores"] = _GATED
+ORACLES["gated_scores"] = ORACLES["streamed_scores"] = ORACLES["streaming_scoring_job"] = _GATED
+
+ORACLES["batch_scoring_job"] = f"""WITH turns AS (
+  SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, CASE WHEN text = '' THEN '.' ELSE text END AS text
+  FROM conversations), {_model_scores('turns', 'conv_id, turn')}
+SELECT predicted_sentiment, count(*) AS n, round(sum(confidence), 4) AS sum_confidence,
+       (SELECT count(*) FROM answers) AS total_reviews,
+       (SELECT count(*) FROM answers WHERE predicted_sentiment = 'Positive') AS positive_count,
+       (SELECT count(*) FROM answers WHERE predicted_sentiment = 'Negative') AS negative_count,
+       (SELECT count(*) FROM answers WHERE predicted_sentiment = 'Neutral') AS neutral_count,
+       'text' AS detected_text_column, least(50, (SELECT count(*) FROM answers)) AS n_sample
+FROM answers GROUP BY predicted_sentiment"""
+
+_NOTEBOOK = f"""{LABELLED}, processed AS (SELECT review_id, sentiment, {_PROCESSED} AS text FROM labelled),
+c AS (SELECT sentiment, count(*) AS n FROM processed GROUP BY sentiment),
+t AS (SELECT *, (SELECT count(*) FROM processed) AS total FROM c),
+q AS (SELECT *, total - ceil(CAST(0.2 AS DOUBLE) * total) AS n_train FROM t),
+h AS (SELECT *, CAST(n AS DOUBLE) * n_train / total AS share FROM q),
+o AS (SELECT *, floor(share) + CASE WHEN row_number() OVER (ORDER BY round(share - floor(share), 9) DESC, sentiment)
+      <= n_train - sum(floor(share)) OVER () THEN 1 ELSE 0 END AS quota FROM h),
+placed AS (SELECT p.*, row_number() OVER (PARTITION BY p.sentiment {_HASH_ORDER}) <= o.quota AS train
+  FROM processed p JOIN o ON p.sentiment = o.sentiment),
+fit AS (SELECT * FROM placed WHERE train), held AS (SELECT * FROM placed WHERE NOT train),
+{_terms(2, 'fit', 'text')}, {_vocabulary(1, 10000)}, {_weights('(1 + ln(tf))')}, {_bayes_rules('fit')},
+smoothed AS (SELECT sentiment AS class, ln((count(*) + 1.0) / ((SELECT count(*) FROM fit) + 3.0)) AS log_prior
+  FROM fit GROUP BY sentiment),
+h_words AS (SELECT review_id, {words('text')} AS w FROM held),
+h_terms AS (SELECT review_id, unnest(list_concat(w, {_bigrams('w')})) AS term FROM h_words),
+h_raw AS (SELECT review_id, term, (1 + ln(count(*))) * any_value(idf) AS w FROM h_terms JOIN idf USING (term) GROUP BY ALL),
+h_weights AS (SELECT review_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY review_id)) AS weight FROM h_raw),
+sums_of AS (SELECT review_id, class, sum(weight * log_prob) AS s FROM h_weights JOIN log_probs USING (term) GROUP BY ALL),
+scores AS (SELECT l.review_id, l.sentiment, p.class, p.log_prior + coalesce(o.s, 0) AS s FROM held l CROSS JOIN smoothed p
+  LEFT JOIN sums_of o ON o.review_id = l.review_id AND o.class = p.class),
+judged AS (SELECT review_id, sentiment, arg_max(class, s) AS predicted_sentiment FROM scores GROUP BY ALL)"""
 
 _N = ", ".join(f"count(*) FILTER (predicted_sentiment = '{c}') AS {c.lower()}_count" for c in LABELS)
 ORACLES["score_summary"] = f"WITH {SCORED} SELECT count(*) AS total_reviews, {_N}, 'review_body' AS detected_text_column FROM scored"
@@ -777,3 +809,6 @@ SELECT word, n FROM c WHERE label = 'Positive' ORDER BY n DESC, word LIMIT 10"""
 ORACLES["top_words_per_label"] = f"""WITH {_word_counts('sentiment')},
 r AS (SELECT label, word, n, CAST(row_number() OVER (PARTITION BY label ORDER BY n DESC, word) AS INTEGER) AS rank FROM c)
 SELECT * FROM r WHERE rank <= 10"""
+
+
+ORACLES["notebook_comparison"] = _report(f"{_NOTEBOOK}, {_metrics('judged', always=True)}")
