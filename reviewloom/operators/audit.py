@@ -7,13 +7,14 @@ quantiles come from a histogram that is grouped in parallel, so no task merges
 more than the distinct values.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewloom.functions.labels import star_sentiment, valid_stars
 from reviewloom.functions.text import is_blank, text_digest, word_count
 from reviewloom.schema import INVALID, LABELS, STARS
+from reviewloom.session import stage
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -211,31 +212,59 @@ def category_by_stars(df: DataFrame, category="product_category", stars="stars")
     return crosstab(df, category, stars, STARS, prefix="stars_")
 
 
-def _json_map(df, key, value="n"):
-    """JSON of value -> count, as a scalar; such values are few by nature."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("key"), F.col(value).alias("value"))))
-    return df.agg(F.to_json(F.map_from_entries(pairs))).scalar()
+def _entry(section, key, value):
+    """One line of the audit: its section, the key in it, and the value as text."""
+    return F.struct(
+        F.lit(section).alias("section") if isinstance(section, str) else section.alias("section"),
+        (F.lit(key) if isinstance(key, str) else key).cast("string").alias("key"),
+        value.cast("string").alias("value"),
+    )
 
 
-def _struct_of(columns, prefix):
-    return F.struct(*[F.col(f"{prefix}_{i}").alias(c) for i, c in columns])
+STATISTICS = ("mean", "std", "min", "max", "median", "q25", "q75")
 
 
-def audit_report(df: DataFrame) -> DataFrame:
-    """The whole audit as one JSON document in the column ``report``.
+def audit_entries(df: DataFrame) -> DataFrame:
+    """The whole audit in long form (section, key, value); numbers with a fraction have six digits.
 
-    Five reads of the table: one aggregate of counts, one of ids, one of
-    digests, one of lengths, and one of (category, stars, language), from which
-    all distributions and crosstabs follow.
+    The table is read three times: once for the counts of NULLs, blanks and
+    cells of (category, stars, language) and the lengths, once for the ids and
+    once for the digests. The first read is one grouping whose rows are the
+    cells and the distinct lengths, staged; all distributions, crosstabs and
+    statistics follow from it.
     """
     columns = list(enumerate(df.columns))
     texts = [(i, f.name) for i, f in enumerate(df.schema) if isinstance(f.dataType, T.StringType)]
-    facts = df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(~valid_stars("stars")).alias("invalid_stars"),
-        *[F.count_if(F.col(c).isNull()).alias(f"null_{i}") for i, c in columns],
-        *[F.count_if(is_blank(c)).alias(f"blank_{i}") for i, c in texts],
+    measures = []
+    for column in ("review_body", "review_title"):
+        text = F.coalesce(F.col(column), F.lit(""))
+        measures.append(F.struct(F.lit(f"{column}_chars").alias("measure"), F.length(text).cast("long").alias("size")))
+        measures.append(F.struct(F.lit(f"{column}_words").alias("measure"), word_count(text).alias("size")))
+    cell = F.struct(F.lit(None).cast("string").alias("measure"), F.lit(None).cast("long").alias("size"))
+    first = F.col("measure").isNull()  # the line that stands for the row itself
+    read = df.select("*", F.inline(F.array(cell, *measures)))
+    keys = ["measure", "size"] + [F.when(first, F.col(c)).alias(c) for c in ("product_category", "stars", "language")]
+    cells = read.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(first & ~valid_stars("stars")).alias("invalid_stars"),
+        *[F.count_if(first & F.col(f"`{c}`").isNull()).alias(f"null_{i}") for i, c in columns],
+        *[F.count_if(first & is_blank(F.col(f"`{c}`"))).alias(f"blank_{i}") for i, c in texts],
+    )
+    cells = stage(cells, "audit-cells")
+    whole = cells.filter("measure IS NULL").withColumn("sentiment", star_sentiment("stars"))
+
+    facts = whole.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in cells.columns if c.startswith(("null_", "blank_", "invalid_"))],
     )
+    lines = [
+        _entry("shape", "n_rows", F.col("n_rows")),
+        _entry("shape", "n_columns", F.lit(len(columns))),
+        *[_entry("column_types", c, F.lit(t)) for c, t in df.dtypes],
+        *[_entry("missing_values", c, F.col(f"null_{i}")) for i, c in columns],
+        *[_entry("empty_strings", c, F.col(f"blank_{i}")) for i, c in texts],
+        _entry("invalid_stars", "invalid_stars", F.col("invalid_stars")),
+    ]
     repeats = _repeats(
         df,
         {
@@ -244,36 +273,81 @@ def audit_report(df: DataFrame) -> DataFrame:
             "review_titles": text_digest("review_title"),
         },
     )
-    cells = df.groupBy("product_category", "stars", "language").agg(F.count(F.lit(1)).alias("n"))
-    cells = cells.withColumn("sentiment", star_sentiment("stars"))
+    ids = group_size_stats(df, "review_id", "product_id", "reviewer_id")
+    sizes = histogram_stats(cells.filter("measure IS NOT NULL"), "measure", "size")
 
-    def distribution(column):
-        return cells.filter(F.col(column).isNotNull()).groupBy(column).agg(F.sum("n").alias("n"))
+    def number(column):
+        return F.when(F.col(column).isNotNull(), F.format_string("%.6f", F.col(column).cast("double")))
 
-    def cross(column, values):
-        sums = [F.coalesce(F.sum(F.when(F.col(column) == v, F.col("n"))), F.lit(0)).alias(str(v)) for v in values]
-        table = cells.filter(F.col("product_category").isNotNull()).groupBy("product_category").agg(*sums)
-        return table.select("product_category", F.struct(*[str(v) for v in values]).alias("n"))
+    def statistics(section, key):
+        return [_entry(section, F.concat(F.col(key), F.lit("."), F.lit(s)), number(s)) for s in STATISTICS]
 
-    stats = F.struct("mean", "std", "min", "max", "median", "q25", "q75")
-    ids = group_size_stats(df, "review_id", "product_id", "reviewer_id")
-    sections = {
-        "shape": F.to_json(F.struct("n_rows", F.lit(len(df.columns)).alias("n_columns"))),
-        "column_types": F.to_json(F.struct(*[F.lit(t).alias(c) for c, t in df.dtypes])),
-        "missing_values": F.to_json(_struct_of(columns, "null")),
-        "empty_strings": F.to_json(_struct_of(texts, "blank")),
-        "invalid_stars": F.to_json(F.struct("invalid_stars")),
-        "duplicates": repeats.select(F.to_json(F.struct(*repeats.columns))).scalar(),
-        "distinct_ids": _json_map(ids, "key", "n_groups"),
-        "reviews_per_id": _json_map(ids.select("key", stats.alias("n")), "key"),
-        "text_lengths": _json_map(length_stats(df).select("measure", stats.alias("n")), "measure"),
-        "language_distribution": _json_map(distribution("language"), "language"),
-        "category_distribution": _json_map(distribution("product_category"), "product_category"),
-        "star_distribution": _json_map(distribution("stars"), "stars"),
-        "sentiment_distribution": _json_map(distribution("sentiment"), "sentiment"),
-        "sentiment_percent": _json_map(_with_percent(distribution("sentiment")), "sentiment", "percent"),
-        "category_by_sentiment": _json_map(cross("sentiment", LABELS + (INVALID,)), "product_category"),
-        "category_by_stars": _json_map(cross("stars", STARS), "product_category"),
+    names = {
+        "language": "language_distribution",
+        "product_category": "category_distribution",
+        "stars": "star_distribution",
+        "sentiment": "sentiment_distribution",
     }
-    members = [F.concat(F.lit(f'"{name}":'), payload) for name, payload in sections.items()]
-    return facts.select(F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}")).alias("report"))
+    keyed = [_entry(section, F.col(column), F.lit(None)) for column, section in names.items()]
+    for column, section in (("sentiment", "category_by_sentiment"), ("stars", "category_by_stars")):
+        pair = F.concat(F.col("product_category"), F.lit("."), F.col(column).cast("string"))
+        keyed.append(_entry(section, pair, F.lit(None)))
+    counts = whole.select("n", F.inline(F.array(*keyed))).filter(F.col("key").isNotNull())
+    counts = counts.groupBy("section", "key").agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("section"))
+    counts = counts.withColumn("percent", F.col("n") * 100.0 / total)
+    distributions = F.filter(
+        F.array(
+            _entry(F.col("section"), F.col("key"), F.col("n")),
+            F.when(
+                F.col("section") == names["sentiment"], _entry("sentiment_percent", F.col("key"), number("percent"))
+            ),
+        ),
+        lambda line: line.isNotNull(),
+    )
+    parts = [
+        facts.select(F.inline(F.array(*lines))),
+        repeats.select(F.inline(F.array(*[_entry("duplicates", c, F.col(c)) for c in repeats.columns]))),
+        ids.select(
+            F.inline(F.array(_entry("distinct_ids", F.col("key"), F.col("n_groups")), *statistics("reviews_per_id", "key")))
+        ),
+        sizes.select(F.inline(F.array(*statistics("text_lengths", "measure")))),
+        counts.select(F.inline(distributions)),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.filter(F.col("value").isNotNull())
+
+
+def _quoted(text):
+    """A text as JSON."""
+    listed = F.to_json(F.array(text))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _members(of, name, value):
+    """JSON members in the order of their names; a section has one for each column, category or language."""
+    pairs = F.array_sort(F.collect_list(F.struct(name.alias("name"), value.alias("value"))))
+    joined = F.array_join(F.transform(pairs, lambda p: F.concat(_quoted(p["name"]), F.lit(":"), p["value"])), ",")
+    return of.agg(F.concat(F.lit("{"), joined, F.lit("}")).alias("json"))
+
+
+NESTED = ("reviews_per_id", "text_lengths", "category_by_sentiment", "category_by_stars")
+
+
+def audit_report(df: DataFrame) -> DataFrame:
+    """The whole audit as one JSON document in the column ``report``."""
+    nested = F.col("section").isin(*NESTED)
+    split = r"(?s)^(.*)\.([^.]*)$"
+    entries = audit_entries(df).select(
+        "section",
+        F.when(nested, F.regexp_extract("key", split, 1)).alias("outer"),
+        F.when(nested, F.regexp_extract("key", split, 2)).otherwise(F.col("key")).alias("name"),
+        F.when(F.col("section") == "column_types", _quoted(F.col("value"))).otherwise(F.col("value")).alias("value"),
+    )
+    inner = _members(entries.filter("outer IS NOT NULL").groupBy("section", "outer"), F.col("name"), F.col("value"))
+    flat = entries.filter("outer IS NULL").select("section", "name", "value")
+    flat = flat.unionByName(inner.select("section", F.col("outer").alias("name"), F.col("json").alias("value")))
+    sections = _members(flat.groupBy("section"), F.col("name"), F.col("value"))
+    return _members(sections.groupBy(), F.col("section"), F.col("json")).withColumnRenamed("json", "report")

@@ -15,8 +15,9 @@ from reviewloom.session import stage
 
 SPLITS = ("train", "val", "test")
 
-# Prefix digits: 16**3 counts per stratum, about 1/4096 of the keys ranked.
-PREFIX_DIGITS = 3
+# Prefix digits: at most 16**5 counts per stratum, never more than its members,
+# and one in a million of the members ranked: 100,000 of 1e11.
+PREFIX_DIGITS = 5
 
 
 def hash_position(key, seed):
@@ -78,7 +79,9 @@ def _split_name(position, train_cut, val_cut):
 def _seed_cuts(groups: DataFrame, key, seeds, train, val_of_rest) -> DataFrame:
     trials = groups.select(key, F.explode(F.lit(list(seeds))).alias("seed"))
     members = trials.select("seed", hash_position(key, F.col("seed")).alias("position"))
-    quotas = members.groupBy("seed").agg(F.count(F.lit(1)).alias("groups")).select(
+    # every seed deals out the same number of groups
+    one = groups.agg(F.count(F.lit(1)).alias("groups")).filter("groups > 0")
+    quotas = one.select("groups", F.explode(F.lit(list(seeds))).alias("seed")).select(
         "seed", F.inline(_split_quotas(F.col("groups"), train, val_of_rest))
     )
     cuts = rank_cuts(members, ["seed"], quotas)
@@ -188,7 +191,7 @@ def split_report(split_reviews: DataFrame, key="product_id", label="sentiment")
         F.count_distinct(F.coalesce(F.col(key), F.lit(""))).alias("n_keys"),
         *[F.sum(f"n_{c}").alias(f"n_{c}") for c in LABELS],
     )
-    total = split_reviews.agg(F.count(F.lit(1))).scalar()
+    total = F.max("n_rows").over(Window.partitionBy())  # of four rows: the population's
     return rows.select(
         F.coalesce("split", F.lit("population")).alias("split"),
         "n_rows",
@@ -218,9 +221,9 @@ def _class_quotas(counts: DataFrame, label, test_fraction) -> DataFrame:
     )
 
 
-def _within_cut(reviews, label, key, seed, quotas):
-    """Rows of ``reviews`` with the flag ``_in``: among the quota of their class."""
-    members = reviews.select(label, hash_position(key, seed).alias("position"))
+def _within_cut(reviews, keys, label, key, seed, quotas):
+    """Rows of ``reviews`` with the flag ``_in``: among the quota of their class, by the staged ``keys``."""
+    members = keys.select(label, hash_position(key, seed).alias("position"))
     cuts = rank_cuts(members, [label], quotas).select(label, "cut_position")
     flag = F.coalesce(hash_position(key, seed) <= F.col("cut_position"), F.lit(False))
     return reviews.join(F.broadcast(cuts), label, "left").withColumn("_in", flag).drop("cut_position")
@@ -230,21 +233,24 @@ def stratified_split(reviews: DataFrame, label="sentiment", test_fraction=0.2, k
     """Add ``split`` (train, test) with the same class shares on both sides.
 
     ``key`` identifies a row. Labels are few; their quotas are one row each.
+    The reviews are read twice: for their keys, and to be labelled.
     """
-    counts = reviews.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    flagged = _within_cut(reviews, label, key, seed, _class_quotas(counts, label, test_fraction))
+    keys = stage(reviews.select(label, key), "keys")
+    counts = keys.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    flagged = _within_cut(reviews, keys, label, key, seed, _class_quotas(counts, label, test_fraction))
     return flagged.withColumn("split", F.when(F.col("_in"), "train").otherwise("test")).drop("_in")
 
 
 def sample_per_class(reviews: DataFrame, n: int, label="sentiment", key="review_id", seed=42) -> DataFrame:
     """``n`` rows of each class (all of a smaller class), drawn by hash order."""
+    keys = stage(reviews.select(label, key), "keys")
     quotas = (
-        reviews.filter(F.col(label).isNotNull())
+        keys.filter(F.col(label).isNotNull())
         .groupBy(label)
         .agg(F.least(F.count(F.lit(1)), F.lit(n)).alias("quota"))
         .withColumn("cut", F.lit("sample"))
     )
-    return _within_cut(reviews, label, key, seed, quotas).filter("_in").drop("_in")
+    return _within_cut(reviews, keys, label, key, seed, quotas).filter("_in").drop("_in")
 
 
 def with_split(df: DataFrame, name: str) -> DataFrame:

@@ -400,6 +400,12 @@ def audit_report(spark, sf_dir):
     return A.audit_report(sample_reviews(spark, sf_dir))
 
 
+@query
+def audit_entries(spark, sf_dir):
+    """All sections of that document as rows."""
+    return A.audit_entries(sample_reviews(spark, sf_dir))
+
+
 # Duplicates and cleaning
 
 

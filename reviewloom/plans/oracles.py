@@ -334,6 +334,49 @@ ORACLES["category_by_stars"] = f"""WITH {reviews()}
 SELECT product_category, {', '.join(f"count(*) FILTER (stars = {s}) AS stars_{s}" for s in range(1, 6))}
 FROM reviews GROUP BY product_category"""
 
+_STATS = ("mean", "std", "min", "max", "median", "q25", "q75")
+
+
+def _stat_lines(section, key, sql):
+    columns = ", ".join(f"CAST({x} AS DOUBLE) AS {x}" for x in _STATS)
+    return (
+        f"SELECT '{section}' AS section, concat({key}, '.', s) AS key, printf('%.6f', v) AS value "
+        f"FROM (UNPIVOT (SELECT {key}, {columns} FROM ({sql})) ON {', '.join(_STATS)} INTO NAME s VALUE v)"
+    )
+
+
+def _count_lines(section, key):
+    return (
+        f"SELECT '{section}', CAST({key} AS VARCHAR), CAST(count(*) AS VARCHAR) FROM prepared WHERE {key} IS NOT NULL GROUP BY ALL"
+    )
+
+
+_ID_LINES = " UNION ALL ".join(f"({_group_sizes(k, 97)})" for k in ("review_id", "product_id", "reviewer_id"))
+_BLANK = {c: f"count(*) FILTER ({strip(c)} = '')" for c, t in _TYPES.items() if t == "string"}
+ORACLES["audit_entries"] = f"WITH {prepared()} " + " UNION ALL ".join(
+    [
+        _stat_lines("text_lengths", "measure", ORACLES["text_length_stats"]),
+        _stat_lines("reviews_per_id", "key", _ID_LINES),
+        f"SELECT 'distinct_ids', key, CAST(n_groups AS VARCHAR) FROM ({_ID_LINES})",
+        "SELECT 'shape', 'n_rows', CAST(count(*) AS VARCHAR) FROM reviews",
+        "SELECT 'shape', 'n_columns', '8'",
+        *[f"SELECT 'column_types', '{c}', '{t}'" for c, t in _TYPES.items()],
+        *[f"SELECT 'missing_values', '{c}', CAST(count(*) FILTER ({c} IS NULL) AS VARCHAR) FROM reviews" for c in _TYPES],
+        *[f"SELECT 'empty_strings', '{c}', CAST({n} AS VARCHAR) FROM reviews" for c, n in _BLANK.items()],
+        "SELECT 'invalid_stars', 'invalid_stars', CAST(count(*) FILTER (stars IS NULL OR stars NOT BETWEEN 1 AND 5) AS VARCHAR) FROM reviews",
+        f"SELECT 'duplicates', 'review_bodies', CAST(n_duplicates AS VARCHAR) FROM ({ORACLES['duplicate_bodies']})",
+        f"SELECT 'duplicates', 'review_titles', CAST(n_duplicates AS VARCHAR) FROM ({ORACLES['duplicate_titles']})",
+        "SELECT 'duplicates', 'complete_rows', CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM reviews)) AS VARCHAR) FROM reviews",
+        _count_lines("language_distribution", "language"),
+        _count_lines("category_distribution", "product_category"),
+        _count_lines("star_distribution", "stars"),
+        _count_lines("sentiment_distribution", "sentiment"),
+        _count_lines("category_by_sentiment", "concat(product_category, '.', sentiment)"),
+        _count_lines("category_by_stars", "concat(product_category, '.', stars)"),
+        "SELECT 'sentiment_percent', sentiment, printf('%.6f', count(*) * 100.0 / sum(count(*)) OVER ()) FROM prepared GROUP BY sentiment",
+    ]
+)
+
 _GROUPS = f"""{prepared()}, groups AS (
   SELECT sha256(review_body) AS body_sha256, count(*) AS n_rows, count(DISTINCT sentiment) AS n_sentiments,
          count(DISTINCT product_id) AS n_products

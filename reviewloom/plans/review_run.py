@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.operators import audit, cleaning, metrics, models, scoring, splitting
-from reviewloom.session import stage
+from reviewloom.session import drop_staged
 from reviewloom.sources.reviews import read_reviews, validate_input
 from reviewloom.sources.tables import load_pipeline, save_pipeline, write_report, write_table
 
@@ -31,17 +31,8 @@ def _score(df, model, settings):
 
 
 def clean(reviews: DataFrame) -> DataFrame:
-    """Cleaned reviews, by the way that fits the table.
-
-    With unique review ids the repeated bodies are staged and joined, and the
-    reviews are not shuffled as long as the repeats are few. Without, one
-    aggregation does everything.
-    """
-    counts = reviews.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("review_id").alias("ids")).first()
-    if counts.n != counts.ids:
-        return cleaning.clean_reviews(reviews)
-    repeated = stage(cleaning.repeated_bodies(cleaning.prepare_reviews(reviews)), "repeated-bodies")
-    return cleaning.clean_reviews(reviews, repeated=repeated)
+    """Cleaned reviews; ids need not be unique."""
+    return cleaning.clean_reviews(reviews)
 
 
 def run_review_pipeline(
@@ -59,7 +50,8 @@ def run_review_pipeline(
     ``is_qualitative``; it must not share a text with the reviews.
     """
     spark = reviews.sparkSession
-    validate_input(reviews)
+    # Read many times below: landed once, whatever the format of the source.
+    reviews = _saved(validate_input(reviews), f"{output}/reviews")
     write_report(audit.audit_report(reviews), f"{output}/audit")
     tables = {"cleaning": _saved(cleaning.cleaning_report(reviews), f"{output}/cleaning")}
     tables["duplicates"] = _saved(
@@ -113,3 +105,4 @@ if __name__ == "__main__":
         target,
         unseen=read_reviews(session, more[0], unseen_schema) if more else None,
     )
+    drop_staged(session)

@@ -1,4 +1,9 @@
-"""Session defaults and staged tables."""
+"""Session defaults and staged tables.
+
+Staged tables lie under ``spark.checkpoint.dir``, the folder that all executors
+of a cluster share, in a folder of the application. ``drop_staged`` removes
+that folder when a run has written its results.
+"""
 
 import tempfile
 import uuid
@@ -18,6 +23,7 @@ def local_session(cores="*", shuffle_partitions=8, app_name="reviewloom", **conf
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
     )
+    conf.setdefault("spark.checkpoint.dir", tempfile.mkdtemp(prefix="reviewloom-"))
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -42,6 +48,13 @@ def stage_root(spark: SparkSession) -> str:
     return root
 
 
+def drop_staged(spark: SparkSession):
+    """Remove all that this application has staged. Tables read from there are gone."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(f"{stage_root(spark)}/{sc.applicationId}")
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder, never one used before."""
     return f"{stage_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
