@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_point
 import check
 from reviewloom.operators.splitting import SPLITS
-from reviewloom.plans.review_run import run_review_pipeline
+from reviewloom.plans.catalog import QUERIES
+from reviewloom.plans.oracles import ORACLES
+from reviewloom.plans.review_run import clean, run_review_pipeline
 from reviewloom.plans.sample_reviews import sample_reviews
 
-WITH_SQL = sorted(entry_point.oracle_sql())
-WITHOUT_SQL = sorted(set(entry_point.queries()) - set(WITH_SQL))
+# the corpus queries have tests of their own
+WITH_SQL = sorted(ORACLES)
+WITHOUT_SQL = sorted(set(QUERIES) - set(WITH_SQL))
 
 
 @pytest.fixture(scope="module")
@@ -48,5 +51,5 @@ def test_whole_run(spark, sf_dir, tmp_path):
     assert tables["parity"].filter("NOT match").count() == 0
     report = json.loads(spark.read.text(f"{tmp_path}/audit").first().value)
     assert report["shape"]["n_rows"] == reviews.count()
-    twice = run_review_pipeline.__globals__["clean"](reviews.unionByName(reviews))
+    twice = clean(reviews.unionByName(reviews))
     assert sorted(r.review_id for r in twice.collect()) == sorted(r.review_id for r in cleaned.collect())
