@@ -5,10 +5,12 @@ there are. Minima of many universal hashes are banded into buckets. Pairs of a
 bucket are not written out: first each representative is compared with the
 smallest member of the bucket that it shares the most bands with, which joins
 whole groups of near copies in as many comparisons as there are members. Only
-between members of one bucket that are still in different components are all
-pairs looked at, in blocks, and only those whose signatures agree are compared
-on their full sets. A link between documents that are already joined could not
-change a component, so none is lost that the bands find.
+members of one bucket that are still in different components meet in blocks:
+there the signatures of each pair are compared in the first bucket that it
+shares, and where they agree the full sets, until a link has joined the two
+components. A link between documents that are already joined could not change
+a component, so none is lost that the bands find, and no list of pairs is
+written.
 """
 
 import hashlib
@@ -31,8 +33,8 @@ PERCENT = 85
 BANDS, ROWS = 36, 5
 #: Signatures whose agreement is more than so many standard deviations below the limit are not compared further.
 DEVIATIONS = 5
-#: Members of a bucket that are compared at once, and partners that share one copy of a text.
-BLOCK, PARTNERS = 1024, 256
+#: Members of a bucket that are compared at once, partners that share one copy of a text, shingles held in a block.
+BLOCK, PARTNERS, HELD_SHINGLES = 512, 256, 8_000_000
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
 _PAIR = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -102,47 +104,74 @@ def _verify(shingle, percent):
     return run
 
 
-def _agreeing(signatures, sizes, labels, left, right, agreement, percent):
-    """Index pairs (i of left, j of right) in different components that may be similar."""
-    for i in left:
-        j = right[(right > i) & (labels[right] != labels[i])]
-        low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-        j = j[100 * low >= percent * high]
-        if len(j):
-            j = j[(signatures[j] == signatures[i]).mean(axis=1) >= agreement]
-            yield from ((i, k) for k in j)
-
-
-def _compare(n_hashes, agreement, percent):
-    """Rows sorted by (bucket, first, second): the pairs of each block that may be similar."""
-
-    def block(rows):
-        same_block = rows[0][1] == rows[0][2]
-        nodes, sizes, labels, blocks = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 6))
-        signatures = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(-1, n_hashes)
-        order = np.arange(len(rows))
-        left, right = (order, order) if same_block else (order[blocks == rows[0][1]], order[blocks == rows[0][2]])
-        if not same_block:  # the first block ahead, so that every pair is looked at
-            move = np.concatenate([left, right])
-            nodes, sizes, labels, signatures = nodes[move], sizes[move], labels[move], signatures[move]
-            left, right = order[: len(left)], order[len(left) :]
-        for i, j in _agreeing(signatures, sizes, labels, left, right, agreement, percent):
-            yield tuple(sorted((int(nodes[i]), int(nodes[j]))))
+class _Sets:
+    """Shingle sets of the texts of a block, made when first asked for and held up to a bound."""
+
+    def __init__(self, texts, digests, shingle, cache):
+        self.texts, self.digests, self.shingle, self.cache = texts, digests, shingle, cache
+        self.held, self.size = {}, 0
+
+    def __getitem__(self, i):
+        """The set; None if the text is another one under the same id."""
+        if i not in self.held:
+            own = shingle_set(self.texts[i].lower().split(), self.shingle, self.cache)
+            if self.size + len(own) > HELD_SHINGLES:
+                self.held, self.size = {}, 0
+            self.held[i] = own if set_digest(own) == self.digests[i] else None
+            self.size += len(own)
+        return self.held[i]
+
+
+def _root(parent, x):
+    while parent.setdefault(x, x) != x:
+        parent[x] = x = parent[parent[x]]
+    return x
+
+
+def _link(bands, rows, agreement, shingle, percent):
+    """Rows sorted by (band, bucket, first, second): the links of each block that join components.
+
+    A pair is looked at in the first band that it shares only. Once a link has
+    joined two components, their other pairs are passed over, so a block gives
+    fewer links than it has members.
+    """
+
+    def block(held, cache):
+        band, _, first, second = held[0][:4]
+        order = sorted(range(len(held)), key=lambda k: held[k][7] != first)  # the first block ahead
+        columns = list(zip(*(held[k] for k in order), strict=True))
+        nodes, sizes, labels, blocks = columns[4], np.array(columns[5]), columns[6], np.array(columns[7])
+        signatures = np.frombuffer(b"".join(columns[8]), np.uint16).reshape(len(held), bands, rows)
+        sets, parent = _Sets(columns[9], columns[10], shingle, cache), {}
+        left = np.flatnonzero(blocks == first)
+        right = np.flatnonzero(blocks == second)
+        for i in left.tolist():
+            own = _root(parent, labels[i])
+            j = right[right > i]
+            j = j[[_root(parent, labels[k]) != own for k in j.tolist()]] if len(j) else j
+            j = j[100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j])]
+            equal = signatures[j] == signatures[i]
+            j = j[(equal.all(axis=2).argmax(axis=1) == band) & (equal.mean(axis=(1, 2)) >= agreement)]
+            for k in j.tolist():
+                a, b = _root(parent, labels[i]), _root(parent, labels[k])
+                if a != b and sets[i] is not None and sets[k] is not None and _similar(sets[i], sets[k], percent):
+                    parent[b] = a
+                    yield tuple(sorted((nodes[i], nodes[k])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            found = set()
+        held, cache = [], WordHash()
+        for batch in slices(batches, "text"):
+            found = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:3] != held[0][:3]:
-                    found.update(block(held))
+                if held and row[:4] != held[0][:4]:
+                    found += block(held, cache)
                     held = []
                 held.append(row)
             if found:
-                yield record_batch(sorted(found), _PAIR)
-        found = set(block(held)) if held else ()
+                yield record_batch(found, _PAIR)
+        found = list(block(held, cache)) if held else []
         if found:
-            yield record_batch(sorted(found), _PAIR)
+            yield record_batch(found, _PAIR)
 
     return run
 
@@ -199,11 +228,16 @@ def near_duplicates(
     classes = stage(classes.dropDuplicates(["node", "digest"]), "representatives")
 
     band = [
-        F.xxhash64(F.lit(b), F.substring("signature", b * rows * 2 + 1, rows * 2)) for b in range(bands)
+        F.struct(
+            F.lit(b).alias("band"),
+            F.xxhash64(F.lit(b), F.substring("signature", b * rows * 2 + 1, rows * 2)).alias("bucket"),
+        )
+        for b in range(bands)
     ]
-    members = classes.select("node", F.explode(F.array(*band)).alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stage(members.join(buckets, "bucket").select("bucket", "n", "u", F.col("node").alias("v")), "members")
+    members = classes.select("node", F.inline(F.array(*band)))
+    same = ["band", "bucket"]
+    buckets = members.groupBy(*same).agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = stage(members.join(buckets, same).select(*same, "n", "u", F.col("node").alias("v")), "members")
 
     shared = members.filter("u < v").groupBy("u", "v").count()
     first = shared.groupBy("v").agg(F.max(F.struct("count", (-F.col("u")).alias("u"))).alias("best"))
@@ -212,14 +246,13 @@ def near_duplicates(
     labels = classes.select("node", F.col("node").alias("label")).distinct()
     labels = stage(_relabelled(labels, connected_components(links)), "labels_first")
 
-    apart = stage(_pairs_apart(members, labels, classes, n_hashes, agreement, percent), "pairs_apart")
-    apart = stage(apart.distinct().join(first, ["u", "v"], "left_anti"), "pairs_left")
-    if not apart.isEmpty():
-        links = stage(similar_pairs(apart, classes, texts, shingle, percent), "links_left")
-        ends = labels.select(F.col("node").alias("u"), F.col("label").alias("lu"))
-        others = labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
-        between = links.join(ends, "u").join(others, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
-        labels = stage(_relabelled(labels, connected_components(between)), "labels")
+    apart = _members_apart(members, labels, classes, texts)
+    links = apart.mapInArrow(_link(bands, rows, agreement, shingle, percent), "u long, v long").distinct()
+    links = stage(links, "links_left")
+    ends = labels.select(F.col("node").alias("u"), F.col("label").alias("lu"))
+    others = labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
+    between = links.join(ends, "u").join(others, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+    labels = stage(_relabelled(labels, connected_components(between)), "labels")
 
     named = copies.join(labels, "node").select(F.col("digest").alias("class_digest"), F.col("label"))
     joined = signed.drop("signature").join(named, F.col("digest") == F.col("class_digest"), "left")
@@ -230,23 +263,30 @@ def near_duplicates(
     )
 
 
-def _pairs_apart(members, labels, classes, n_hashes, agreement, percent):
-    """Pairs of one bucket in different components whose signatures agree, block by block."""
-    members = members.join(labels.withColumnRenamed("node", "v"), "v").select("bucket", "n", "v", "label")
-    mixed = members.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"))
-    mixed = mixed.filter("least <> most").select("bucket")
+def _members_apart(members, labels, classes, texts):
+    """The members of buckets that hold several components, dealt to blocks and their pairs, with their texts.
+
+    A bucket of ``BLOCK`` members is one row for each; a larger one is cut into
+    blocks, and every pair of blocks is a group of its own.
+    """
+    same = ["band", "bucket"]
+    members = members.join(labels.withColumnRenamed("node", "v"), "v").select(*same, "n", "v", "label")
+    mixed = members.groupBy(*same).agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    mixed = mixed.filter("least <> most").select(*same)
     blocks = F.ceil(F.col("n") / BLOCK)
-    rows = members.join(mixed, "bucket").select(
-        "bucket", "v", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("v"), blocks).alias("block")
+    rows = members.join(mixed, same).select(
+        *same, "v", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("v"), blocks).alias("block")
     )
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("bucket", "v", "label", "block", other).select(
-        "bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "v", "label", "block"
+    rows = rows.select(*same, "v", "label", "block", other).select(
+        *same, F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "v", "label", "block"
     )
-    signatures = classes.select(F.col("node").alias("v"), "n_shingles", "signature")
-    rows = rows.join(signatures, "v").select("bucket", "one", "two", "v", "n_shingles", "label", "block", "signature")
-    rows = rows.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two", "v")
-    return rows.mapInArrow(_compare(n_hashes, agreement, percent), "u long, v long")
+    about = classes.select(F.col("node").alias("v"), "n_shingles", "signature", "digest")
+    own = texts.select(F.col("doc_id").alias("v"), "text")
+    group = [*same, "one", "two"]
+    rows = rows.join(about, "v").join(own, "v")
+    rows = rows.select(*group, "v", "n_shingles", "label", "block", "signature", "text", "digest")
+    return rows.repartition(*group).sortWithinPartitions(*group, "v")
 
 
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
