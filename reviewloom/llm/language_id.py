@@ -26,6 +26,8 @@ ROWS_PER_LABEL = 600
 #: Of the calibration rows that are predicted right, so many are rejected at most.
 REJECTED_SHARE = 0.0005
 EPOCHS, RATE = 8, 0.2
+#: Runs of two to five words of a text that are learned from besides the whole.
+WINDOWS = 3
 #: Bytes of a text whose n-grams are held at once.
 _PIECE = 1_000_000
 
@@ -142,26 +144,26 @@ def learnable(docs: DataFrame):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 != 2
 
 
-def labelled_sample(docs: DataFrame, rows_per_label=ROWS_PER_LABEL) -> DataFrame:
-    """About ``rows_per_label`` learnable rows of each label, chosen by a hash of id and text."""
+def labelled_sample(docs: DataFrame, rows_per_label=ROWS_PER_LABEL):
+    """About ``rows_per_label`` learnable rows of each label, chosen by a hash; and the number of labels, which are few."""
     rows = docs.filter(learnable(docs) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = rows.groupBy("lang").count().collect()
     chance = F.lit(0.0)
     for row in counts:
         chance = F.when(F.col("lang") == row["lang"], F.lit(rows_per_label / row["count"])).otherwise(chance)
     draw = F.pmod(F.xxhash64(F.lit(11), "doc_id", F.length("text")), F.lit(2**30)) / 2**30
-    sample = rows.filter(draw < chance).select("lang", utf8("text").alias("text"))
-    return sample.limit(max(1, 2 * rows_per_label * len(counts)))
+    return rows.filter(draw < chance).select("lang", utf8("text").alias("text")), len(counts)
 
 
 def fit_language_model(docs: DataFrame, rows_per_label=ROWS_PER_LABEL) -> Model:
     """A model of the labels of ``docs``; without learnable rows one that knows no label.
 
-    The driver holds at most ``2 * rows_per_label`` rows of each label, every
-    one as at most ``BUCKETS`` shares, and three short windows of each.
+    The driver holds at most twice ``rows_per_label`` rows of each label, every
+    one as at most ``BUCKETS`` shares, and ``WINDOWS`` short windows of each.
     """
-    sample = labelled_sample(docs, rows_per_label)
-    collected = sample.mapInArrow(_bags(3), "lang string, buckets array<int>, shares array<float>").toArrow()
+    sample, n_labels = labelled_sample(docs, rows_per_label)
+    collected = sample.mapInArrow(_bags(WINDOWS), "lang string, buckets array<int>, shares array<float>")
+    collected = collected.limit(max(1, 2 * rows_per_label * n_labels * (1 + WINDOWS))).toArrow()
     labels = tuple(sorted(set(collected.column("lang").to_pylist())))
     number = {label: i for i, label in enumerate(labels)}
     bags = [

@@ -63,8 +63,10 @@ def test_without_labels_or_rows(spark, documents):
 
 def test_the_sample_is_bounded_and_its_rows_may_be_learned_from(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    sample = language_id.labelled_sample(docs, 50)
-    assert 100 < sample.count() <= 400
+    sample, labels = language_id.labelled_sample(docs, 50)
+    assert labels == 4 and 100 < sample.count() <= 400
+    learnable = docs.filter(language_id.learnable(docs)).select(language_id.utf8("text").alias("text"))
+    assert sample.join(learnable, "text", "left_anti").isEmpty()
 
 
 def test_long_texts_lose_no_subword(monkeypatch):
