@@ -11,6 +11,7 @@ chunks, until one chunk is left.
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -30,8 +31,8 @@ CHUNK, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 4096, 2, 4, 2, 6
 FULL = 0.995
 #: Rounds at most, should a chunk's bins stay badly filled.
 ROUNDS = 8
-#: Words whose ids a worker remembers at most, and the longest such word in bytes.
-_CACHE_WORDS, _CACHE_BYTES = 300_000, 64
+#: Parts of texts and words whose ids a worker remembers (in each of two generations), and their longest in bytes.
+_CACHE_PARTS, _CACHE_WORDS, _CACHE_BYTES = 150_000, 400_000, 64
 
 _PIECES = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -40,7 +41,40 @@ _PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = pa.schema([("row", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("filled", pa.int64())])
 
 
-class WordIds(dict):
+def _byte_letters():
+    """The character that stands for each byte: printable ones for themselves, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+class _Recent(dict):
+    """A cache of two generations: what was used since the last turn outlives the next one."""
+
+    def __init__(self, size):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def missing(self, keys):
+        """The keys that neither generation has; those of the old one are taken over."""
+        absent, old = [], self.old
+        for key in [k for k in keys if k not in self]:
+            if key in old:
+                self[key] = old[key]
+            else:
+                absent.append(key)
+        return absent
+
+    def turn(self):
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+
+
+class WordIds:
     """Token ids, as little-endian 32-bit numbers, of what ASCII white space separates.
 
     The tokenizer drops white space, its pre-tokens never cross it, and its
@@ -49,58 +83,95 @@ class WordIds(dict):
     separate pre-tokens too, and letters are put in lower case.
     """
 
-    _split = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")
+    _split = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         # special tokens inside a text are found as such, whatever stands around them
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.parts, self.words = _Recent(_CACHE_PARTS), _Recent(_CACHE_WORDS)
+
+        self.direct = True  # whether the merges alone, over the byte-level alphabet, give the same ids
+        probes = [p.encode() for p in ("the", "tokenizer", "qzx", ",", "!!)", "stra\u00dfe", "\u00e9\u00e8", "\u65e5\u672c")]
+        self.direct = self._encode(probes) == self._encode_plain(probes)
 
-    def _encode(self, parts):
-        texts = [p.decode("utf-8", "replace") for p in parts]
-        encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+    def _encode(self, words):
+        """The ids of parts of any kind."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
+    def _encode_plain(self, words):
+        """The ids of letters in lower case, or of ASCII marks: single pre-tokens that nothing changes."""
+        if not self.direct:
+            return self._encode(words)
+        tokenize = self.tokenizer.model.tokenize
+        texts = [w.decode("latin-1").translate(_BYTE_LETTERS) for w in words]
+        return [b"".join([t.id.to_bytes(4, "little") for t in tokenize(t_)]) for t_ in texts]
+
+    def _pieces(self, part):
+        """A part as letters in lower case and the marks after them; None where it is anything else."""
+        m = self._split.fullmatch(part)
+        if m is None:
+            return None
+        letters, marks = m[1].lower(), m[2]
+        if not letters.isascii():
+            text = letters.decode("utf-8", "replace").lower()
+            # a capital sigma ends a word in another way in Python, and other forms would be composed
+            if not text.isalpha() or "\u03c2" in text or not unicodedata.is_normalized("NFC", text):
+                return None
+            letters = text.encode()
+        return (letters, marks) if marks else (letters,)
+
+    def _learn(self, parts, special):
+        plain, other = {}, []
+        for part in parts:
+            pieces = None if special else self._pieces(part)
+            if pieces is None:
+                other.append(part)
+            else:
+                plain[part] = pieces
+        words = self.words.missing(dict.fromkeys([w for p in plain.values() for w in p]))
+        self.words.update(zip(words, self._encode_plain(words), strict=True))
+        for part, own in plain.items():
+            self.parts[part] = b"".join([self.words[w] for w in own])
+        if other:
+            self.parts.update(zip(other, self._encode(other), strict=True))
+
     def of(self, text: bytes) -> bytes:
         parts = text.split()
-        unknown = set(parts) - self.keys()
-        if unknown:
-            if len(self) + len(unknown) > _CACHE_WORDS:
-                self.clear()
-                unknown = set(parts)
-            self._learn(unknown)
-            if any(len(p) > _CACHE_BYTES for p in unknown):
-                ids = b"".join([self[p] for p in parts])
-                for p in [p for p in unknown if len(p) > _CACHE_BYTES]:
-                    del self[p]
-                return ids
-        return b"".join([self[p] for p in parts])
-
-    def _learn(self, unknown):
-        whole, pairs = set(), []
-        for part in unknown:
-            m = None if any(s in part for s in self.special) else self._split.fullmatch(part)
-            if m:
-                pairs.append((part, m[1].lower(), m[2]))
-                whole.update((m[1].lower(), m[2]))
-            else:
-                whole.add(part)
-        whole = [w for w in whole if w not in self]
-        if whole:
-            self.update(zip(whole, self._encode(whole), strict=True))
-        for part, letters, marks in pairs:
-            self[part] = self[letters] + self[marks]
+        try:
+            return b"".join(map(self.parts.__getitem__, parts))
+        except KeyError:
+            unknown = self.parts.missing(dict.fromkeys(parts))
+        self._learn(unknown, any(s in text for s in self.special))
+        ids = b"".join(map(self.parts.__getitem__, parts))
+        for key in [p for p in unknown if len(p) > _CACHE_BYTES]:
+            self.parts.pop(key)
+            self.words.pop(key, None)
+        self.parts.turn()
+        self.words.turn()
+        return ids
+
+
+def _word_ids(path) -> WordIds:
+    """The ids known to this worker process, which later tasks use again; kept with the tokenizer library."""
+    import tokenizers
+
+    known = tokenizers.__dict__.setdefault("_ids_of_words", {})
+    if path not in known:
+        known[path] = WordIds(path)
+    return known[path]
 
 
 def _tokenize(path, capacity, end_id):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_ids = WordIds(path)
+        word_ids = _word_ids(path)
         for batch in slices(batches, "text"):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
