@@ -32,7 +32,7 @@ FULL = 0.995
 #: Rounds at most, should a chunk's bins stay badly filled.
 ROUNDS = 8
 #: Parts of texts and words whose ids a worker remembers (in each of two generations), and their longest in bytes.
-_CACHE_PARTS, _CACHE_WORDS, _CACHE_BYTES = 150_000, 400_000, 64
+_CACHE_PARTS, _CACHE_WORDS, _CACHE_BYTES = 100_000, 250_000, 64
 
 _PIECES = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]

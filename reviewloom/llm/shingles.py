@@ -4,7 +4,7 @@ import numpy as np
 from xxhash import xxh3_64_intdigest
 
 #: Word hashes that a worker remembers at most.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 class WordHash(dict):
