@@ -16,8 +16,12 @@ mostly do. A *cell* is a run of windows with one leading token, about one for
    has are removed.
 
 A range starts at a token, so equal suffixes meet in one bucket and a run never
-crosses its boundary; a token of a third of the corpus is one entry per block
-there. Texts are not shuffled: what a block has to know is written to the
+crosses its boundary. In the first step a token of a third of the corpus is one
+entry per block. Its cells are not: those at the edges of a shared passage hold
+each document's own bytes. Cells of a token that has more than ``HOT_CELLS`` of
+them are therefore cut into single windows, and the hash of a whole window, no
+longer the token alone, names the bucket: equal windows still meet, one per
+block, and the others are dealt out evenly. Texts are not shuffled: what a block has to know is written to the
 shared folder under its number, and the task that reads the block fetches it.
 """
 
@@ -39,6 +43,8 @@ SPAN, TOKEN = 50, 24
 REACH = SPAN - TOKEN + 1
 #: Windows that are hashed at once, cells that a task holds back to merge equal ones, bytes of text per bucket.
 PIECE, HELD, BUCKET_BYTES = 500_000, 200_000, 64_000_000
+#: Cells from which on those of one token are dealt out window by window, windows of them a bucket, windows sorted at once.
+HOT_CELLS, HOT_WINDOWS, SORTED_WINDOWS = 20_000, 500_000, 500_000
 #: Documents and tokens of each that the splitters are sampled from.
 SAMPLED_DOCUMENTS, SAMPLED_TOKENS = 2000, 50
 
@@ -112,9 +118,23 @@ class Cells:
             count = np.minimum(rest, REACH)
         self.place, self.count = first, count
         self.token, self.hash = _cell_keys(least, whole, first, count)
+        self.whole = whole
         numbers, offsets = np.array([n for n, _, _ in parts]), np.array([o for _, o, _ in parts])
         self.text, self.start = numbers[part], first - begins[part] + offsets[part]
 
+    def cut(self, chosen):
+        """Cuts the ``chosen`` cells into cells of one window."""
+        if not chosen.any():
+            return
+        times = np.where(chosen, self.count, 1)
+        again = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        single = np.repeat(chosen, times)
+        self.place, self.start = np.repeat(self.place, times) + again, np.repeat(self.start, times) + again
+        self.text, self.token = np.repeat(self.text, times), np.repeat(self.token, times)
+        self.count, self.hash = np.where(single, 1, np.repeat(self.count, times)), np.repeat(self.hash, times)
+        at = self.place[single]
+        self.hash[single] = _mix(_mix(self.whole[at], self.whole[at]), np.ones(len(at), np.uint64))
+
     def content(self, i) -> bytes:
         return self.data[self.place[i] : self.place[i] + self.count[i] + SPAN - 1].tobytes()
 
@@ -185,8 +205,8 @@ def smallest_documents(content: list[bytes], group: np.ndarray, document: np.nda
 
 
 _BLOCKS = pa.schema([("doc_id", pa.int64()), ("block", pa.int64()), ("text", pa.binary())])
-_TOKENS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("once", pa.binary()), ("more", pa.binary())])
-_REPEATED = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("tokens", pa.binary())])
+_TOKENS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("once", pa.binary()), ("more", pa.binary()), ("times", pa.binary())])
+_REPEATED = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("tokens", pa.binary()), ("hot", pa.binary()), ("n_hot", pa.int64())])
 _CELLS = pa.schema(
     [
         ("bucket", pa.int64()),
@@ -261,7 +281,8 @@ def _emit_tokens(splitters):
             for k in np.unique(bucket).tolist():
                 own = bucket == k
                 once, more = own & (counts == 1), own & (counts > 1)
-                rows.append((k, block, _short(tokens[once]).tobytes(), _short(tokens[more]).tobytes()))
+                arrays = (_short(tokens[once]), _short(tokens[more]), counts[more].astype(np.uint32))
+                rows.append((k, block, *(a.tobytes() for a in arrays)))
             return record_batch(rows, _TOKENS)
 
         at, held = None, []
@@ -278,16 +299,21 @@ def _emit_tokens(splitters):
 
 
 def _repeated(group: pa.Table) -> pa.Table:
-    """The tokens of a bucket that occur twice, for each block that has them."""
-    bucket, rows, all_, more = group.column("bucket")[0].as_py(), [], [], []
-    for block, once, several in zip(*(group.column(c).to_pylist() for c in ("block", "once", "more")), strict=True):
-        once, several = np.frombuffer(once, np.uint32), np.frombuffer(several, np.uint32)
-        all_.append(np.concatenate([once, several]))
-        more.append(several)
+    """The tokens of a bucket that occur twice, for each block that has them; those of many cells, and how many, apart."""
+    bucket, rows, all_, times = group.column("bucket")[0].as_py(), [], [], []
+    for block, once, more, n in zip(*(group.column(c).to_pylist() for c in ("block", "once", "more", "times")), strict=True):
+        once = np.frombuffer(once, np.uint32)
+        all_.append(np.concatenate([once, np.frombuffer(more, np.uint32)]))
+        times.append(np.concatenate([np.ones(len(once), np.uint32), np.frombuffer(n, np.uint32)]))
         rows.append(block)
-    values = np.sort(np.concatenate(all_))
-    twice = np.union1d(values[1:][values[1:] == values[:-1]], np.concatenate(more))
-    out = [(block, bucket, own[np.isin(own, twice)].tobytes()) for block, own in zip(rows, all_, strict=True)]
+    values, counts = np.concatenate(all_), np.concatenate(times)
+    order = np.argsort(values)
+    starts = np.flatnonzero(np.append(True, values[order][1:] != values[order][:-1]))
+    values, counts = values[order][starts], np.add.reduceat(counts[order], starts, dtype=np.int64)
+    twice, hot, out = values[counts > 1], values[counts > HOT_CELLS], []
+    for block, own, n in zip(rows, all_, times, strict=True):
+        many = np.isin(own, hot)
+        out.append((block, bucket, own[np.isin(own, twice)].tobytes(), own[many].tobytes(), int(n[many].sum())))
     out = [row for row in out if row[2]]
     return pa.Table.from_batches([record_batch(out, _REPEATED)] if out else [], schema=_REPEATED)
 
@@ -298,23 +324,41 @@ def _keys(bucket, short):
 
 def _known(values, wanted):
     """Which of ``values`` are in the sorted ``wanted``."""
+    if not len(wanted):
+        return np.zeros(len(values), bool)
     at = np.searchsorted(wanted, values)
     at[at == len(wanted)] = 0
     return wanted[at] == values
 
 
-def _emit_cells(splitters, folder):
+def _token_keys(table, name):
+    """The sorted keys of the tokens that ``_repeated`` lists for a block under ``name``."""
+    parts = zip(table.column("bucket").to_pylist(), table.column(name).to_pylist(), strict=True)
+    return np.sort(np.concatenate([_keys(np.uint64(b), np.frombuffer(t, np.uint32)) for b, t in parts]))
+
+
+def _cut_hot(cells, splitters, hot):
+    """Cuts the cells of the ``hot`` tokens into windows."""
+    if len(hot):
+        cells.cut(_known(_keys(np.searchsorted(splitters, cells.token, "right"), _short(cells.token)), hot))
+
+
+def _emit_cells(splitters, folder, n_hot):
+    """The cells of repeated tokens; windows of hot tokens go to ``n_hot`` more buckets, by their hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(block, held):
             token, hash_, document, count = (np.concatenate(c) for c in list(zip(*held, strict=True))[:4])
-            content = [c for h in held for c in h[4]]
+            is_hot = np.concatenate([h[4] for h in held])
+            content = [c for h in held for c in h[5]]
             order = np.lexsort((document, hash_, token))
             new = np.append(True, (token[order][1:] != token[order][:-1]) | (hash_[order][1:] != hash_[order][:-1]))
             starts = np.flatnonzero(new)
             ends = np.append(starts[1:], len(order)) - 1
             least = order[starts]
             several = document[order[ends]] != document[least]
-            bucket = np.searchsorted(splitters, token[least], "right")
+            dealt = (hash_[least] % np.uint64(max(1, n_hot))).astype(np.int64) + len(splitters) + 1
+            bucket = np.where(is_hot[least], dealt, np.searchsorted(splitters, token[least], "right"))
             rows = []
             for k in np.unique(bucket).tolist():
                 own = least[bucket == k]
@@ -322,7 +366,7 @@ def _emit_cells(splitters, folder):
                 rows.append((k, block, *(a.tobytes() for a in arrays), b"".join([content[i] for i in own.tolist()])))
             return record_batch(rows, _CELLS)
 
-        at, wanted, held, size = None, None, [], 0
+        at, wanted, hot, held, size = None, None, None, [], 0
         for block, ids, texts in _by_block(batches):
             if held and (block != at or size > HELD):
                 yield out(at, held)
@@ -330,13 +374,18 @@ def _emit_cells(splitters, folder):
             if block != at:
                 at, wanted, table = block, None, _entries(folder, block)
                 if table is not None:
-                    parts = zip(table.column("bucket").to_pylist(), table.column("tokens").to_pylist(), strict=True)
-                    wanted = np.sort(np.concatenate([_keys(np.uint64(b), np.frombuffer(t, np.uint32)) for b, t in parts]))
+                    wanted, hot = _token_keys(table, "tokens"), _token_keys(table, "hot")
             for c in cells_of(texts) if wanted is not None else ():
-                own = np.flatnonzero(_known(_keys(np.searchsorted(splitters, c.token, "right"), _short(c.token)), wanted))
-                if len(own):
-                    held.append((c.token[own], c.hash[own], ids[c.text[own]], c.count[own], [c.content(i) for i in own]))
+                _cut_hot(c, splitters, hot)
+                key = _keys(np.searchsorted(splitters, c.token, "right"), _short(c.token))
+                own = np.flatnonzero(_known(key, wanted))
+                for own in np.split(own, range(HELD, len(own), HELD)) if len(own) else ():
+                    content = [c.content(i) for i in own]
+                    held.append((c.token[own], c.hash[own], ids[c.text[own]], c.count[own], _known(key[own], hot), content))
                     size += len(own)
+                    if size > HELD:
+                        yield out(at, held)
+                        held, size = [], 0
         if held:
             yield out(at, held)
 
@@ -353,6 +402,16 @@ def _keys_of(data, begin, count):
     return token, hash_
 
 
+def _parts(group, count):
+    """Slices of cells with whole groups, each of little more than ``SORTED_WINDOWS`` windows."""
+    if not len(group):
+        return
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    number = (np.cumsum(count) - count)[starts] // SORTED_WINDOWS
+    cuts = [*starts[np.append(True, number[1:] != number[:-1])].tolist(), len(group)]
+    yield from map(slice, cuts, cuts[1:])
+
+
 def _resolve(group: pa.Table) -> pa.Table:
     """The smallest documents of the windows of a bucket, for each block that has a larger one with them."""
     def read(name, kind):
@@ -376,10 +435,11 @@ def _resolve(group: pa.Table) -> pa.Table:
     alone = np.flatnonzero(np.bincount(group_of)[group_of] == 1)
 
     runs = [(alone, np.zeros(len(alone), np.int64), count[sample[alone]] - 1, document[sample[alone]])]
-    if len(mixed):
-        content = [data[begin[i] : begin[i] + count[i] + SPAN - 1] for i in sample[mixed].tolist()]
-        own, first, last, least = smallest_documents(content, group_of[mixed], document[sample[mixed]])
-        runs.append((mixed[own], first, last, least))
+    for part in _parts(group_of[mixed], count[sample[mixed]]):
+        part = mixed[part]
+        content = [data[begin[i] : begin[i] + count[i] + SPAN - 1] for i in sample[part].tolist()]
+        own, first, last, least = smallest_documents(content, group_of[part], document[sample[part]])
+        runs.append((part[own], first, last, least))
     run_cell, first, last, least = (np.concatenate(c) for c in zip(*runs, strict=True))
     by_cell = np.argsort(run_cell, kind="stable")
     run_cell, first, last, least = run_cell[by_cell], first[by_cell], last[by_cell], least[by_cell]
@@ -426,17 +486,19 @@ class _Found:
         return text, start + self.first[run], start + self.last[run] + SPAN
 
 
-def _remove(folder, with_kept):
+def _remove(splitters, repeated, folder, with_kept):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, found = None, None
+        at, found, hot = None, None, None
         for block, ids, texts in _by_block(batches):
             if block != at:
                 at, table = block, _entries(folder, block)
                 found = None if table is None else _Found(table)
+                hot = None if table is None else _token_keys(_entries(repeated, block), "hot")
             sizes = np.array([len(t) for t in texts])
             begins = np.cumsum(sizes + 1) - (sizes + 1)  # a byte between two texts keeps their spans apart
             steps = np.zeros(int((sizes + 1).sum()) + 1, np.int32)
             for cells in cells_of(texts) if found is not None else ():
+                _cut_hot(cells, splitters, hot)
                 text, start, end = found.removed(cells, ids)
                 np.add.at(steps, begins[text] + start, 1)
                 np.add.at(steps, begins[text] + end, -1)
@@ -479,6 +541,15 @@ def _keyed(df, name):
     return folder
 
 
+def repeated_cells(blocks: DataFrame, splitters):
+    """The cells of repeated tokens by bucket, and the folder that names these tokens by block."""
+    tokens = blocks.mapInArrow(_emit_tokens(splitters), _ddl(_TOKENS))
+    repeated = _keyed(tokens.groupBy("bucket").applyInArrow(_repeated, _ddl(_REPEATED)), "repeated")
+    n_hot = blocks.sparkSession.read.schema("n_hot long").parquet(repeated).agg(F.sum("n_hot")).first()[0] or 0
+    cells = blocks.mapInArrow(_emit_cells(splitters, repeated, -(-n_hot * REACH // HOT_WINDOWS)), _ddl(_CELLS))
+    return cells, repeated
+
+
 def drop_repeated_passages(docs: DataFrame, texts=False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (with ``texts``) the kept bytes, per row of ``docs``.
 
@@ -497,9 +568,7 @@ def drop_repeated_passages(docs: DataFrame, texts=False) -> DataFrame:
     n_buckets = max(3 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["bytes"] or 0) // BUCKET_BYTES))
     splitters = sampled_splitters(blocks, size["n"], n_buckets)
 
-    tokens = blocks.mapInArrow(_emit_tokens(splitters), _ddl(_TOKENS))
-    repeated = _keyed(tokens.groupBy("bucket").applyInArrow(_repeated, _ddl(_REPEATED)), "repeated")
-    cells = blocks.mapInArrow(_emit_cells(splitters, repeated), _ddl(_CELLS))
+    cells, repeated = repeated_cells(blocks, splitters)
     found = _keyed(cells.groupBy("bucket").applyInArrow(_resolve, _ddl(_FOUND)), "found")
-    result = blocks.mapInArrow(_remove(found, texts), _ddl(_RESULT))
+    result = blocks.mapInArrow(_remove(splitters, repeated, found, texts), _ddl(_RESULT))
     return result if texts else result.drop("kept")

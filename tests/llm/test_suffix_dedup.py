@@ -79,3 +79,20 @@ def test_kept_texts_and_no_rows(documents):
     assert got[1] == a + b and got[2].startswith(c) and a not in got[2]
     assert suffix_dedup.drop_repeated_passages(documents([])).count() == 0
     assert suffix_dedup.drop_repeated_passages(documents([(1, None), (None, "short")])).count() == 2
+
+
+def test_a_hot_token_is_dealt_out_window_by_window(documents, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HELD", 50)
+    monkeypatch.setattr(suffix_dedup, "HOT_CELLS", 20)
+    monkeypatch.setattr(suffix_dedup, "HOT_WINDOWS", 200)
+    monkeypatch.setattr(suffix_dedup, "SORTED_WINDOWS", 100)
+    line = prose(1, 12)
+    rows = [(i if i % 50 else None, f"{prose(1000 + i, 9)}\n{line}\n{prose(5000 + i // 2, 9)}") for i in range(200)]
+    check(documents(rows, 4), rows)
+
+    raw = documents(rows, 4).select("doc_id", suffix_dedup.utf8("text").alias("text"))
+    blocks = suffix_dedup.stage(raw.mapInArrow(suffix_dedup._number, suffix_dedup._ddl(suffix_dedup._BLOCKS)), "blocks")
+    cells, _ = suffix_dedup.repeated_cells(blocks, np.empty(0, np.uint64))
+    sizes = cells.groupBy("bucket").agg(suffix_dedup.F.sum(suffix_dedup.F.octet_length("several")).alias("n")).collect()
+    hot = [r.n for r in sizes if r.bucket > 0]  # with no splitter, all cells were in bucket 0
+    assert len(hot) > 10 and max(hot) < sum(hot) / 5
