@@ -1,3 +1,4 @@
+import pathlib
 import re
 
 import pytest
@@ -54,6 +55,75 @@ def test_the_sample_documents_against_plain_search(spark):
     assert got == expected and sum(map(bool, expected.values())) > 20
 
 
+def named(text):
+    _, found = license_scan.Sentences(license_scan.SENTENCES).identify(text.encode())
+    return [name for _, name in license_scan.match_rules(found, license_scan.RULES, license_scan.GAP)]
+
+
+BSD = """Copyright (c) 1998, Regents of the University of Somewhere
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+
+  1. Redistributions of source code must retain the above copyright
+     notice, this list of conditions and the following disclaimer.
+  2. Redistributions in binary form must reproduce the above copyright
+     notice, this list of conditions and the following disclaimer in the
+     documentation and/or other materials provided with the distribution.
+"""
+GNU = """{0} is free software{1} you can redistribute it and/or modify
+it under the terms of the GNU {2}General Public License as published by
+the Free Software Foundation{3} either version {4} of the License, or
+(at your option) any later version.
+"""
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("This project is licensed under the MIT License.", ["MIT"]),
+        ("This project is licensed under the MIT License - see the LICENSE file for details.", ["MIT"]),
+        ("Licensed under either of the Apache License, Version 2.0 or the MIT license at your option.", ["Apache-2.0", "MIT"]),
+        ("Code is licensed under the\nBSD 3-Clause License.", ["BSD-3-Clause"]),
+        ("It is distributed under the terms of the GNU General Public License v2.", ["GPL-2.0-only"]),
+        ("Foo is licensed under the GPLv3+.", ["GPL-3.0-or-later"]),
+        ("Foo is released under the GNU Lesser General Public License, version 2.1 or later.", ["LGPL-2.1-or-later"]),
+        ("Available under the Mozilla Public License, v. 2.0.", ["MPL-2.0"]),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]),
+        ("// SPDX-License-Identifier: (MIT OR GPL-2.0+)\nint x;", ["MIT", "GPL-2.0-or-later"]),
+        ("# SPDX-License-Identifier:Apache-2.0 WITH LLVM-exception", ["Apache-2.0"]),
+        (GNU.format("Foo", ":", "Affero ", ",", "3"), ["AGPL-3.0-or-later"]),
+        (GNU.format("This library", ";", "Lesser ", ";", "2.1"), ["LGPL-2.1-or-later"]),
+        (GNU.format("This program", ";", "", ";", "2"), ["GPL-2.0-or-later"]),
+        (BSD + "  3. Neither the name of Acme, Inc. nor the names of its contributors\n     may be used to endorse or promote products"
+         " derived from\n     this software without specific prior written permission.\n", ["BSD-3-Clause"]),
+        (BSD + "3. The name of the author may not be used to endorse or promote products derived from this software without specific"
+         " prior written permission.", ["BSD-3-Clause"]),
+        (BSD, ["BSD-2-Clause"]),
+        ("This is free and unencumbered software released into the public domain.", ["Unlicense"]),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided"
+         " that the above\ncopyright notice and this permission notice appear in all copies.", ["ISC"]),
+        ("This is not licensed under the MIT License. It cannot be released under GPLv2.", []),
+        ("The bridge was published by the MIT press. Released by MIT in 1999. We sat under the tree.", []),
+    ],
+)
+def test_wordings_that_the_sample_does_not_have(text, expected):
+    assert named(text) == expected
+
+
+@pytest.mark.parametrize("name", ["GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0", "MPL-1.1", "CC0-1.0", "Apache-2.0"])
+def test_full_texts_as_systems_ship_them(name):
+    path = pathlib.Path("/usr/share/common-licenses", name)
+    if not path.exists():
+        pytest.skip("no licence texts on this system")
+    version = name if "." in name else f"{name}.0"
+    text = path.read_text()
+    assert named(text) == [f"{version}-only" if "GPL" in name else version]
+    assert named(text[: len(text) // 2]) == []
+
+
 def test_awkward_documents(documents, awkward):
     assert license_scan.scan_licenses(documents(awkward)).filter("size(licenses) = 0").count() == len(awkward)
     assert license_scan.scan_licenses(documents([])).count() == 0
