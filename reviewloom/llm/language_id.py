@@ -2,11 +2,14 @@
 
 A text is the mean of the embeddings of its hashed byte n-grams inside words.
 A linear layer and a softmax on that mean give the languages. Stochastic
-gradient descent in numpy fits both on a bounded sample of labelled rows; rows
-of the sample kept apart calibrate the probabilities by a temperature and set
-the score below which a prediction is rejected.
+gradient descent in numpy fits both on a bounded sample of labelled rows, once
+for each of a few folds; the mean of the fits is the model. Every whole text is
+scored by the fit of the folds without it and its copies; these scores calibrate
+the probabilities by a temperature and set the score below which a prediction is
+rejected.
 """
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,15 +26,19 @@ UNDETERMINED = "und"
 LENGTHS, BUCKETS, WIDTH = (2, 3, 4), 2**14, 16
 #: Rows a label contributes to the sample, on average; the sample has at most twice that for each label.
 ROWS_PER_LABEL = 600
-#: Of the calibration rows that are predicted right, so many are rejected at most.
-REJECTED_SHARE = 0.0005
+#: Of the right predictions of whole texts like those of the sample, so many are rejected.
+REJECTED_SHARE = 0.002
+#: Parts of the sample, dealt by a hash of the text, that are left out of a fit in turn.
+FOLDS = 3
+#: Lowest scores that give the limit where fewer than so many are below it; and how many must be, or the lowest is the limit.
+TAIL, LEAST_BELOW = 10, 2
 EPOCHS, RATE = 8, 0.2
 #: Runs of two to five words of a text that are learned from besides the whole.
 WINDOWS = 3
 #: Bytes of a text whose n-grams are held at once.
 _PIECE = 1_000_000
 
-_BAGS = pa.schema([("lang", pa.string()), ("buckets", pa.list_(pa.int32())), ("shares", pa.list_(pa.float32()))])
+_BAGS = pa.schema([("lang", pa.string()), ("fold", pa.int32()), ("whole", pa.bool_()), ("buckets", pa.list_(pa.int32())), ("shares", pa.list_(pa.float32()))])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 # letters and bytes beyond ASCII stay, all else is a space
@@ -118,6 +125,11 @@ def _fit(bags, n_labels, seed=7):
     return (embeddings @ layer).astype(np.float32)
 
 
+def fold_of(text: str) -> int:
+    """The fold of a text; copies that differ in case or white space only share it."""
+    return int.from_bytes(hashlib.md5(" ".join(text.lower().split()).encode("utf-8", "replace")).digest()[:8], "big") % FOLDS
+
+
 def _bags(windows):
     """The whole text of a labelled row and, for short texts' sake, ``windows`` runs of a few words from anywhere in it."""
 
@@ -132,7 +144,8 @@ def _bags(windows):
                 for _ in range(windows if len(words) > 6 else 0):
                     start = int(random.integers(0, len(words) - 5))
                     parts.append(" ".join(words[start : start + int(random.integers(2, 6))]))
-                rows += [(lang, *bag(part)) for part in parts if has_letter(part)]
+                fold = fold_of(text)
+                rows += [(lang, fold, i == 0, *bag(part)) for i, part in enumerate(parts) if has_letter(part)]
             if rows:
                 yield record_batch(rows, _BAGS)
 
@@ -162,31 +175,68 @@ def fit_language_model(docs: DataFrame, rows_per_label=ROWS_PER_LABEL) -> Model:
     one as at most ``BUCKETS`` shares, and ``WINDOWS`` short windows of each.
     """
     sample, n_labels = labelled_sample(docs, rows_per_label)
-    collected = sample.mapInArrow(_bags(WINDOWS), "lang string, buckets array<int>, shares array<float>")
+    collected = sample.mapInArrow(_bags(WINDOWS), "lang string, fold int, whole boolean, buckets array<int>, shares array<float>")
     collected = collected.limit(max(1, 2 * rows_per_label * n_labels * (1 + WINDOWS))).toArrow()
     labels = tuple(sorted(set(collected.column("lang").to_pylist())))
     number = {label: i for i, label in enumerate(labels)}
     bags = [
-        (number[row["lang"]], np.array(row["buckets"], np.int32), np.array(row["shares"], np.float32))
+        (number[row["lang"]], np.array(row["buckets"], np.int32), np.array(row["shares"], np.float32), row["fold"], row["whole"])
         for batch in collected.to_batches(500)
         for row in batch.to_pylist()
         if row["buckets"]
     ]
-    bags.sort(key=lambda b: (b[0], len(b[1]), b[1].tobytes()))  # the same order whatever the partitions were
+    bags.sort(key=lambda b: (b[0], len(b[1]), b[1].tobytes(), *b[3:]))  # the same order whatever the partitions were
     if not bags:
         return Model((), np.zeros((BUCKETS, 0), np.float32), 1.0, 0.0)
-    apart = [b for i, b in enumerate(bags) if i % 5 == 0]
-    weights = _fit([b for i, b in enumerate(bags) if i % 5] or bags, len(labels))
-    logits = np.array([shares @ weights[buckets] for _, buckets, shares in apart])
-    truth = np.array([label for label, _, _ in apart])
-    temperature = min(
-        np.geomspace(0.05, 20, 60),
-        key=lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean(),
+    return Model(labels, *_fit_folds(bags, len(labels)))
+
+
+def _fit_folds(bags, n_labels):
+    """Weights, temperature and limit. ``bags``: (label number, buckets, shares, fold, whether it is a whole text)."""
+    fits, logits, truth = [], [], []
+    for fold in range(FOLDS):
+        learned = [b[:3] for b in bags if b[3] != fold]
+        apart = [b for b in bags if b[3] == fold and b[4]]
+        if learned and apart:
+            fits.append(_fit(learned, n_labels))
+            logits += [shares @ fits[-1][buckets] for _, buckets, shares, *_ in apart]
+            truth += [label for label, *_ in apart]
+    if not fits:
+        return _fit([b[:3] for b in bags], n_labels), 1.0, 0.0
+    weights, logits, truth = np.mean(fits, axis=0).astype(np.float32), np.array(logits, np.float64), np.array(truth)
+    # nothing is taken for certain: where all are right, the likelihood alone would drive the temperature to nothing
+    unsure = 1 / (len(truth) + 2)
+    wanted = np.full(logits.shape, unsure / max(1, n_labels - 1))
+    wanted[np.arange(len(truth)), truth] = 1 - unsure
+    temperature = float(
+        min(
+            np.geomspace(0.05, 20, 60),
+            key=lambda t: -(wanted * np.log(np.maximum(_softmax(logits / t), 1e-300))).sum(axis=1).mean(),
+        )
     )
-    probabilities = _softmax(logits / temperature)
-    right = np.sort(probabilities.max(axis=1)[probabilities.argmax(axis=1) == truth])
-    limit = float(right[int(REJECTED_SHARE * len(right))]) if len(right) else 0.0
-    return Model(labels, weights, float(temperature), min(limit, 1 / len(labels) + 0.1))
+    right = logits[logits.argmax(axis=1) == truth] / temperature
+    return weights, temperature, rejection_limit(right) if n_labels > 1 and len(right) else 0.0
+
+
+def rejection_limit(logits, share=REJECTED_SHARE) -> float:
+    """The score that ``share`` of right predictions with these logits stay below.
+
+    It is a quantile of the log odds. Where fewer than ``TAIL`` rows are below
+    it, the lowest ``TAIL`` are taken as an exponential tail. Where ``share`` is
+    fewer than ``LEAST_BELOW`` rows, the sample cannot tell it: the lowest score
+    is the limit then, which rejects less.
+    """
+    ordered = np.sort(logits, axis=1)
+    odds = np.sort(ordered[:, -1] - np.log(np.exp(ordered[:, :-1] - ordered[:, -1:]).sum(axis=1)) - ordered[:, -1])
+    below = share * len(odds)
+    tail = odds[:TAIL]
+    if below >= len(tail):
+        limit = odds[int(below)]
+    elif below < LEAST_BELOW:
+        limit = tail[0]
+    else:
+        limit = tail[-1] - (tail[-1] - tail).mean() * math.log(len(tail) / below)
+    return float(1 / (1 + math.exp(-limit)))
 
 
 def _predict(model):
@@ -210,7 +260,7 @@ def identify_languages(docs: DataFrame, model: Model | None = None) -> DataFrame
 
     A text that is NULL or has no letter is ``und`` with score 0, and so is all
     where no row could be learned from. ``rejected`` holds for those and for
-    scores below the calibrated limit. Whole texts are read, long ones piece by
+    scores below the calibrated limit, which ``REJECTED_SHARE`` sets. Whole texts are read, long ones piece by
     piece. Rows without doc_id count as not held out, rows without ``lang`` are
     not learned from but predicted. Repeated rows are predicted each; an empty
     table gives no row; other columns are not read.

@@ -75,3 +75,36 @@ def test_long_texts_lose_no_subword(monkeypatch):
     monkeypatch.setattr(language_id, "_PIECE", 97)
     assert (np.sort(np.concatenate(list(language_id.subwords(text)))) == whole).all()
     assert language_id.bag(text)[1].sum() == pytest.approx(1)
+
+
+@pytest.mark.parametrize("left_out", ["en", "fr", "de", "es"])
+def test_a_language_without_a_label_is_rejected(spark, left_out):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    other = docs["lang"] == left_out
+    model = language_id.fit_language_model(docs.filter(~other))
+    rows = language_id.identify_languages(docs.filter(other & (language_id.F.length("text") > 40)), model).select("rejected").collect()
+    known = language_id.identify_languages(docs.filter(~other), model).select("rejected").collect()
+    assert len(rows) > 100 and sum(r.rejected for r in rows) > 0.9 * len(rows)
+    assert sum(r.rejected for r in known) <= 0.005 * len(known)
+
+
+def test_the_limit_follows_the_stated_share():
+    odds = np.random.default_rng(3).exponential(2, 20_000) + 1
+    logits = np.column_stack([odds, np.zeros(len(odds))])
+    assert language_id.rejection_limit(logits, 0.01) == pytest.approx(1 / (1 + np.exp(-np.quantile(odds, 0.01))), abs=1e-3)
+    few = 15 - np.random.default_rng(4).exponential(1, (300, 2000))  # 4 rows of 2000 are one in 500
+    limits = [language_id.rejection_limit(np.column_stack([o, np.zeros(2000)]), 0.002) for o in few]
+    assert np.mean([(few < np.log(p / (1 - p))).mean() for p in limits[:50]]) == pytest.approx(0.002, rel=0.3)
+    short = np.column_stack([few[0, :400], np.zeros(400)])
+    assert language_id.rejection_limit(short, 0.002) == pytest.approx(1 / (1 + np.exp(-few[0, :400].min())))
+
+
+def test_copies_share_a_fold_and_only_whole_texts_calibrate():
+    assert language_id.fold_of("Some  Words\nhere") == language_id.fold_of("some words here")
+    assert {language_id.fold_of(f"text {i}") for i in range(50)} == set(range(language_id.FOLDS))
+    import pyarrow as pa
+
+    text = b"one two three four five six seven eight"
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "en"], "text": pa.array([text, text], pa.binary())})
+    rows = pa.Table.from_batches(list(language_id._bags(3)(iter([batch])))).to_pylist()
+    assert len({r["fold"] for r in rows}) == 1 and [r["whole"] for r in rows] == [True, False, False, False] * 2
