@@ -12,8 +12,11 @@ from reviewloom.llm import (
     line_dedup,
     near_dedup,
     packing,
+    quality,
+    spelling,
     suffix_dedup,
     url_filter,
+    vector_codes,
     warc,
 )
 from reviewloom.llm.common import table, tokenizer_path
@@ -68,6 +71,18 @@ def op10_decontamination(spark, sf_dir):
     )
 
 
+def op11_quality_classifier(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {name: query for name, query in sorted(globals().items()) if name.startswith("op") and callable(query)}
 QUERIES["pipeline"] = run
 ORACLES = OPERATORS | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})

@@ -100,10 +100,104 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_NEAREST12 = """
+assigned{r} AS MATERIALIZED (
+    SELECT vec_id, any_value(label) AS label, p, any_value(v) AS v,
+           min(struct_pack(d := d, e := e)) AS best
+    FROM (SELECT vec_id, label, p, e, parts.v,
+                 list_sum(list_transform(list_zip(parts.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+          FROM parts JOIN book{r} b USING (p))
+    GROUP BY vec_id, p
+)"""
+
+_NEXT12 = """
+sums{r} AS (
+    SELECT p, best.e AS e, i, sum(v[i]) AS s, count(*) AS c FROM assigned{r}, range(1, len(v) + 1) t(i) GROUP BY p, best.e, i
+), means{r} AS (
+    SELECT p, e, list(CAST((s - ((s % c) + c) % c) // c AS BIGINT) ORDER BY i) AS v FROM sums{r} GROUP BY p, e
+), book{n} AS MATERIALIZED (
+    SELECT p, e, coalesce(m.v, b.v) AS v FROM book{r} b LEFT JOIN means{r} m USING (p, e)
+)"""
+
+OP12 = (
+    """
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+    SELECT vec_id, label, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS v FROM kept, range(16) t(p)
+), book0 AS MATERIALIZED (
+    SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM parts
+    QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= 64
+), """
+    + ", ".join([_NEAREST12.format(r=0), _NEXT12.format(r=0, n=1), _NEAREST12.format(r=1), _NEXT12.format(r=1, n=2), _NEAREST12.format(r=2)])
+    + """, digest AS (
+    SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book2
+), coded AS (
+    SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code,
+           CAST(sum(best.d) AS BIGINT) AS error
+    FROM assigned2 GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded, digest
+"""
+)
+
+OP13 = r"""
+WITH RECURSIVE crc_table AS MATERIALIZED (
+    SELECT list(c ORDER BY b) AS t FROM (
+        SELECT b, list_reduce(list_prepend(CAST(b AS BIGINT), [CAST(0 AS BIGINT) FOR x IN range(8)]),
+                              lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c
+        FROM range(256) r(b))
+), runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents
+), pairs AS (
+    SELECT doc_id, run, count(*) AS k,
+           flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+               lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)]
+                         ELSE [CAST(192 + unicode(c) // 64 AS BIGINT), CAST(128 + unicode(c) % 64 AS BIGINT)] END)) AS bytes
+    FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run
+), hashed AS (
+    SELECT run, k, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes),
+                                   lambda a, x: xor(t[xor(a % 256, x) + 1], a // 256)), CAST(4294967295 AS BIGINT)) AS h
+    FROM pairs, crc_table
+), words AS MATERIALIZED (
+    SELECT word, CAST(sum(k) AS BIGINT) AS n
+    FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k
+          FROM hashed)
+    WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2
+), cut AS MATERIALIZED (
+    SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+    FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS MATERIALIZED (
+    SELECT a.word AS word, b.word AS other, b.n AS n
+    FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+    SELECT word, count(*) AS n_near, min(struct_pack(m := -n, w := other)) AS top FROM near GROUP BY word
+), forms AS MATERIALIZED (
+    SELECT word, words.n AS n, coalesce(n_near, 0) AS n_near,
+           CASE WHEN -top.m >= 10 * words.n THEN top.w END AS form, CASE WHEN -top.m >= 10 * words.n THEN -top.m END AS form_n
+    FROM words LEFT JOIN best USING (word)
+), way(word, place) AS (
+    SELECT word, word FROM forms
+    UNION ALL SELECT way.word, forms.form FROM way JOIN forms ON forms.word = way.place WHERE forms.form IS NOT NULL
+), last AS (
+    SELECT way.word, way.place AS root FROM way JOIN forms ON forms.word = way.place WHERE forms.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN last USING (word)
+"""
+
 OPERATORS = {
     "op2_url_filters": OP2,
     "op3_warc": OP3,
     "op4_exact_dedup": OP4,
     "op6_line_dedup": OP6,
     "op10_decontamination": OP10,
+    "op12_vector_codes": OP12,
+    "op13_spelling_variants": OP13,
 }
