@@ -2,9 +2,11 @@
 
 A split is a cut in the order of ``md5(key:seed)``. The cut itself is an exact
 order statistic, found without sorting all keys in one place: keys are counted
-per hash prefix, the running count names the one prefix in which each cut
-falls, and only that prefix is ranked. Rows are then labelled by comparing
-their own hash with the cut, so the reviews are never shuffled.
+by the first two digits of their hashes, the running count names the one
+beginning in which each cut falls, and only keys with such a beginning go on
+to the next two digits. When few are left they are ranked. Rows are then
+labelled by comparing their own hash with the cut, so the reviews are never
+shuffled.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -15,9 +17,10 @@ from reviewloom.session import stage
 
 SPLITS = ("train", "val", "test")
 
-# Prefix digits: at most 16**5 counts per stratum, never more than its members,
-# and one in a million of the members ranked: 100,000 of 1e11.
-PREFIX_DIGITS = 5
+# Digits of a level: at most 16**2 counts per stratum leave a task. With every
+# level a 256th of the members goes on; levels end when no more than RANKED are left.
+LEVEL_DIGITS = 2
+RANKED = 100_000
 
 
 def hash_position(key, seed):
@@ -27,34 +30,59 @@ def hash_position(key, seed):
     return F.concat(F.md5(F.concat(text, F.lit(":"), seed.cast("string"))), text)
 
 
-def rank_cuts(members: DataFrame, strata, quotas: DataFrame, position="position", digits=PREFIX_DIGITS) -> DataFrame:
+def rank_cuts(members: DataFrame, strata, quotas: DataFrame, position="position", digits=LEVEL_DIGITS, ranked=RANKED) -> DataFrame:
     """The position of the ``quota``-th member of each stratum, per cut.
 
-    ``members``: strata columns and ``position``. ``quotas``: strata columns,
-    ``cut`` and ``quota``, one row per cut: few rows, as are the strata. A cut
-    with quota 0 or above the number of members has no row in the result.
+    ``members``: strata columns and ``position``, which begins with random hex
+    digits. ``quotas``: strata columns, ``cut`` and ``quota``, one row per cut:
+    few rows, as are the strata. A cut with quota 0 or above the number of
+    members has no row in the result. The members are read twice; what a level
+    leaves is staged.
     """
     strata = list(strata)
-    keyed = members.select(*strata, position, F.substring(position, 1, digits).alias("_prefix"))
-    running = Window.partitionBy(*strata).orderBy("_prefix")
+    rows = members.select(*strata, F.col(position).alias("position"))
+    # the beginning in which a cut falls, and which of its members is wanted
+    edges = quotas.select(*strata, F.lit("").alias("beginning"), "cut", F.col("quota").alias("wanted"))
+    width = 0
+    while True:
+        edges, rows = _next_level(rows, strata, edges, width, digits)
+        width += digits
+        # a position has 32 hash digits; members beyond that have equal hashes
+        if width >= 32 or rows.count() <= ranked:
+            break
+    place = Window.partitionBy(*strata, "cut").orderBy("position")
+    return (
+        rows.withColumn("beginning", F.substring("position", 1, width))
+        .join(F.broadcast(edges), strata + ["beginning"])
+        .withColumn("_rank", F.row_number().over(place))
+        .filter(F.col("_rank") == F.col("wanted"))
+        .select(*strata, "cut", F.col("position").alias("cut_position"))
+    )
+
+
+def _next_level(rows, strata, edges, width, digits):
+    """Edges with ``digits`` more, and the rows that have a beginning of one of them; both staged."""
+    inner = [*strata, "beginning"]
+    parts = rows.select(
+        *strata, F.substring("position", 1, width).alias("beginning"), F.substring("position", width + 1, digits).alias("next")
+    )
+    running = Window.partitionBy(*inner).orderBy("next")
     sizes = (
-        keyed.groupBy(*strata, "_prefix")
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .withColumn("_upto", F.sum("_size").over(running))
+        parts.groupBy(*inner, "next")
+        .agg(F.count(F.lit(1)).alias("size"))
+        .withColumn("upto", F.sum("size").over(running))
     )
-    before = F.col("_upto") - F.col("_size")
-    edges = (
-        sizes.join(F.broadcast(quotas), strata)
-        .filter((before < F.col("quota")) & (F.col("quota") <= F.col("_upto")))
-        .select(*strata, "_prefix", "cut", (F.col("quota") - before).alias("_wanted"))
+    before = F.col("upto") - F.col("size")
+    found = (
+        sizes.join(F.broadcast(edges), inner)
+        .filter((before < F.col("wanted")) & (F.col("wanted") <= F.col("upto")))
+        .select(*strata, F.concat("beginning", "next").alias("beginning"), "cut", (F.col("wanted") - before).alias("wanted"))
     )
-    ranked = Window.partitionBy(*strata, "cut").orderBy(position)
-    return (
-        keyed.join(F.broadcast(edges), strata + ["_prefix"])
-        .withColumn("_rank", F.row_number().over(ranked))
-        .filter(F.col("_rank") == F.col("_wanted"))
-        .select(*strata, "cut", F.col(position).alias("cut_position"))
+    found = stage(found, "cut-edges")
+    left = rows.withColumn("beginning", F.substring("position", 1, width + digits)).join(
+        F.broadcast(found.select(*inner).distinct()), inner, "left_semi"
     )
+    return found, stage(left.drop("beginning"), "cut-members")
 
 
 def _split_quotas(groups, train, val_of_rest):

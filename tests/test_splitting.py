@@ -118,3 +118,36 @@ def test_union_matches_columns_by_name(spark):
     b = spark.createDataFrame([("y", 2)], "v string, k int")
     got = G.union_splits(G.with_split(a, "train"), G.with_split(b, "val")).orderBy("k").collect()
     assert [tuple(r) for r in got] == [(1, "x", "train"), (2, "y", "val")]
+
+
+@pytest.mark.parametrize("digits", [1, 2])
+@pytest.mark.parametrize("ranked", [0, 20, 10**6])
+def test_cuts_by_levels_equal_a_sort(spark, digits, ranked):
+    rng = random.Random(digits)
+    members = [(s, hashlib.md5(f"{s}:{rng.randint(0, 400)}".encode()).hexdigest() + "x") for s in "aab" for _ in range(300)]
+    members += [("a", "0" * 32 + "tie")] * 5 + [("b", "f" * 32), ("empty", None)]
+    quotas = [(s, f"cut{q}", q) for s in "abc" for q in (0, 1, 3, 7, 299, 300, 301, 605, 606, 10**6)]
+    got = G.rank_cuts(
+        spark.createDataFrame(members, "s string, position string").repartition(4),
+        ["s"],
+        spark.createDataFrame(quotas, "s string, cut string, quota long"),
+        digits=digits,
+        ranked=ranked,
+    ).collect()
+    expected = set()
+    for s, cut, q in quotas:
+        order = sorted(p for t, p in members if t == s)
+        if 0 < q <= len(order):
+            expected.add((s, cut, order[q - 1]))
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+
+
+def test_a_level_shuffles_few_counts(spark):
+    """All seeds over 20,000 keys: a task sends at most 256 counts a seed."""
+    keys = spark.range(20_000).select(F.col("id").cast("string").alias("product_id")).repartition(4)
+    trials = keys.select("product_id", F.explode(F.lit(list(range(10)))).alias("seed"))
+    members = trials.select("seed", G.hash_position("product_id", F.col("seed")).alias("position"))
+    quotas = spark.createDataFrame([(s, "train", 14_000) for s in range(10)], "seed int, cut string, quota long")
+    edges, rows = G._next_level(members, ["seed"], quotas.select("seed", F.lit("").alias("beginning"), "cut", F.col("quota").alias("wanted")), 0, 2)
+    assert edges.count() == 10 and rows.count() < 10 * 20_000 / 256 * 2
+    assert G.rank_cuts(members, ["seed"], quotas).count() == 10
