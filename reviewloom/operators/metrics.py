@@ -4,6 +4,8 @@ A scored table is reduced once to counts of (actual, predicted) pairs, at most
 a dozen rows per group; every metric is arithmetic on those.
 """
 
+import math
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from reviewloom.functions.text import normalize_join_text, text_digest
 from reviewloom.operators.audit import value_counts
 from reviewloom.schema import LABELS
+from reviewloom.session import stage
 
 ACTUAL, PREDICTED = "sentiment", "predicted_sentiment"
 
@@ -28,6 +31,25 @@ LEGACY_BASELINE = {
 
 UNSTABLE_BELOW = 100
 
+# Buckets of keys whose digests are compared first.
+BUCKETS = 4096
+
+# Bootstrap: replicates, and the width of an interval above which a category is unstable.
+REPLICATES, WIDEST_STABLE = 100, 0.10
+
+
+def _poisson_edges(limit=2**32):
+    """Where a uniform number below ``limit`` passes from k to k + 1 draws, with mean 1."""
+    edges, term, total = [], math.exp(-1), 0.0
+    for k in range(1, 12):
+        total += term
+        edges.append(round(total * limit))
+        term /= k
+    return edges
+
+
+POISSON_EDGES = _poisson_edges()
+
 
 def pair_counts(scored: DataFrame, actual=ACTUAL, predicted=PREDICTED, by=()) -> DataFrame:
     return scored.groupBy(*by, F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(
@@ -160,6 +182,57 @@ def domain_metrics(
     )
 
 
+def poisson_weight(key, replicate):
+    """How often a row is drawn in a replicate of the bootstrap: Poisson(1) from a hash of key and replicate.
+
+    A digest gives four uniform numbers of 32 bits, so four replicates share one.
+    """
+    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.floor(replicate / 4).cast("string")))
+    uniform = F.conv(F.substr(digest, replicate % 4 * 8 + 1, F.lit(8)), 16, 10).cast("long")
+    return sum((uniform >= edge).cast("int") for edge in POISSON_EDGES)
+
+
+def domain_intervals(
+    scored: DataFrame,
+    key: str,
+    by="product_category",
+    replicates=REPLICATES,
+    level=0.95,
+    widest=WIDEST_STABLE,
+    actual=ACTUAL,
+    predicted=PREDICTED,
+) -> DataFrame:
+    """Accuracy and macro F1 per category with bootstrap intervals; ``unstable``: an interval wider than ``widest``.
+
+    One pass: each row counts in every replicate as often as a hash of its
+    ``key`` says, so that a rerun draws the same. A task sends one count for
+    each category, pair of labels and replicate, whatever its rows.
+    """
+    replicate = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
+    drawn = (
+        scored.select(by, actual, predicted, F.col(key).alias("_key"), replicate)
+        .withColumn("weight", poisson_weight(F.col("_key"), F.col("replicate")))
+        .filter("weight > 0")
+        .groupBy(by, "replicate", F.col(actual).alias("actual"), F.col(predicted).alias("predicted"))
+        .agg(F.sum("weight").alias("n"))
+    )
+    each = _averages(_label_rows(drawn, [by, "replicate"]), [by, "replicate"])
+    tail = (1 - level) / 2
+    measures = ("accuracy", "macro_f1")
+    spread = each.groupBy(by).agg(
+        *[F.percentile(m, F.lit(share)).alias(f"{m}_{end}") for m in measures for end, share in (("low", tail), ("high", 1 - tail))]
+    )
+    wide = [F.col(f"{m}_high") - F.col(f"{m}_low") > widest for m in measures]
+    point = _averages(_label_rows(pair_counts(scored, actual, predicted, [by]), [by]), [by]).select(by, "n", *measures)
+    same = F.col(by).eqNullSafe(F.col("_by"))
+    return point.join(spread.withColumnRenamed(by, "_by"), same, "left").select(
+        by,
+        "n",
+        *[c for m in measures for c in (m, f"{m}_low", f"{m}_high")],
+        F.coalesce(wide[0] | wide[1], F.lit(True)).alias("unstable"),
+    )
+
+
 def metric_values(scored: DataFrame, actual=ACTUAL, predicted=PREDICTED) -> DataFrame:
     """Overall metrics and the F1 of each class in long form (metric, value)."""
     rows = _label_rows(pair_counts(scored, actual, predicted), always=LABELS)
@@ -224,6 +297,43 @@ def parity_check(a: DataFrame, b: DataFrame, key: str, label=PREDICTED, toleranc
     )
 
 
+def bucket_digests(df: DataFrame, key: str, label=PREDICTED, buckets=BUCKETS) -> DataFrame:
+    """Rows of each bucket of keys and digests of its contents that do not depend on order.
+
+    A task sends one row for each bucket. Two sums of independent 64-bit hashes tell buckets apart.
+    """
+    values = [key, label, *[f"prob_{c}" for c in LABELS]]
+    # a NULL must not be skipped by the hash, nor a value slip into the place of the next
+    parts = F.struct(*[F.col(c).isNull().alias(f"no_{i}") for i, c in enumerate(values)], *values)
+    hashes = [F.xxhash64(F.lit(seed), parts) for seed in (1, 2)]
+    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(h.cast("decimal(20,0)")).alias(f"digest_{i}") for i, h in enumerate(hashes)],
+    )
+
+
+def differing_buckets(a: DataFrame, b: DataFrame, key: str, label=PREDICTED, buckets=BUCKETS) -> DataFrame:
+    """The buckets of keys whose rows are not the same in both tables: at most ``buckets`` rows, staged."""
+    left, right = (bucket_digests(df, key, label, buckets) for df in (a, b))
+    columns = ("n", "digest_0", "digest_1")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in columns]
+    joined = left.alias("a").join(right.alias("b"), "bucket", "full_outer")
+    return stage(joined.filter(~(same[0] & same[1] & same[2])).select("bucket"), "differing-buckets")
+
+
+def parity_by_buckets(a: DataFrame, b: DataFrame, key: str, label=PREDICTED, tolerance=1e-9, buckets=BUCKETS) -> DataFrame:
+    """``parity_check`` of the buckets whose digests differ; no row of the others is shuffled.
+
+    All rows that do not match are in it, and the matching ones of their
+    buckets. Repeated keys are an error only there: where both tables repeat
+    the same rows, buckets are equal.
+    """
+    differing = differing_buckets(a, b, key, label, buckets)
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets))
+    sides = [df.join(F.broadcast(differing), bucket == differing.bucket, "left_semi") for df in (a, b)]
+    return parity_check(*sides, key, label, tolerance)
+
+
 def text_overlap(
     evaluation: DataFrame, train: DataFrame, text: str, body="review_body", title="review_title"
 ) -> DataFrame:
@@ -294,3 +404,36 @@ def keyword_by_class(df: DataFrame, words, terms: str, label=ACTUAL) -> DataFram
     return found.select("word", label).unionByName(listed).groupBy("word").agg(
         (F.count(F.lit(1)) - 1).alias("n_total"), *sums
     )
+
+
+def keyword_table_by_class(df: DataFrame, keywords: DataFrame, words: str, label=ACTUAL, keyword="keyword") -> DataFrame:
+    """``keyword_by_class`` for a table of keywords, however many, with phrases among them.
+
+    ``words`` is a token list column; a keyword is its words joined by single
+    spaces. Rows are cut into n-grams of the lengths that keywords have, and
+    counted once for each n-gram they hold. Where the keywords are small enough
+    for Spark to broadcast, it drops all other n-grams before they are counted;
+    else counts meet keywords in a shuffle, in which a frequent n-gram is one
+    row a task. Repeated keywords count once; NULL and empty ones are none.
+    """
+    listed = keywords.select(F.col(keyword).alias("word")).filter("word > ''").distinct()
+    lengths = [r[0] for r in listed.select(F.size(F.split("word", " ")).alias("n")).distinct().orderBy("n").collect()]
+    grams = F.array_distinct(F.concat(F.array().cast("array<string>"), *[_runs(words, n) for n in lengths]))
+    counts = (
+        df.select(F.col(label).alias("_label"), F.explode(grams).alias("word"))
+        .groupBy("_label", "word")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .join(listed, "word", "left_semi")
+    )
+    n = F.col("n")
+    sums = [F.coalesce(F.sum(F.when(F.col("_label") == c, n)), F.lit(0)).alias(f"n_{c}") for c in LABELS]
+    per_word = counts.groupBy("word").agg(F.sum("n").alias("n_total"), *sums)
+    columns = ["n_total", *[f"n_{c}" for c in LABELS]]
+    return listed.join(per_word, "word", "left").select("word", *[F.coalesce(c, F.lit(0)).alias(c) for c in columns])
+
+
+def _runs(words, n):
+    """All runs of ``n`` words of a list, joined by spaces."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
+    runs = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.coalesce(runs, F.array().cast("array<string>"))

@@ -14,9 +14,11 @@ from reviewloom.functions.gate import domain_gate
 from reviewloom.operators import audit as A
 from reviewloom.operators import cleaning as C
 from reviewloom.operators import features as X
+from reviewloom.operators import incremental as I
 from reviewloom.operators import metrics as V
 from reviewloom.operators import models as M
 from reviewloom.operators import scoring as R
+from reviewloom.operators import sketches as K
 from reviewloom.operators import splitting as G
 from reviewloom.plans.sample_reviews import labelled_reviews, sample_reviews, scored_reviews, table
 from reviewloom.plans.scoring_job import score_folder, score_upload
@@ -24,6 +26,7 @@ from reviewloom.schema import LABELS
 from reviewloom.session import stage, stage_path
 from reviewloom.sources import reviews as S
 from reviewloom.sources import tables as ST
+from reviewloom.streaming import summary as W
 from reviewloom.streaming.scoring import score_stream
 
 QUERIES = {}
@@ -883,15 +886,18 @@ def _with_probabilities(df, shift):
     )
 
 
-@query
-def parity_check(spark, sf_dir):
+def _parity_sides(spark, sf_dir):
     """Two scored tables that differ in some labels, probabilities and rows."""
     scored = scored_reviews(spark, sf_dir)
     a = _with_probabilities(scored.filter("language != 'es'"), 0.0)
     b = _with_probabilities(scored.filter("language != 'de'"), F.when(F.col("review_id") % 7 == 0, 0.01).otherwise(0.0))
     b = b.withColumn("predicted_sentiment", F.when(F.col("review_id") % 23 == 0, "Neutral").otherwise(F.col("predicted_sentiment")))
-    b = b.withColumn("prob_Neutral", F.when(F.col("review_id") % 31 != 0, F.col("prob_Neutral")))
-    return rounded(V.parity_check(a, b, "review_id"))
+    return a, b.withColumn("prob_Neutral", F.when(F.col("review_id") % 31 != 0, F.col("prob_Neutral")))
+
+
+@query
+def parity_check(spark, sf_dir):
+    return rounded(V.parity_check(*_parity_sides(spark, sf_dir), "review_id"))
 
 
 @query
@@ -954,3 +960,111 @@ def unknown_terms(spark, sf_dir):
     texts = train.unionByName(val).select(M.model_text("B").alias("text"))
     model = X.fit_features(texts, "text", 2)
     return M.unknown_terms(table(spark, sf_dir, "benchmark"), model, "text", "item_id")
+
+
+# Parts, batches and streams that are merged
+
+
+@query
+def merged_length_stats(spark, sf_dir):
+    """Statistics from sketches of each language, merged; quartiles as whether their rank is within the stated error."""
+    reviews = sample_reviews(spark, sf_dir)
+    sketches = stage(K.length_sketches(reviews, "language"), "length-sketches")
+    stats = stage(K.merge_length_stats(sketches), "merged-stats")
+    errors = K.rank_errors(reviews, stats)
+    close = [(F.col(f"{q}_error") <= K.QUANTILE_ERROR).alias(f"{q}_close") for q in ("median", "q25", "q75")]
+    return rounded(stats.drop("median", "q25", "q75").join(errors.select("measure", *close), "measure"))
+
+
+@query
+def merged_distinct_ids(spark, sf_dir):
+    """Exact counts, and whether those of the merged sketches are within three standard errors."""
+    reviews = sample_reviews(spark, sf_dir)
+    sketches = stage(K.distinct_sketches(reviews, "language"), "distinct-sketches")
+    near = K.merge_distinct_counts(sketches).select(F.struct("*").alias("n")).scalar()
+    exact = A.distinct_counts(reviews)
+    close = [(F.abs(near[c] - F.col(c)) <= 3 * K.DISTINCT_ERROR * F.col(c)).alias(f"{c}_close") for c in exact.columns]
+    return exact.select("*", *close)
+
+
+@query
+def domain_intervals(spark, sf_dir):
+    return rounded(V.domain_intervals(scored_reviews(spark, sf_dir), "review_id"))
+
+
+@query
+def parity_mismatches(spark, sf_dir):
+    """The rows of ``parity_check`` that do not match, found through the buckets that differ."""
+    return rounded(V.parity_by_buckets(*_parity_sides(spark, sf_dir), "review_id", buckets=1024).filter("NOT match"))
+
+
+@query
+def keyword_table_classes(spark, sf_dir):
+    """Words and phrases of up to three words of the benchmark as keywords over all reviews."""
+    items = X.with_terms(table(spark, sf_dir, "benchmark"), "text", 3)
+    keywords = items.select(F.explode("terms").alias("keyword"))
+    texts = prepared(spark, sf_dir).select("sentiment", X.term_tokens("review_body").alias("words"))
+    return V.keyword_table_by_class(texts, keywords, "words")
+
+
+def _cleaned_in_batches(spark, sf_dir):
+    """The reviews of one star, then of two and so on; the changes of each batch, and the log."""
+    reviews = sample_reviews(spark, sf_dir)
+    log = I.BodyLog(spark, stage_path(spark, "body-log"))
+    parts = [log.add(reviews.filter(F.col("stars") == i + 1), i).withColumn("batch", F.lit(i)) for i in range(5)]
+    return G.union_splits(*parts), log
+
+
+@query
+def incremental_changes(spark, sf_dir):
+    return _cleaned_in_batches(spark, sf_dir)[0]
+
+
+@query
+def incremental_clean_ids(spark, sf_dir):
+    """All batches together keep what one cleaning keeps, also when the log is compacted."""
+    _, log = _cleaned_in_batches(spark, sf_dir)
+    return log.compact(stage_path(spark, "compact-log")).kept()
+
+
+def _timed_turns(spark, sf_dir):
+    """Scored turns with a time: conversations begin seven minutes apart, turns half a minute."""
+    c, t = F.col("conv_id"), F.col("turn")
+    return table(spark, sf_dir, "conversations").select(
+        F.timestamp_seconds(1_700_000_000 + c * 420 + t * 30).alias("time"),
+        L.star_sentiment((1 + (c * 3 + t) % 5).cast("int")).alias("predicted_sentiment"),
+        "text",
+    )
+
+
+def _arriving(spark, turns, parts, order):
+    """The turns as a stream of files, one a micro-batch: equal spans of time in the given order."""
+    folder = stage_path(spark, "arriving-turns")
+    place = F.col("time").cast("long")
+    bounds = turns.agg(F.min(place).alias("low"), (F.max(place) + 1).alias("high")).first()
+    number = F.floor((place - bounds.low) * parts / (bounds.high - bounds.low))
+    for i in order:
+        turns.filter(number == i).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _epochs(df):
+    return df.withColumns({c: F.unix_timestamp(c) for c in ("window_start", "window_end")})
+
+
+@query
+def windowed_summary(spark, sf_dir):
+    """Files in the order of time, windows of six hours, an hour's delay."""
+    stream = _arriving(spark, _timed_turns(spark, sf_dir), 4, range(4))
+    path = stage_path(spark, "window-summaries")
+    W.stream_summary(stream, path, stage_path(spark, "summary-checkpoint"), "time", "6 hours").awaitTermination()
+    return _epochs(W.window_summaries(spark, path))
+
+
+@query
+def windowed_top_words(spark, sf_dir):
+    """Files in another order than time, with a delay that covers it."""
+    stream = _arriving(spark, _timed_turns(spark, sf_dir), 4, (2, 0, 3, 1)).withColumn("processed_text", TX.preprocess("text"))
+    path = stage_path(spark, "window-words")
+    W.stream_words(stream, path, stage_path(spark, "words-checkpoint"), "time", "2 days", "3650 days").awaitTermination()
+    return _epochs(W.window_top_words(spark, path))

@@ -932,3 +932,85 @@ SELECT * FROM r WHERE rank <= 10"""
 
 
 ORACLES["notebook_comparison"] = _report(f"{_NOTEBOOK}, {_metrics('judged', always=True)}")
+
+
+# Parts, batches and streams: the SQL has the whole tables at once.
+
+_MERGED = ORACLES["text_length_stats"].rsplit("SELECT measure", 1)[0]
+ORACLES["merged_length_stats"] = f"""{_MERGED} SELECT measure, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std,
+  CAST(min(v) AS BIGINT) AS min, CAST(max(v) AS BIGINT) AS max, true AS median_close, true AS q25_close, true AS q75_close
+FROM sizes GROUP BY measure"""
+
+ORACLES["merged_distinct_ids"] = ORACLES["distinct_ids_approximate"]
+
+# A uniform number passes an edge of the Poisson distribution of mean 1 for every draw.
+_EDGES = """edges AS (SELECT CAST(round(4294967296 * sum(p) OVER (ORDER BY k)) AS BIGINT) AS edge
+  FROM (SELECT k, exp(-1) / factorial(CAST(k AS INTEGER)) AS p FROM range(11) t(k)))"""
+_DRAWN = f"""{SCORED}, {_EDGES}, edge_list AS (SELECT list(edge) AS es FROM edges), numbered AS (
+  SELECT product_category AS category, sentiment, predicted_sentiment, r,
+         md5(concat(CAST(review_id AS VARCHAR), ':', CAST(r // 4 AS VARCHAR)))[r % 4 * 8 + 1 : r % 4 * 8 + 8] AS digits
+  FROM scored, range(100) t(r)),
+drawn AS (
+  SELECT concat(category, '|', CAST(r AS VARCHAR)) AS replicate, sentiment, predicted_sentiment,
+         unnest(range(len(list_filter(es, lambda e: CAST(concat('0x', digits) AS BIGINT) >= e)))) AS draw
+  FROM numbered, edge_list)"""
+_SPREAD = ", ".join(
+    f"round(quantile_cont({m}, {share}), 6) AS {m}_{end}, quantile_cont({m}, {share}) AS {m}_{end}_exact"
+    for m in ("accuracy", "macro_f1")
+    for end, share in (("low", 0.025), ("high", 0.975))
+)
+ORACLES["domain_intervals"] = f"""WITH replicas AS (
+  WITH {_DRAWN}, {_metrics('drawn', 'replicate')} SELECT split_part(replicate, '|', 1) AS product_category, accuracy, macro_f1 FROM averages),
+spread AS (SELECT product_category, {_SPREAD} FROM replicas GROUP BY product_category),
+point AS (WITH {SCORED}, {_metrics('scored', 'product_category')} SELECT product_category, n, accuracy, macro_f1 FROM averages)
+SELECT product_category, n, round(accuracy, 6) AS accuracy, accuracy_low, accuracy_high, round(macro_f1, 6) AS macro_f1, macro_f1_low,
+       macro_f1_high, accuracy_high_exact - accuracy_low_exact > 0.1 OR macro_f1_high_exact - macro_f1_low_exact > 0.1 AS unstable
+FROM point JOIN spread USING (product_category)"""
+
+ORACLES["parity_mismatches"] = f"SELECT * FROM ({ORACLES['parity_check']}) WHERE NOT match"
+
+
+def _grams(w, n_max):
+    runs = [w] + [
+        f"list_transform(range(1, len({w}) - {n - 2}), lambda i: array_to_string({w}[i : i + {n - 1}], ' '))" for n in range(2, n_max + 1)
+    ]
+    return f"list_concat({runs[0]}, list_concat({runs[1]}, {runs[2]}))"
+
+
+ORACLES["keyword_table_classes"] = f"""WITH {prepared()},
+item_words AS (SELECT {words('text')} AS w FROM benchmark),
+keywords AS (SELECT DISTINCT unnest({_grams('w', 3)}) AS word FROM item_words),
+body_words AS (SELECT sentiment, {words('review_body')} AS w FROM prepared),
+hits AS (SELECT sentiment, unnest(list_distinct({_grams('w', 3)})) AS word FROM body_words)
+SELECT k.word, count(h.word) AS n_total, {', '.join(f"count(*) FILTER (h.sentiment = '{c}') AS {chr(34)}n_{c}{chr(34)}" for c in LABELS)}
+FROM keywords k LEFT JOIN hits h ON h.word = k.word GROUP BY k.word"""
+
+ORACLES["incremental_changes"] = f"""WITH {prepared()},
+kept AS (SELECT k AS batch, review_body, min(review_id) AS review_id FROM prepared, range(5) t(k)
+  WHERE stars <= k + 1 AND {strip('review_body')} <> '' GROUP BY k, review_body HAVING count(DISTINCT sentiment) = 1)
+SELECT a.review_id, 'add' AS action, CAST(a.batch AS INTEGER) AS batch FROM kept a
+WHERE NOT EXISTS (SELECT 1 FROM kept b WHERE b.batch = a.batch - 1 AND b.review_id = a.review_id)
+UNION ALL
+SELECT b.review_id, 'retract', CAST(b.batch + 1 AS INTEGER) FROM kept b
+WHERE b.batch < 4 AND NOT EXISTS (SELECT 1 FROM kept a WHERE a.batch = b.batch + 1 AND a.review_id = b.review_id)"""
+
+ORACLES["incremental_clean_ids"] = f"WITH {CLEANED} SELECT review_id FROM cleaned"
+
+_TURNS = f"""turns AS (SELECT 1700000000 + conv_id * 420 + turn * 30 AS second, {star('(1 + (conv_id * 3 + turn) % 5)')} AS label, text
+  FROM conversations)"""
+
+
+def _window(seconds):
+    start = f"second // {seconds} * {seconds}"
+    return f"CAST({start} AS BIGINT) AS window_start, CAST({start} + {seconds} AS BIGINT) AS window_end"
+
+
+ORACLES["windowed_summary"] = f"""WITH {_TURNS}, placed AS (SELECT {_window(21600)}, label AS predicted_sentiment FROM turns)
+SELECT window_start, window_end, count(*) AS total_reviews, {_N} FROM placed GROUP BY ALL"""
+
+ORACLES["windowed_top_words"] = f"""WITH {_TURNS},
+t AS (SELECT {_window(172800)}, label, {tokens('text')} AS tokens FROM turns),
+w AS (SELECT window_start, window_end, label, unnest({lemmas(kept('tokens'))}) AS word FROM t),
+c AS (SELECT window_start, window_end, label, word, count(*) AS n FROM w GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY window_start, label ORDER BY n DESC, word) AS INTEGER) AS rank FROM c)
+SELECT * FROM r WHERE rank <= 10"""

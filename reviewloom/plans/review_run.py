@@ -4,7 +4,8 @@
 
 Each stage writes a table under the output folder, and the next stage reads
 it: lineage stays short, lost executors cost one stage at most, and the test
-set is scored once for all reports.
+set is scored once for all reports. A run that has ended early goes on, when it
+is started again, with the first stage that is not finished; see ``manifest``.
 """
 
 import sys
@@ -13,16 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.operators import audit, cleaning, metrics, models, scoring, splitting
+from reviewloom.plans.manifest import Stages, table_digest
 from reviewloom.session import drop_staged
 from reviewloom.sources.reviews import read_reviews, validate_input
 from reviewloom.sources.tables import load_pipeline, save_pipeline, write_report, write_table
 
 
-def _saved(df: DataFrame, path: str, partition_by=()) -> DataFrame:
-    write_table(df, path, partition_by=partition_by)
-    return df.sparkSession.read.parquet(path)
-
-
 def _score(df, model, settings):
     text = df.withColumn("_text", models.model_text(settings["text_option"], "raw"))
     return scoring.score_batch(
@@ -50,49 +47,74 @@ def run_review_pipeline(
     ``is_qualitative``; it must not share a text with the reviews.
     """
     spark = reviews.sparkSession
+    stages = Stages(spark, output)
+    stages.source("input", table_digest(validate_input(reviews)))
     # Read many times below: landed once, whatever the format of the source.
-    reviews = _saved(validate_input(reviews), f"{output}/reviews")
-    write_report(audit.audit_report(reviews), f"{output}/audit")
-    tables = {"cleaning": _saved(cleaning.cleaning_report(reviews), f"{output}/cleaning")}
-    tables["duplicates"] = _saved(
-        cleaning.duplicate_summary(cleaning.prepare_reviews(reviews)), f"{output}/duplicates"
-    )
-    cleaned = tables["cleaned"] = _saved(clean(reviews), f"{output}/cleaned")
-
-    labelled, seed, divergence = splitting.best_group_split(cleaned, seeds=seeds)
-    splits = tables["splits"] = _saved(labelled, f"{output}/splits", ["split"])
-    splitting.assert_no_leakage(splits)
-    tables["split_report"] = _saved(
-        splitting.split_report(splits).withColumns({"seed": F.lit(seed), "divergence": F.lit(divergence)}),
-        f"{output}/split_report",
+    reviews = stages.table("reviews", lambda: reviews, ["input"])
+    stages.run("audit", lambda path: write_report(audit.audit_report(reviews), path), ["reviews"])
+    tables = {
+        "cleaning": stages.table("cleaning", lambda: cleaning.cleaning_report(reviews), ["reviews"]),
+        "duplicates": stages.table(
+            "duplicates", lambda: cleaning.duplicate_summary(cleaning.prepare_reviews(reviews)), ["reviews"]
+        ),
+    }
+    cleaned = tables["cleaned"] = stages.table("cleaned", lambda: clean(reviews), ["reviews"])
+
+    def split(path):
+        labelled, seed, divergence = splitting.best_group_split(cleaned, seeds=seeds)
+        write_table(labelled, path, partition_by=["split"])
+        splitting.assert_no_leakage(spark.read.parquet(path))
+        return {"seed": seed, "divergence": divergence}
+
+    drawn = stages.run("splits", split, ["cleaned"], seeds=list(seeds))
+    splits = tables["splits"] = stages.read("splits")
+    tables["split_report"] = stages.table(
+        "split_report",
+        lambda: splitting.split_report(splits).withColumns({name: F.lit(drawn[name]) for name in ("seed", "divergence")}),
+        ["splits"],
     )
     train, val, test = (splits.filter(F.col("split") == s) for s in splitting.SPLITS)
 
-    experiments = models.run_experiments(train, val, grid, text_mode, **solver)
-    results = tables["experiments"] = _saved(experiments, f"{output}/experiments")
-    best = models.select_best(results).first()
-    model, settings = models.train_final(train, val, best, text_mode=text_mode, **solver)
-    save_pipeline(model, f"{output}/model", **settings)
-
-    scored = tables["scored"] = _saved(_score(test, model, settings), f"{output}/scored")
-    tables["report"] = _saved(metrics.classification_report(scored), f"{output}/report")
-    tables["confusion"] = _saved(metrics.confusion_matrix(scored), f"{output}/confusion")
-    tables["comparison"] = _saved(
-        metrics.baseline_comparison(metrics.metric_values(scored)), f"{output}/comparison"
+    fitting = {"grid": [repr(config) for config in grid], "text_mode": text_mode, **solver}
+    results = tables["experiments"] = stages.table(
+        "experiments", lambda: models.run_experiments(train, val, grid, text_mode, **solver), ["splits"], **fitting
     )
-    tables["categories"] = _saved(metrics.domain_metrics(scored), f"{output}/categories")
+
+    def fit(path):
+        best = models.select_best(results).first()
+        model, settings = models.train_final(train, val, best, text_mode=text_mode, **solver)
+        save_pipeline(model, path, **settings)
+
+    stages.run("model", fit, ["splits", "experiments"], **fitting)
+    model, settings = load_pipeline(spark, f"{output}/model")
+
+    scored = tables["scored"] = stages.table("scored", lambda: _score(test, model, settings), ["splits", "model"])
+    reports = {
+        "report": metrics.classification_report,
+        "confusion": metrics.confusion_matrix,
+        "comparison": lambda rows: metrics.baseline_comparison(metrics.metric_values(rows)),
+        "categories": metrics.domain_metrics,
+    }
+    for name, report in reports.items():
+        tables[name] = stages.table(name, lambda report=report: report(scored), ["scored"])
 
     if unseen is not None:
-        metrics.assert_no_overlap(unseen, cleaned, "review_text")
-        answers = scoring.score_batch(
-            unseen, model, "review_text", text_mode=settings["text_mode"], with_probabilities=True
-        )
-        answers = tables["unseen"] = _saved(answers, f"{output}/unseen")
-        tables["unseen_report"] = _saved(metrics.unseen_benchmark(answers), f"{output}/unseen_report")
-
-    loaded, kept = load_pipeline(spark, f"{output}/model")
-    parity = metrics.parity_check(scored, _score(test, loaded, kept), "review_id")
-    tables["parity"] = _saved(parity, f"{output}/parity")
+        stages.source("unseen input", table_digest(unseen))
+
+        def answer():
+            metrics.assert_no_overlap(unseen, cleaned, "review_text")
+            return scoring.score_batch(
+                unseen, model, "review_text", text_mode=settings["text_mode"], with_probabilities=True
+            )
+
+        answers = tables["unseen"] = stages.table("unseen", answer, ["unseen input", "cleaned", "model"])
+        tables["unseen_report"] = stages.table("unseen_report", lambda: metrics.unseen_benchmark(answers), ["unseen"])
+
+    tables["parity"] = stages.table(
+        "parity",
+        lambda: metrics.parity_check(scored, _score(test, *load_pipeline(spark, f"{output}/model")), "review_id"),
+        ["scored", "model"],
+    )
     return tables
 
 
