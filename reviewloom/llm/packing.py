@@ -5,18 +5,17 @@ few for each chunk, evolve populations of packings as separate tasks:
 crossover injects whole well-filled bins of one parent into the other, the
 bins that then hold a piece twice are removed, and the displaced pieces are
 placed by best fit. Between epochs the best packing of an island migrates to
-the next one of its chunk. Pieces of badly filled bins are dealt anew to fewer
-chunks, until one chunk is left.
+the next one of its chunk, until several epochs bring no gain. Pieces of badly
+filled bins are dealt anew to fewer chunks, until a round saves no sequence.
 """
 
 import os
-import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +24,17 @@ from reviewloom.session import stage
 
 CAPACITY = 4096
 END_ID = 1
-#: Pieces in a chunk, islands of a chunk, packings on an island, epochs, and generations in an epoch.
-CHUNK, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 4096, 2, 4, 2, 6
+#: Pieces in a chunk, islands of a chunk, packings on an island, and generations in an epoch.
+CHUNK, ISLANDS, POPULATION, GENERATIONS = 4096, 2, 4, 25
+#: The search of a chunk ends where its bins are as few as their contents allow, or after so many epochs without gain;
+#: all chunks end after so many epochs at most.
+PATIENCE, EPOCHS = 2, 40
 #: A bin filled to this share stays as it is when the rest is dealt anew.
 FULL = 0.995
-#: Rounds at most, should a chunk's bins stay badly filled.
-ROUNDS = 8
-#: Parts of texts and words whose ids a worker remembers (in each of two generations), and their longest in bytes.
-_CACHE_PARTS, _CACHE_WORDS, _CACHE_BYTES = 100_000, 250_000, 64
+#: Rounds at most, should each go on to save sequences.
+ROUNDS = 20
+#: Odd parts of texts and words whose ids a worker remembers (in each of two generations), and their longest.
+_CACHE_PARTS, _CACHE_WORDS, _CACHE_LENGTH = 50_000, 250_000, 64
 
 _PIECES = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -51,27 +53,25 @@ def _byte_letters():
 _BYTE_LETTERS = _byte_letters()
 
 
-class _Recent(dict):
+class _Recent:
     """A cache of two generations: what was used since the last turn outlives the next one."""
 
     def __init__(self, size):
-        super().__init__()
-        self.size, self.old = size, {}
+        self.size, self.new, self.old = size, {}, {}
 
     def missing(self, keys):
         """The keys that neither generation has; those of the old one are taken over."""
-        absent, old = [], self.old
-        for key in [k for k in keys if k not in self]:
+        absent, new, old = [], self.new, self.old
+        for key in [k for k in keys if k not in new]:
             if key in old:
-                self[key] = old[key]
+                new[key] = old[key]
             else:
                 absent.append(key)
         return absent
 
     def turn(self):
-        if len(self) > self.size:
-            self.old = dict(self)
-            self.clear()
+        if len(self.new) > self.size:
+            self.old, self.new = self.new, {}
 
 
 class WordIds:
@@ -80,10 +80,12 @@ class WordIds:
     The tokenizer drops white space, its pre-tokens never cross it, and its
     merges never cross a pre-token; so the ids of a text are those of its
     parts, one after the other. Letters and the ASCII marks after them are
-    separate pre-tokens too, and letters are put in lower case.
+    separate pre-tokens too, and letters are put in lower case. Parts of Latin
+    letters, precomposed ones included, are cut so; all others go to the
+    tokenizer whole.
     """
 
-    _split = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+    _word = r"^(?P<letters>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 
     def __init__(self, path):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -95,12 +97,11 @@ class WordIds:
         self.parts, self.words = _Recent(_CACHE_PARTS), _Recent(_CACHE_WORDS)
 
         self.direct = True  # whether the merges alone, over the byte-level alphabet, give the same ids
-        probes = [p.encode() for p in ("the", "tokenizer", "qzx", ",", "!!)", "stra\u00dfe", "\u00e9\u00e8", "\u65e5\u672c")]
+        probes = ["the", "tokenizer", "qzx", ",", "!!)", "stra\u00dfe", "\u00e9\u00e8"]
         self.direct = self._encode(probes) == self._encode_plain(probes)
 
-    def _encode(self, words):
+    def _encode(self, texts):
         """The ids of parts of any kind."""
-        texts = [w.decode("utf-8", "replace") for w in words]
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
@@ -109,52 +110,57 @@ class WordIds:
         if not self.direct:
             return self._encode(words)
         tokenize = self.tokenizer.model.tokenize
-        texts = [w.decode("latin-1").translate(_BYTE_LETTERS) for w in words]
-        return [b"".join([t.id.to_bytes(4, "little") for t in tokenize(t_)]) for t_ in texts]
-
-    def _pieces(self, part):
-        """A part as letters in lower case and the marks after them; None where it is anything else."""
-        m = self._split.fullmatch(part)
-        if m is None:
-            return None
-        letters, marks = m[1].lower(), m[2]
-        if not letters.isascii():
-            text = letters.decode("utf-8", "replace").lower()
-            # a capital sigma ends a word in another way in Python, and other forms would be composed
-            if not text.isalpha() or "\u03c2" in text or not unicodedata.is_normalized("NFC", text):
-                return None
-            letters = text.encode()
-        return (letters, marks) if marks else (letters,)
-
-    def _learn(self, parts, special):
-        plain, other = {}, []
-        for part in parts:
-            pieces = None if special else self._pieces(part)
-            if pieces is None:
-                other.append(part)
-            else:
-                plain[part] = pieces
-        words = self.words.missing(dict.fromkeys([w for p in plain.values() for w in p]))
-        self.words.update(zip(words, self._encode_plain(words), strict=True))
-        for part, own in plain.items():
-            self.parts[part] = b"".join([self.words[w] for w in own])
-        if other:
-            self.parts.update(zip(other, self._encode(other), strict=True))
+        found, ends = [], [0]
+        for word in words:
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            found += [token.id for token in tokenize(letters)]
+            ends.append(4 * len(found))
+        ids = np.array(found, "<u4").tobytes()
+        return [ids[i:j] for i, j in zip(ends, ends[1:])]
+
+    def _known(self, cache, keys, encode) -> pa.Array:
+        """The ids of distinct keys; those not in the cache are learned in one go."""
+        unknown = cache.missing(keys)
+        cache.new.update(zip(unknown, encode(unknown), strict=True))
+        ids = pa.array([cache.new[k] for k in keys], pa.large_binary())
+        for key in [k for k in unknown if len(k) > _CACHE_LENGTH]:
+            del cache.new[key]
+        cache.turn()
+        return ids
 
-    def of(self, text: bytes) -> bytes:
-        parts = text.split()
+    def _of_parts(self, parts: pa.Array) -> pa.Array:
+        """The ids of distinct parts without white space."""
+        cut = pa.compute.extract_regex(parts, pattern=self._word)
+        letters, marks = (pa.compute.struct_field(cut, [i]).dictionary_encode() for i in (0, 1))
+        lower = pa.compute.utf8_lower(letters.dictionary).dictionary_encode()
+        word_ids = self._known(self.words, lower.dictionary.to_pylist(), self._encode_plain).take(lower.indices.take(letters.indices))
+        mark_ids = self._known(self.words, marks.dictionary.to_pylist(), self._encode_plain).take(marks.indices)
+        ids = pa.compute.binary_join_element_wise(word_ids, mark_ids, pa.scalar(b"", pa.large_binary()))
+        whole = cut.is_null()
+        if not pa.compute.any(whole).as_py():
+            return ids
+        other = self._known(self.parts, parts.filter(whole).to_pylist(), self._encode)
+        return pa.compute.replace_with_mask(ids, whole, other)
+
+    def of_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of binary texts: each distinct part of all of them is looked up once, the rest is Arrow's."""
+        special = [any(s in text for s in self.special) for text in texts.to_pylist()]
         try:
-            return b"".join(map(self.parts.__getitem__, parts))
-        except KeyError:
-            unknown = self.parts.missing(dict.fromkeys(parts))
-        self._learn(unknown, any(s in text for s in self.special))
-        ids = b"".join(map(self.parts.__getitem__, parts))
-        for key in [p for p in unknown if len(p) > _CACHE_BYTES]:
-            self.parts.pop(key)
-            self.words.pop(key, None)
-        self.parts.turn()
-        self.words.turn()
-        return ids
+            strings = texts.cast(pa.string())
+        except pa.ArrowInvalid:  # not UTF-8
+            strings = pa.array([text.decode("utf-8", "replace") for text in texts.to_pylist()], pa.string())
+        parts = pa.compute.ascii_split_whitespace(strings)
+        coded = parts.flatten().dictionary_encode()
+        taken = self._of_parts(coded.dictionary).take(coded.indices)
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[parts.offsets.to_numpy()].tolist()
+        data = memoryview(taken.buffers()[2] or b"")
+        return [
+            b"".join(self._encode(own.as_py())) if alone else bytes(data[a:b])
+            for own, alone, a, b in zip(parts, special, ends[:-1], ends[1:], strict=True)
+        ]
+
+    def of(self, text: bytes) -> bytes:
+        return self.of_all(pa.array([text], pa.binary()))[0]
 
 
 def _word_ids(path) -> WordIds:
@@ -174,8 +180,8 @@ def _tokenize(path, capacity, end_id):
         word_ids = _word_ids(path)
         for batch in slices(batches, "text"):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = word_ids.of(text) + end
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), word_ids.of_all(batch.column("text")), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)))
@@ -330,9 +336,11 @@ def _place(capacity):
     return run
 
 
-def evolve_chunks(pieces: DataFrame, n_chunks, capacity, islands=ISLANDS, size=POPULATION, epochs=EPOCHS, generations=GENERATIONS):
-    """Places ``pieces`` (row, length): row, bin, offset and how far the bin is filled."""
-    chunk = F.pmod(F.xxhash64("row"), F.lit(n_chunks)).alias("chunk")
+def evolve_chunks(
+    pieces: DataFrame, n_chunks, capacity, number=0, islands=ISLANDS, size=POPULATION, epochs=EPOCHS, generations=GENERATIONS
+):
+    """Places ``pieces`` (row, length): row, bin, offset and how far the bin is filled; ``number``: of the round."""
+    chunk = F.pmod(F.xxhash64("row", F.lit(number)), F.lit(n_chunks)).alias("chunk")
     # rows are distinct and hashed, so a chunk has a bounded number of them
     chunks = pieces.groupBy(chunk).agg(F.array_sort(F.collect_list(F.struct("length", "row"))).alias("pieces"))
     state = chunks.select(
@@ -344,16 +352,25 @@ def evolve_chunks(pieces: DataFrame, n_chunks, capacity, islands=ISLANDS, size=P
         F.lit(0).alias("bins"),
         F.lit(0.0).alias("score"),
     ).repartition("chunk", "island")
-    for number in range(epochs):
-        state = stage(state.mapInArrow(_epoch(number, capacity, generations, size), _ISLAND_DDL), "islands")
-        if number + 1 < epochs and islands > 1:
-            elite = state.select(
-                "chunk", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("population")[0].alias("elite")
-            )
-            state = state.join(elite, ["chunk", "island"]).withColumn(
-                "population", F.concat(F.array("elite"), "population")
-            )
-            state = state.select(*_ISLAND.names)
+    ended, before = [], None
+    for epoch in range(epochs):
+        state = stage(state.mapInArrow(_epoch(epoch, capacity, generations, size), _ISLAND_DDL), "islands")
+        gains = _gains(state, before, capacity)
+        if epoch + 1 == epochs or gains.filter("open").isEmpty():
+            break
+        # chunks that have ended leave the search; the others go on with the elite of a neighbour island
+        gains = stage(gains, "gains")
+        closed = gains.filter("NOT open").select("chunk")
+        ended.append(state.join(closed, "chunk", "left_semi"))
+        before = gains.filter("open")
+        state = state.join(before.select("chunk"), "chunk", "left_semi")
+        elite = state.select(
+            "chunk", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("population")[0].alias("elite")
+        )
+        state = state.join(elite, ["chunk", "island"]).withColumn("population", F.concat(F.array("elite"), "population"))
+        state = state.select(*_ISLAND.names)
+    for part in ended:
+        state = state.unionByName(part)
     winner = state.groupBy("chunk").agg(
         F.max(F.struct((-F.col("bins")).alias("fewer"), "score", (-F.col("island")).alias("first"))).alias("w")
     )
@@ -362,27 +379,47 @@ def evolve_chunks(pieces: DataFrame, n_chunks, capacity, islands=ISLANDS, size=P
     return best.mapInArrow(_place(capacity), "row long, bin long, offset long, filled long")
 
 
+def _gains(state, before, capacity):
+    """chunk, bins of its best island, epochs without gain, and whether its search goes on."""
+    total = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    now = state.groupBy("chunk").agg(F.min("bins").alias("bins"), F.max(F.ceil(total / capacity)).alias("least"))
+    if before is None:
+        idle = F.lit(0)
+    else:
+        now = now.join(before.select("chunk", F.col("bins").alias("was"), F.col("idle").alias("were_idle")), "chunk")
+        idle = F.when(F.col("bins") < F.col("was"), 0).otherwise(F.col("were_idle") + 1)
+    now = now.withColumn("idle", idle)
+    return now.select("chunk", "bins", "idle", ((F.col("bins") > F.col("least")) & (F.col("idle") < PATIENCE)).alias("open"))
+
+
 def pack(pieces: DataFrame, capacity=CAPACITY, chunk=CHUNK) -> DataFrame:
-    """``pieces`` (row, length; rows distinct) with sequence_id and offset."""
+    """``pieces`` (row, length; rows distinct) with sequence_id and offset.
+
+    A round packs what is left, and keeps the bins that are ``FULL``. The
+    pieces of the others are dealt anew while that saves a sequence.
+    """
     settled = pieces.filter(F.col("length") >= capacity).select(
         "row", (F.col("row") + F.lit(2**62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
-    rest, before = pieces.filter(F.col("length") < capacity), None
+    rest, earlier = pieces.filter(F.col("length") < capacity), None
     for number in range(ROUNDS):
-        count = rest.count()
-        if not count:
+        facts = rest.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total")).first()
+        if not facts.n:
             break
-        n_chunks = -(-count // chunk)
-        placed = stage(evolve_chunks(rest, n_chunks, capacity), "placed")
-        last = n_chunks == 1 or number + 1 == ROUNDS or before is not None and count > 0.7 * before
-        stays = placed if last else placed.filter(F.col("filled") >= FULL * capacity)
+        if earlier is not None and earlier[1] <= -(-facts.total // capacity):
+            return settled.unionByName(earlier[0])  # they are in as few sequences as can be
+        placed = stage(evolve_chunks(rest, -(-facts.n // chunk), capacity, number), "placed")
+        n_bins = placed.filter(F.col("offset") == 0).count()  # every bin has one piece at its begin
+        if earlier is not None and n_bins >= earlier[1]:
+            return settled.unionByName(earlier[0])
         numbered = F.shiftleft(F.lit(number).cast("long"), 56) + F.col("bin")
-        settled = settled.unionByName(stays.select("row", numbered.alias("sequence_id"), "offset"))
-        if last:
-            break
-        again = placed.filter(F.col("filled") < FULL * capacity).select("row")
-        rest, before = stage(rest.join(again, "row"), "again"), count
-    return settled
+        placed = placed.withColumn("sequence_id", numbered)
+        full = F.col("filled") >= FULL * capacity
+        loose = placed.filter(~full)
+        settled = settled.unionByName(placed.filter(full).select("row", "sequence_id", "offset"))
+        earlier = loose.select("row", "sequence_id", "offset"), loose.filter(F.col("offset") == 0).count()
+        rest = stage(rest.join(loose.select("row"), "row"), "again")
+    return settled if earlier is None else settled.unionByName(earlier[0])
 
 
 def pack_documents(docs: DataFrame, tokenizer_path, capacity=CAPACITY, end_id=END_ID, chunk=CHUNK) -> DataFrame:

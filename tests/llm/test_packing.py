@@ -74,6 +74,17 @@ def test_pieces_that_never_fit_together_end(spark):
     assert check_places(pieces.join(packing.pack(pieces, 1000, 100), "row").collect(), 1000)[0] == 900
 
 
+def test_the_search_goes_on_while_it_saves_sequences(spark):
+    """Pieces of 1,100 to 1,700 tokens: best fit wastes a part of every sequence."""
+    rng = random.Random(4)
+    rows = [(i, rng.randint(1100, 1700)) for i in range(1200)]
+    pieces = spark.createDataFrame(rows, "row long, length long")
+    n, _ = check_places(pieces.join(packing.pack(pieces, 4096), "row").collect(), 4096)
+    lengths = [length for _, length in rows]
+    plain = packing.best_fit(sorted(range(len(rows)), key=lambda i: -lengths[i]), lengths, [], 4096)
+    assert n < 0.992 * len(plain)
+
+
 def test_crossover_and_evolution_keep_every_piece():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 700, 300).tolist()
