@@ -3,7 +3,7 @@
 import time
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, NaiveBayes, NaiveBayesModel
+from pyspark.ml.classification import LogisticRegressionModel, NaiveBayes, NaiveBayesModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from reviewloom.functions.labels import label_index, label_name, text_representation
 from reviewloom.functions.text import preprocess
 from reviewloom.operators import features as X
+from reviewloom.operators import logistic
 from reviewloom.operators.metrics import classification_report
 from reviewloom.schema import LABELS
 from reviewloom.session import stage
@@ -44,33 +45,34 @@ def balanced_weights(df: DataFrame, label="sentiment", out=WEIGHT) -> DataFrame:
 
 
 def fit_logistic(
-    train: DataFrame, c=1.0, max_iter=MAX_ITER, tol=1e-6, aggregation_depth=2, features=X.FEATURES, partitions=None
+    train: DataFrame, c=1.0, max_iter=MAX_ITER, tol=1e-5, features=X.FEATURES, rows_per_partition=20_000
 ) -> LogisticRegressionModel:
     """Multinomial logistic regression with an L2 penalty of strength 1 / ``c``.
 
-    ``train`` holds the vector, the label index and the row weight. Spark
-    averages the loss over the weights, hence the division by their sum.
-    Every iteration is a job: ``partitions`` packs the table into so many,
-    otherwise it keeps its own. Raise ``aggregation_depth`` with their number.
+    ``train`` holds the vector, the label index and the row weight. The fit
+    ends when no entry of the gradient is above ``tol`` per unit of weight; the
+    model's ``training`` tells whether it did. Every step is a pass over the
+    rows, which are staged as sparse lists in partitions of ``rows_per_partition`` at least.
     """
-    total = train.agg(F.sum(WEIGHT)).first()[0]
-    if partitions:
-        train = train.coalesce(partitions)
-    return LogisticRegression(
-        family="multinomial",
-        featuresCol=features,
-        labelCol=LABEL,
-        weightCol=WEIGHT,
-        rawPredictionCol=RAW,
-        probabilityCol=PROBABILITY,
-        predictionCol=PREDICTION,
-        regParam=1.0 / (c * total),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=max_iter,
-        tol=tol,
-        aggregationDepth=aggregation_depth,
-    ).fit(train)
+    parts = X.sparse_parts(features)
+    rows = train.select(
+        F.col(LABEL).cast("int").alias("label"),
+        F.col(WEIGHT).cast("double").alias("weight"),
+        parts["indices"].alias("indices"),
+        parts["values"].alias("values"),
+    )
+    facts = train.agg(F.count(F.lit(1)).alias("n"), F.first(parts["size"]).alias("width")).first()
+    if not facts.n:
+        raise ValueError("no rows to fit a model on")
+    rows = stage(rows.coalesce(max(1, facts.n // rows_per_partition)), "solver-rows")
+    weights, intercepts, training = logistic.fit(rows, len(LABELS), facts.width, 1.0 / c, max_iter, tol)
+    columns = {"featuresCol": features, "labelCol": LABEL, "weightCol": WEIGHT, "rawPredictionCol": RAW}
+    columns |= {"probabilityCol": PROBABILITY, "predictionCol": PREDICTION, "maxIter": max_iter, "tol": tol}
+    model = logistic.as_model(
+        train.sparkSession, weights, intercepts, standardization=False, regParam=1.0 / c, family="multinomial", **columns
+    )
+    model.training = training
+    return model
 
 
 def fit_naive_bayes(train: DataFrame, smoothing=1.0, features=X.FEATURES):
@@ -198,6 +200,8 @@ def fit_sentiment_model(
         "vocabulary_size": len(X.feature_terms(features)),
         "untrainable_rows": untrainable_rows(train, label),
     }
+    if classifier == "logistic":
+        settings |= {"iterations": fitted.training.iterations, "converged": fitted.training.converged}
     return PipelineModel(features.stages + [fitted]), settings
 
 
@@ -240,15 +244,19 @@ def run_experiments(
             text = model_text(config["text_option"], text_mode).alias("_text")
             parts = [training_rows(df, label).select(label, LABEL, text) for df in (train, val)]
             fitted = X.fit_features(parts[0], "_text", config["n_max"], min_df, max_features)
-            staged[key] = [
+            vectors = [
                 stage(X.transform_features(fitted, p, "_text").select(label, LABEL, X.FEATURES), "vectors")
                 for p in parts
             ]
-        fit_rows, val_rows = staged[key]
+            sizes = {"n_features": len(X.feature_terms(fitted)), "n_train": vectors[0].count(), "n_val": vectors[1].count()}
+            staged[key] = *vectors, sizes
+        fit_rows, val_rows, sizes = staged[key]
         classifier = fit_logistic(_weighted(fit_rows, config["class_weight"], label), **solver)
         scored = classifier.transform(val_rows).select(label, label_name(PREDICTION).alias("predicted_sentiment"))
         metrics = _metrics_row(scored, label)
-        rows.append({**config, **metrics, "fit_seconds": time.monotonic() - started})
+        training = classifier.training
+        ended = {"iterations": training.iterations, "converged": training.converged}
+        rows.append({**config, **sizes, **metrics, **ended, "fit_seconds": time.monotonic() - started})
     columns = list(rows[0])
     return train.sparkSession.createDataFrame([tuple(r[c] for c in columns) for r in rows], columns)
 

@@ -409,6 +409,22 @@ def audit_entries(spark, sf_dir):
     return A.audit_entries(sample_reviews(spark, sf_dir))
 
 
+@query
+def audit_document_entries(spark, sf_dir):
+    """The same rows out of the JSON document, parsed whole."""
+    sections = F.from_json("report", "map<string, map<string, string>>")
+    rows = A.audit_report(sample_reviews(spark, sf_dir)).select(F.explode(sections).alias("section", "members"))
+    rows = rows.select("section", F.explode("members").alias("key", "value"))
+    inner = rows.filter(F.col("section").isin(*A.NESTED)).select(
+        "section", F.col("key").alias("outer"), F.explode(F.from_json("value", "map<string, string>")).alias("name", "value")
+    )
+    inner = inner.select("section", F.concat_ws(".", "outer", "name").alias("key"), "value")
+    entries = rows.filter(~F.col("section").isin(*A.NESTED)).unionByName(inner)
+    # numbers with a fraction come back without their last zeros
+    fraction = F.col("section").isin("sentiment_percent", "reviews_per_id", "text_lengths")
+    return entries.withColumn("value", F.when(fraction, F.format_string("%.6f", F.col("value").cast("double"))).otherwise(F.col("value")))
+
+
 # Duplicates and cleaning
 
 
@@ -655,6 +671,14 @@ def experiment_results(spark, sf_dir):
     return M.run_experiments(train, val)
 
 
+@query
+def experiment_facts(spark, sf_dir):
+    """What the fits of the experiments are made of, and whether each has reached the minimum."""
+    train, val, _ = _splits(spark, sf_dir)
+    results = M.run_experiments(train, val)
+    return results.select("exp_no", "text_option", "n_max", "class_weight", "n_features", "n_train", "n_val", "converged")
+
+
 @query
 def solver_gradients(spark, sf_dir):
     """Rows per class, and whether the solver has reached a minimum of the loss."""
@@ -689,6 +713,19 @@ def final_model_report(spark, sf_dir):
     return rounded(V.classification_report(R.score_batch(text, model, "text")))
 
 
+@query
+def final_model_facts(spark, sf_dir):
+    """Settings of that refit, and the rows of each class it is measured on."""
+    train, val, test = _splits(spark, sf_dir)
+    model, settings = M.train_final(train, val, {"text_option": "B", "n_max": 2, "class_weight": "balanced"})
+    scored = R.score_batch(test.withColumn("text", M.model_text(settings["text_option"])), model, "text")
+    kept = ("text_option", "n_max", "class_weight", "text_mode", "vocabulary_size", "untrainable_rows", "converged")
+    facts = [F.lit(settings[k]).alias(k) for k in kept]
+    supports = [F.count_if(F.col("sentiment") == c).alias(f"support_{c}") for c in LABELS]
+    known = F.count_if(F.col("predicted_sentiment").isin(*LABELS)).alias("n_predicted")
+    return scored.agg(*supports, known).select(*facts, "*")
+
+
 # Scoring
 
 

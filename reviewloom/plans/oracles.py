@@ -1014,3 +1014,37 @@ w AS (SELECT window_start, window_end, label, unnest({lemmas(kept('tokens'))}) A
 c AS (SELECT window_start, window_end, label, word, count(*) AS n FROM w GROUP BY ALL),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY window_start, label ORDER BY n DESC, word) AS INTEGER) AS rank FROM c)
 SELECT * FROM r WHERE rank <= 10"""
+
+
+ORACLES["audit_document_entries"] = ORACLES["audit_entries"]
+
+
+# Models that SQL cannot fit: what they are made of.
+
+_STRIPPED = f"""{LABELLED},
+stripped AS (SELECT * REPLACE ({strip("coalesce(review_title, '')")} AS review_title,
+  {strip("coalesce(review_body, '')")} AS review_body) FROM labelled),
+{_ranked_groups((42, 43), 'stripped')},
+parts AS (SELECT p.*, s.split FROM stripped p JOIN split_of s ON p.product_id = s.product_id),
+learned AS (SELECT * FROM parts WHERE split = 'train')"""
+
+
+def _n_features(option, n_max, source="learned"):
+    text = "review_body" if option == "A" else _TEXT_B
+    return f"(WITH {_terms(n_max, source, text)}, {_vocabulary(2, 50000)} SELECT count(*) FROM vocabulary)"
+
+
+_CONFIGS = [(1, "A", 1, "balanced"), (2, "A", 2, "balanced"), (3, "B", 1, "balanced"), (4, "B", 2, "balanced"), (5, "B", 2, "none")]
+ORACLES["experiment_facts"] = f"WITH {_STRIPPED} " + " UNION ALL ".join(
+    f"SELECT CAST({no} AS BIGINT) AS exp_no, '{option}' AS text_option, CAST({n_max} AS BIGINT) AS n_max, '{weight}' AS class_weight, "
+    f"{_n_features(option, n_max)} AS n_features, (SELECT count(*) FROM learned) AS n_train, "
+    "(SELECT count(*) FROM parts WHERE split = 'val') AS n_val, true AS converged"
+    for no, option, n_max, weight in _CONFIGS
+)
+
+_SUPPORTS = ", ".join(f"count(*) FILTER (sentiment = '{c}') AS \"support_{c}\"" for c in LABELS)
+ORACLES["final_model_facts"] = f"""WITH {_STRIPPED}, refit AS (SELECT * FROM parts WHERE split <> 'test'),
+facts AS (SELECT {_n_features('B', 2, 'refit')} AS size)
+SELECT 'B' AS text_option, CAST(2 AS INTEGER) AS n_max, 'balanced' AS class_weight, 'raw' AS text_mode,
+       CAST(any_value(size) AS INTEGER) AS vocabulary_size, CAST(0 AS INTEGER) AS untrainable_rows, true AS converged,
+       {_SUPPORTS}, count(*) AS n_predicted FROM parts, facts WHERE split = 'test'"""
