@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import record_batch, slices, utf8
+from reviewloom.llm.common import record_batch, slices, utf8, whole_rows
 from reviewloom.llm.components import connected_components
 from reviewloom.llm.shingles import WordHash, shingle_set
 from reviewloom.session import stage
@@ -294,6 +294,6 @@ def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
 
     Rows under one doc_id stay together if any of them does, rows without one too.
     """
-    gone = near_duplicates(docs, **settings).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.max("kept").alias("_any"))
-    gone = stage(gone.filter("NOT _any").select("_gone_id"), "near_gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left_anti")
+    gone = near_duplicates(docs, **settings).groupBy("doc_id").agg(F.max("kept").alias("stays"))
+    gone = stage(gone.filter("NOT stays").select(F.col("doc_id").alias("gone")), "near_gone")
+    return whole_rows(docs).join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone")), "left_anti").select("row.*")

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 CLASHING = (
     "row", "text_sha256", "kept", "group_size", "keep_id", "n_points", "digest", "node", "signature", "bucket",
     "hits", "items", "n_words", "score", "held_out", "length", "piece", "block", "_row", "_sha", "_raw", "token",
+    "_gone_id", "_any", "gone", "stays", "text_", "quality", "word", "run", "n", "run_id", "lang_pred", "bin", "sequence_id",
 )
 
 DOCUMENT = T.StructType(
