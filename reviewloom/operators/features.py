@@ -61,9 +61,34 @@ def with_terms(df: DataFrame, text: str, n_max=1, out="terms") -> DataFrame:
     return df.withColumn("_words", term_tokens(text)).withColumn(out, ngrams("_words", n_max)).drop("_words")
 
 
-def vocabulary(df: DataFrame, terms="terms", min_df=MIN_DF, max_features=MAX_FEATURES) -> DataFrame:
+def frequent_cells(df: DataFrame, terms: str, min_df: int, cells: int) -> DataFrame:
+    """(word, mask): the bits of the hash cells in which ``min_df`` documents or more have a term; staged.
+
+    A row of a count-min sketch: the count of a cell is at least that of each
+    of its terms, so that no frequent term is outside. At most ``cells`` / 64 rows.
+    """
+    hashed = F.transform(F.array_distinct(terms), lambda t: F.pmod(F.xxhash64(t), F.lit(cells)))
+    counts = df.select(F.explode(hashed).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_df)
+    bit = F.expr("shiftleft(1L, CAST(cell % 64 AS INT))")
+    return stage(counts.groupBy(F.floor(F.col("cell") / 64).alias("word")).agg(F.bit_or(bit).alias("mask")), "frequent-cells")
+
+
+def _in_frequent_cells(rows: DataFrame, term: str, frequent: DataFrame, cells: int) -> DataFrame:
+    """The rows whose term is in a frequent cell; the masks, of bounded size, go to every task."""
+    cell = F.pmod(F.xxhash64(term), F.lit(cells))
+    rows = rows.withColumns({"word": F.floor(cell / 64), "_bit": (cell % 64).cast("int")})
+    kept = rows.join(F.broadcast(frequent), "word").filter(F.getbit("mask", F.col("_bit")) == 1)
+    return kept.drop("word", "_bit", "mask")
+
+
+def vocabulary(df: DataFrame, terms="terms", min_df=MIN_DF, max_features=MAX_FEATURES, prefilter_cells=None) -> DataFrame:
     """The most frequent terms: (term, df, cf), ties by term.
 
+    With ``prefilter_cells`` the documents are read twice: first to count hash
+    cells, so that terms in cells under ``min_df`` are not shuffled in the
+    second. That pays where rare terms are many and the network is the limit;
+    a cell should have a few terms at most.
+
     Each document emits its distinct terms and then all its terms; the place in
     that list tells which count a term adds to. One aggregation with a partial
     step sums both, so documents are never regrouped. The lowest count that
@@ -71,10 +96,14 @@ def vocabulary(df: DataFrame, terms="terms", min_df=MIN_DF, max_features=MAX_FEA
     order holds little more than ``max_features`` rows.
     """
     n_distinct = F.size("_distinct")
+    occurrences = df.select(terms, F.array_distinct(terms).alias("_distinct")).select(
+        n_distinct.alias("_n"), F.posexplode(F.concat("_distinct", terms)).alias("_i", "term")
+    )
+    if prefilter_cells:
+        frequent = frequent_cells(df, terms, min_df, prefilter_cells)
+        occurrences = _in_frequent_cells(occurrences, "term", frequent, prefilter_cells)
     counts = (
-        df.select(terms, F.array_distinct(terms).alias("_distinct"))
-        .select(n_distinct.alias("_n"), F.posexplode(F.concat("_distinct", terms)).alias("_i", "term"))
-        .groupBy("term")
+        occurrences.groupBy("term")
         .agg(F.count_if(F.col("_i") < F.col("_n")).alias("df"), F.count_if(F.col("_i") >= F.col("_n")).alias("cf"))
         .filter(F.col("df") >= min_df)
     )

@@ -561,6 +561,12 @@ def vocabulary(spark, sf_dir):
     return X.vocabulary(X.with_terms(_texts(spark, sf_dir), "text", 2))
 
 
+@query
+def vocabulary_prefiltered(spark, sf_dir):
+    """The same through hash cells."""
+    return X.vocabulary(X.with_terms(_texts(spark, sf_dir), "text", 2), prefilter_cells=2**22)
+
+
 @query
 def term_idf(spark, sf_dir):
     texts = _texts(spark, sf_dir)

@@ -1048,3 +1048,5 @@ facts AS (SELECT {_n_features('B', 2, 'refit')} AS size)
 SELECT 'B' AS text_option, CAST(2 AS INTEGER) AS n_max, 'balanced' AS class_weight, 'raw' AS text_mode,
        CAST(any_value(size) AS INTEGER) AS vocabulary_size, CAST(0 AS INTEGER) AS untrainable_rows, true AS converged,
        {_SUPPORTS}, count(*) AS n_predicted FROM parts, facts WHERE split = 'test'"""
+
+ORACLES["vocabulary_prefiltered"] = ORACLES["vocabulary"]
