@@ -2,40 +2,38 @@
 
 The windows of the benchmark items are sets of word shingles. A document that
 contains a window contains all its shingles, so one of them, the window's
-rarest in the corpus, is prefix enough: documents that lack it are never
-looked at. A position of that shingle bounds where the window must start and
-whether it can end inside the document; what is left is verified word by word.
+rarest in the corpus, is prefix enough. Windows and shingle counts are tables;
+positions of shingles in documents meet the windows in a join on the rarest
+shingle. A position bounds where the window must start and whether it can end
+inside the document; what is left is verified word by word. A bit table of
+bounded size keeps shingles that no window has from being sent at all.
 """
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from xxhash import xxh3_64_intdigest
 
 from reviewloom.llm.common import record_batch, slices, utf8, whole_rows
 from reviewloom.llm.shingles import WordHash, shingle_hashes
+from reviewloom.session import stage
 
 WINDOW = 13
 SHINGLE = 4
-#: Bytes of benchmark text whose index is sent to the executors at once.
-BLOCK_BYTES = 4_000_000
+#: Bits for a shingle in the bit table, and the most it may have (32 MB). Fuller tables let more through, and lose nothing.
+BITS_PER_SHINGLE, MOST_BITS = 32, 2**28
+#: Shingles that a task counts before it sends the counts on.
+_COUNTED = 200_000
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
     for b in range(256)
 )
-_COUNTS = pa.schema([("length", pa.int32()), ("shingle", pa.int64()), ("documents", pa.int64())])
-_MARKS = [
-    pa.field("text", pa.binary()),
-    pa.field("hits", pa.binary()),
-    pa.field("items", pa.list_(pa.string())),
-    pa.field("n_words", pa.int64()),
-    pa.field("n_hit", pa.int64()),
-]
+_WINDOWS = pa.schema([("item_id", pa.string()), ("words", pa.list_(pa.binary())), ("size", pa.int32()), ("shingles", pa.list_(pa.int64()))])
+_COUNTS = pa.schema([("shingle", pa.int64()), ("n", pa.int64())])
+_CANDIDATE = pa.struct([("shingle", pa.int64()), ("position", pa.int32()), ("before", pa.int32()), ("context", pa.list_(pa.binary()))])
+_FOUND = pa.schema([("digest", pa.binary()), ("n_words", pa.int64()), ("candidates", pa.list_(_CANDIDATE))])
 
 
 def words(text: bytes) -> list[bytes]:
@@ -43,151 +41,171 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_WORD_BYTES).split()
 
 
-def _windows(items, window):
-    """For every distinct window, its words and the items that have it."""
-    out = defaultdict(set)
-    for item_id, text in items:
-        found = words(text)
-        for i in range(max(1, len(found) - window + 1) if found else 0):
-            out[tuple(found[i : i + window])].add(item_id)
-    return out
+def _windows(window, shingle):
+    """Every window of an item with its shingles; all of a shorter item is one window, fewer words are one shingle."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHash()
+        for batch in slices(batches, "text", 200_000):
+            rows = []
+            for item_id, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = words(text)
+                size = min(shingle, len(found))
+                hashes = shingle_hashes(cache.of(found), size).view(np.int64).tolist() if found else []
+                for i in range(max(1, len(found) - window + 1) if found else 0):
+                    rows.append((item_id, found[i : i + window], size, hashes[i : i + window - size + 1]))
+            if rows:
+                yield record_batch(rows, _WINDOWS)
+
+    return run
+
+
+class BitTable:
+    """Which shingles are wanted, by some bits of their hash; ``sizes``: the shingle lengths that occur."""
+
+    def __init__(self, shingles: DataFrame, most_bits):
+        """``shingles``: size and shingle. The driver gets at most ``most_bits`` / 64 numbers."""
+        facts = shingles.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("size")).alias("sizes")).first()
+        bits = 64
+        while bits < min(most_bits, BITS_PER_SHINGLE * facts.n):
+            bits *= 2
+        cell = F.shiftrightunsigned("shingle", 64 - bits.bit_length() + 1)
+        bit = F.expr("shiftleft(1L, CAST(cell % 64 AS INT))")
+        cells = shingles.select(cell.alias("cell")).groupBy(F.floor(F.col("cell") / 64).cast("long").alias("word"))
+        self.sizes, self.shift = facts.sizes, np.uint64(64 - bits.bit_length() + 1)
+        self.table = np.zeros(bits // 64, np.uint64)
+        for row in cells.agg(F.bit_or(bit).alias("mask")).toLocalIterator():
+            self.table[row.word] = np.uint64(row.mask % 2**64)
 
-def _shingles(window, size):
-    """Positions and hashes of a window's shingles; a shorter window is one shingle."""
-    own = np.array([xxh3_64_intdigest(w) for w in window], np.uint64)
-    size = min(size, len(own))
-    return size, [int(h) for h in shingle_hashes(own, size)]
+    def positions(self, hashes: np.ndarray) -> np.ndarray:
+        """Where a shingle may be wanted."""
+        cell = hashes >> self.shift
+        return np.flatnonzero(self.table[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1))
 
 
-def _count(wanted):
+def _count(wanted: BitTable):
     """Documents that contain each wanted shingle, summed in the task."""
-    wanted = {size: np.sort(np.array(list(hashes), np.uint64)) for size, hashes in wanted.items()}
+
+    def sums(held):
+        shingles, place = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+        return shingles, np.bincount(place, np.concatenate([n for _, n in held])).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, totals = WordHash(), {size: np.zeros(len(h), np.int64) for size, h in wanted.items()}
+        cache, held, size = WordHash(), [], 0
         for batch in slices(batches, "text"):
             for text in batch.column("text").to_pylist():
                 hashes = cache.of(words(text))
-                for size, known in wanted.items():
-                    own = shingle_hashes(hashes, size)
-                    at = np.searchsorted(known, own)
-                    at[at == len(known)] = 0
-                    totals[size][np.unique(at[known[at] == own])] += 1
-        rows = [
-            (size, int(h.view(np.int64)), int(n))
-            for size, known in wanted.items()
-            for h, n in zip(known, totals[size], strict=True)
-            if n
-        ]
-        if rows:
-            yield record_batch(rows, _COUNTS)
+                for length in wanted.sizes:
+                    own = shingle_hashes(hashes, length)
+                    own = np.unique(own[wanted.positions(own)])
+                    if len(own):
+                        held.append((own, np.ones(len(own), np.int64)))
+                        size += len(own)
+            if size > _COUNTED:
+                held = [sums(held)]
+                size = len(held[0][0])
+                if size > _COUNTED // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], schema=_COUNTS)
+                    held, size = [], 0
+        if held:
+            shingles, n = sums(held)
+            yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(n)], schema=_COUNTS)
 
     return run
 
 
-def _search(index, last):
-    """Marks the words of a block's windows. ``index``: (shingle length, hash) -> [(offset, window, items)].
-
-    Text goes on to the next block, if there is one.
-    """
-    by_size = defaultdict(list)
-    for size, h in index:
-        by_size[size].append(h)
-    by_size = {size: np.sort(np.array(hashes, np.uint64)) for size, hashes in by_size.items()}
-
-    def mark(found, hashes, hit, items):
-        for size, known in by_size.items():
-            own = shingle_hashes(hashes, size)
-            at = np.searchsorted(known, own)
-            at[at == len(known)] = 0
-            for position in np.nonzero(known[at] == own)[0].tolist():
-                for offset, window, names in index[size, int(own[position])]:
-                    start = position - offset
-                    if start < 0 or start + len(window) > len(found):
-                        continue  # it would not fit into the document
-                    if tuple(found[start : start + len(window)]) == window:
-                        hit[start : start + len(window)] = True
-                        items |= names
+def _candidates(wanted: BitTable, window):
+    """Each text's words and the places of its wanted shingles, with the words around that a window can reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
-        for batch in slices(batches, "text"):
-            marks = []
-            for text, bits, names in zip(*(batch.column(c).to_pylist() for c in ("text", "hits", "items")), strict=True):
-                found, items = words(text), set(names)
-                hit = np.zeros(len(found), bool)
-                if bits:
-                    hit = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(found)).astype(bool)
-                mark(found, cache.of(found), hit, items)
-                n_hit = int(hit.sum())
-                bits = np.packbits(hit).tobytes() if n_hit else b""
-                marks.append((b"" if last else text, bits, sorted(items), len(found), n_hit))
-            columns = zip(_MARKS, zip(*marks, strict=True), strict=True)
-            arrays = [batch.column("row"), *(pa.array(values, field.type) for field, values in columns)]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", *(field.name for field in _MARKS)])
+        for batch in slices(batches, "text", 2_000_000):
+            rows = []
+            for text in batch.column("text").to_pylist():
+                found = words(text)
+                hashes, places = cache.of(found), []
+                for length in wanted.sizes:
+                    own = shingle_hashes(hashes, length)
+                    for at in wanted.positions(own).tolist():
+                        start = max(0, at - window + length)
+                        places.append((int(own[at].view(np.int64)), at, at - start, found[start : at + window]))
+                rows.append((len(found), [dict(zip(("shingle", "position", "before", "context"), p, strict=True)) for p in places]))
+            n_words, places = zip(*rows, strict=True)
+            columns = [batch.column("digest"), pa.array(n_words, pa.int64()), pa.array(places, _FOUND.types[2])]
+            arrays = [*columns, *(batch.column(c) for c in batch.schema.names if c not in ("text", "digest"))]
+            names = [*_FOUND.names, *(c for c in batch.schema.names if c not in ("text", "digest"))]
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
 
 
-def _blocks(benchmark, block_bytes):
-    """The distinct items in blocks of bounded size; the driver holds one at a time."""
-    block, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), utf8("text").alias("text")).distinct()
-    for row in rows.toLocalIterator():
-        text = bytes(row.text)
-        if block and size + len(text) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((row.item_id, text))
-        size += len(text)
-    yield block
+def window_tables(benchmark: DataFrame, window=WINDOW, shingle=SHINGLE):
+    """The distinct windows (window_id, words, size, shingles), and the items of each (window_id, item_id); staged."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), utf8("text").alias("text"))
+    rows = items.mapInArrow(_windows(window, shingle), "item_id string, words array<binary>, size int, shingles array<long>")
+    # words hold no space, so that joined words are one window's only
+    joined = F.array_join(F.transform("words", lambda w: F.hex(w)), " ")
+    rows = stage(rows.withColumn("window_id", F.unhex(F.sha2(joined, 256))), "window-rows")
+    distinct = rows.groupBy("window_id").agg(F.first(F.struct("words", "size", "shingles")).alias("w")).select("window_id", "w.*")
+    names = rows.filter("item_id IS NOT NULL").select("window_id", "item_id").distinct()
+    return stage(distinct, "windows"), stage(names, "window-items")
 
 
-def window_index(texts: DataFrame, items, window=WINDOW, shingle=SHINGLE):
-    """The windows of ``items`` by the shingle of theirs that the fewest documents contain.
+def rarest_shingles(windows: DataFrame, texts: DataFrame, most_bits=MOST_BITS) -> DataFrame:
+    """Each window that can occur with its rarest shingle over all ``texts`` and that one's place; staged.
 
     Windows with a shingle that no document has cannot occur and are left out.
     """
-    by_window = _windows(items, window)
-    wanted, parts = defaultdict(set), {}
-    for w in by_window:
-        size, hashes = parts[w] = _shingles(w, shingle)
-        wanted[size].update(hashes)
-    counts = {}
-    if wanted:
-        counted = texts.select("text").mapInArrow(_count(dict(wanted)), "length int, shingle long, documents long")
-        for row in counted.groupBy("length", "shingle").agg(F.sum("documents").alias("n")).toLocalIterator():
-            counts[row.length, row.shingle % 2**64] = row.n
-    index = defaultdict(list)
-    for w, (size, hashes) in parts.items():
-        if all((size, h) in counts for h in hashes):
-            rarest = min(range(len(hashes)), key=lambda i: (counts[size, hashes[i]], hashes[i]))
-            index[size, hashes[rarest]].append((rarest, w, by_window[w] - {None}))
-    return dict(index)
-
-
-def _marked(rows: DataFrame, benchmark: DataFrame, window, shingle, block_bytes) -> DataFrame:
-    """``rows`` (row, text) with the items found and the numbers of words and hit words; no shuffle of texts.
-
-    The index of ``block_bytes`` of benchmark text goes to the executors; a
-    larger benchmark is searched block by block, one after the other.
-    """
-    found = rows.withColumns({"hits": F.lit(b""), "items": F.array().cast("array<string>")})
-    indexes = (window_index(rows, block, window, shingle) for block in _blocks(benchmark, block_bytes))
-    ahead = next(indexes)
-    while ahead is not None:
-        index, ahead = ahead, next(indexes, None)
-        found = found.select("row", "text", "hits", "items")
-        schema = T.StructType([*found.schema, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType())])
-        found = found.mapInArrow(_search(index, ahead is None), schema)
-    contaminated = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    return found.select("row", "n_words", "n_hit", "items", contaminated.alias("contaminated"))
-
-
-def benchmark_overlap(
-    docs: DataFrame, benchmark: DataFrame, window=WINDOW, shingle=SHINGLE, block_bytes=BLOCK_BYTES
-) -> DataFrame:
+    parts = windows.select("window_id", "size", F.posexplode("shingles").alias("place", "shingle"))
+    parts = stage(parts, "window-shingles")
+    wanted = BitTable(parts.select("size", "shingle").distinct(), most_bits)
+    counts = texts.select("text").mapInArrow(_count(wanted), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rarest = (
+        parts.join(stage(counts, "shingle-counts"), "shingle", "left")
+        .groupBy("window_id")
+        .agg(F.min(F.struct("n", "shingle", "place")).alias("r"), F.count_if(F.col("n").isNull()).alias("absent"))
+        .filter("absent = 0")
+    )
+    chosen = windows.join(rarest, "window_id").select("window_id", "words", "size", F.col("r.shingle").alias("shingle"), F.col("r.place").alias("place"))
+    return stage(chosen, "window-prefixes")
+
+
+def _occurrences(found: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """digest, window_id, start and stop of every place where a window occurs; ``found``: candidates of texts."""
+    places = found.select("digest", "n_words", F.explode("candidates").alias("c")).select("digest", "n_words", "c.*")
+    # copies of a text have the same places
+    places = places.dropDuplicates(["digest", "shingle", "position"])
+    length = F.size("words")
+    start = F.col("position") - F.col("place")
+    fits = (start >= 0) & (F.col("before") >= F.col("place")) & (start + length <= F.col("n_words"))
+    same = F.slice("context", F.col("before") - F.col("place") + 1, length) == F.col("words")
+    return places.join(prefixes, "shingle").filter(fits & same).select("digest", "window_id", start.alias("start"), (start + length).alias("stop"))
+
+
+def _marked(docs: DataFrame, text, benchmark: DataFrame, window, shingle, most_bits, *keep):
+    """``docs`` as digest, n_words and ``keep``, and for each digest with a hit n_hit and items; both staged."""
+    windows, names = window_tables(benchmark, window, shingle)
+    texts = docs.select(utf8(text).alias("text"), *keep).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    prefixes = rarest_shingles(windows, texts, most_bits)
+    wanted = BitTable(prefixes.select("size", "shingle").distinct(), most_bits)
+    schema = "digest binary, n_words long, candidates array<struct<shingle: long, position: int, before: int, context: array<binary>>>"
+    kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema) if keep else ""
+    found = stage(texts.mapInArrow(_candidates(wanted, window), schema + kept), "places")
+    hits = stage(_occurrences(found.filter(F.size("candidates") > 0), prefixes), "occurrences")
+    in_text = Window.partitionBy("digest").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    spans = hits.select("digest", "start", "stop").distinct()
+    new = F.col("stop") - F.greatest("start", F.coalesce(F.max("stop").over(in_text), F.col("start")))
+    covered = spans.withColumn("new", F.greatest(new, F.lit(0))).groupBy("digest").agg(F.sum("new").alias("n_hit"))
+    listed = hits.select("digest", "window_id").distinct().join(names, "window_id")
+    listed = listed.groupBy("digest").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    return found.drop("candidates"), stage(covered.join(listed, "digest", "left"), "hit-texts")
+
+
+def _contaminated(n_hit, n_words):
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def benchmark_overlap(docs: DataFrame, benchmark: DataFrame, window=WINDOW, shingle=SHINGLE, most_bits=MOST_BITS) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted as strings) and contaminated, per row of ``docs``.
 
     A window is ``window`` consecutive words of an item, or all of a shorter
@@ -195,17 +213,24 @@ def benchmark_overlap(
     its words on a document is contaminated. NULL and empty texts have no word,
     items without words no window; an item without id marks words but is in no
     list. An empty table on either side is no error. Rows repeated in either
-    table and other columns change nothing.
+    table and other columns change nothing. Copies of a text are searched once
+    they have been found to hold a rare shingle.
     """
-    rows = docs.select(F.struct("doc_id").alias("row"), utf8("text").alias("text"))
-    return _marked(rows, benchmark, window, shingle, block_bytes).select(
-        "row.doc_id", "n_words", "n_hit", "items", "contaminated"
+    rows = docs.select(F.col("doc_id"), "text")
+    found, hits = _marked(rows, "text", benchmark, window, shingle, most_bits, "doc_id")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    return found.join(hits, "digest", "left").select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        _contaminated(n_hit, F.col("n_words")).alias("contaminated"),
     )
 
 
-def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, window=WINDOW, shingle=SHINGLE, block_bytes=BLOCK_BYTES
-) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, all columns."""
-    rows = whole_rows(docs).withColumn("text", utf8("row.text"))
-    return _marked(rows, benchmark, window, shingle, block_bytes).filter("NOT contaminated").select("row.*")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window=WINDOW, shingle=SHINGLE, most_bits=MOST_BITS) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, all columns. Texts are told by their SHA-256."""
+    found, hits = _marked(docs.select("text"), "text", benchmark, window, shingle, most_bits)
+    gone = found.join(hits, "digest").filter(_contaminated(F.col("n_hit"), F.col("n_words"))).select("digest").distinct()
+    own = F.unhex(F.sha2(utf8("row.text"), 256))
+    return whole_rows(docs).join(stage(gone, "contaminated"), own == F.col("digest"), "left_anti").select("row.*")

@@ -61,11 +61,11 @@ def rows(awkward):
     ]
 
 
-@pytest.mark.parametrize("block_bytes", [4_000_000, 150])
+@pytest.mark.parametrize("most_bits", [2**28, 64])
 @pytest.mark.parametrize("shingle", [4, 1])
-def test_overlap_equals_brute_force(spark, documents, rows, block_bytes, shingle):
+def test_overlap_equals_brute_force(spark, documents, rows, most_bits, shingle):
     items = spark.createDataFrame([(i, t, "x") for i, t in ITEMS], "item_id long, text string, hits string")
-    got = decontamination.benchmark_overlap(documents(rows), items, shingle=shingle, block_bytes=block_bytes).collect()
+    got = decontamination.benchmark_overlap(documents(rows), items, shingle=shingle, most_bits=most_bits).collect()
     got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in got)
     expected = expected_overlap(rows, ITEMS)
     assert got == expected and sum(r[4] for r in expected) >= 4
@@ -88,3 +88,21 @@ def test_a_very_long_text(spark, documents):
     got = decontamination.benchmark_overlap(documents([(1, text)]), spark.createDataFrame(items, "item_id long, text string"))
     (row,) = got.collect()
     assert row.n_hit >= 20 and not row.contaminated and row["items"] == ["1"]
+
+
+def test_a_benchmark_larger_than_the_documents(spark, documents):
+    """Thousands of items over few words; most windows occur nowhere, a third of the documents share a passage."""
+    items = [(i, prose(10_000 + i, 25)) for i in range(1500)]
+    shared = items[7][1]
+    rows = [(i, prose(i, 60) + (" " + shared if i % 3 == 0 else "")) for i in range(120)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.benchmark_overlap(documents(rows), table).collect()
+    hits = {r.doc_id: (r.n_hit, r["items"]) for r in got if r.n_hit}
+    assert hits == {i: (25, ["7"]) for i, _ in rows if i % 3 == 0}
+
+
+def test_items_that_share_a_window_are_all_listed(spark, documents):
+    text = prose(4, 13)
+    items = spark.createDataFrame([(i, text) for i in range(300)], "item_id long, text string")
+    (row,) = decontamination.benchmark_overlap(documents([(1, text)]), items).collect()
+    assert row["items"] == sorted(map(str, range(300))) and row.n_hit == 13
