@@ -77,19 +77,21 @@ def dedup_lines(docs: DataFrame, min_points=MIN_POINTS, min_documents=MIN_DOCUME
         texts.mapInArrow(_keys(min_points), "doc_id long, n_lines long, sha256 string, keys array<binary>"), "lines"
     )
     shared = stage(shared_lines(lines, min_documents), "shared_lines")
+    # a list is one text's, so that the lines of rows without an id do not come together
     dropped = (
-        lines.select("doc_id", F.explode("keys").alias("line"))
+        lines.select("doc_id", "sha256", F.explode("keys").alias("line"))
         .join(shared, "line")
         .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy("doc_id")
+        .groupBy(F.col("doc_id").alias("dropped_id"), F.col("sha256").alias("dropped_sha"))
         .agg(F.collect_set("line").alias("dropped"))
     )
-    dropped = stage(dropped, "dropped_lines").withColumnRenamed("doc_id", "dropped_id")
-    touched = F.col("doc_id").eqNullSafe(F.col("dropped_id"))
+    dropped = stage(dropped, "dropped_lines")
+    touched = F.col("doc_id").eqNullSafe(F.col("dropped_id")) & (F.col("sha256") == F.col("dropped_sha"))
     # by a shuffle whatever the size: the list of documents grows with the corpus
-    changed = texts.join(dropped.hint("merge"), touched).select("doc_id", "text", "dropped")
+    changed = texts.withColumn("sha256", F.sha2("text", 256)).join(dropped.hint("merge"), touched)
+    changed = changed.select("doc_id", "text", "dropped")
     changed = changed.mapInArrow(_drop(min_points), "doc_id long, n_lines long, n_dropped long, kept binary")
-    whole = lines.join(dropped.select("dropped_id"), touched, "left_anti").select(
+    whole = lines.join(dropped.select("dropped_id", "dropped_sha"), touched, "left_anti").select(
         "doc_id",
         "n_lines",
         F.lit(0).cast("long").alias("n_dropped"),

@@ -81,3 +81,12 @@ def test_line_length_is_in_code_points(documents):
     got = line_dedup.dedup_lines(documents([(i, f"{short}\n{long_}") for i in range(5)])).collect()
     assert {r.doc_id: r.n_dropped for r in got} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0}
     assert {bytes(r.kept).decode() for r in got if r.kept is not None} == {short}
+
+
+def test_rows_without_an_id_lose_only_their_own_lines(documents):
+    """Their lists are kept by text: none of them holds the lines of another row."""
+    shared = [f"{i:03d} " + "a line that several documents hold, long enough" for i in range(30)]
+    rows = [(i, "\n".join(shared)) for i in range(6)]
+    rows += [(None, f"own {i}\n{shared[i]}\n{shared[i]}") for i in range(30)] + [(None, "own 0\n" + shared[0] + "\n" + shared[0])]
+    got = line_dedup.dedup_lines(documents(rows)).drop("kept").collect()
+    assert Counter(tuple(r) for r in got) == expected_lines(rows, 40, 5)

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -108,3 +110,30 @@ def test_copies_share_a_fold_and_only_whole_texts_calibrate():
     batch = pa.RecordBatch.from_pydict({"lang": ["en", "en"], "text": pa.array([text, text], pa.binary())})
     rows = pa.Table.from_batches(list(language_id._bags(3)(iter([batch])))).to_pylist()
     assert len({r["fold"] for r in rows}) == 1 and [r["whole"] for r in rows] == [True, False, False, False] * 2
+
+
+def plain_ngrams(text):
+    """Bucket numbers of the n-grams of a text, one at a time with Python's numbers."""
+    raw = f" {text.lower()} ".encode()
+    data = [b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in raw]
+    out = []
+    for n in language_id.LENGTHS:
+        for i in range(len(data) - n + 1):
+            gram = data[i : i + n]
+            if 0x20 in gram[1:-1] or gram[0] == gram[-1] == 0x20:
+                continue  # a space stands at one end only
+            value = sum(b << 8 * k for k, b in enumerate(gram))
+            value = (value ^ n * 0x9E3779B1 & 0xFFFFFFFF) * 0x85EBCA6B % 2**32
+            value ^= value >> 15
+            out.append((value * 0xC2B2AE35 % 2**32) >> (32 - (language_id.BUCKETS.bit_length() - 1)))
+    return out
+
+
+def test_probabilities_equal_a_forward_pass():
+    rng = np.random.default_rng(1)
+    model = language_id.Model(("de", "en", "fr"), rng.normal(0, 1, (language_id.BUCKETS, 3)).astype(np.float32), 0.7, 0.0)
+    for text in ("the river", "Straße über glass", "a", "x  y\nz 12", "日本語 text", "word " * 300):
+        logits = [sum(float(model.weights[b, k]) for b in plain_ngrams(text)) for k in range(3)]
+        found = max(1, len(plain_ngrams(text)))
+        e = [math.exp(x / found / 0.7) for x in logits]
+        assert np.allclose(model.probabilities(text), [x / sum(e) for x in e])
