@@ -297,6 +297,8 @@ _NAMES = (
     (r"(?:eclipse public licen[sc]e|epl)" + _V + r"2(?: 0)?", "EPL-2.0"),
     (r"(?:eclipse public licen[sc]e|epl)" + _V + r"1(?: 0)?", "EPL-1.0"),
     (r"artistic(?: licen[sc]e)?" + _V + r"2 0", "Artistic-2.0"),
+    (r"(?:sil )?open font licen[sc]e" + _V + r"1 1|(?:sil )?ofl" + _V + r"1 1", "OFL-1.1"),
+    (r"(?:european union public licen[sc]e|eupl)" + _V + r"1 2", "EUPL-1.2"),
     (r"wtfpl|do what the fuck you want to public", "WTFPL"),
     (r"(?:cc0|cc zero|creative commons zero|creative commons cc0)(?:" + _V + r"1 0)?(?: universal)?(?: public domain dedication)?", "CC0-1.0"),
 )
@@ -310,18 +312,33 @@ _GNU_NAME = (
     r" (?:or (?:at your option )?(?:any )?(?:later|newer|greater|higher)|and (?:later|above))(?: versions?)?(?: at your option)?)?(?: only)?"
 )
 _ONE = "|".join([rf"(?P<n{k}>{pattern})" for k, (pattern, _) in enumerate(_NAMES)] + [_CC, _GNU_NAME])
-_NAME = re.compile(rf"(?:an? |the |either (?:of )?(?:the )?)*(?:{_ONE})(?: (?:open source |public )?licen[sc]e)?(?: (?:agreement|terms))?")
+_NAME = re.compile(rf"(?:an? |the |either (?:of )?(?:the )?)*(?:{_ONE})(?: (?:open source |public )?licen[sc]e(?![a-z]))?(?: (?:agreement|terms))?")
+#: Words before the verb after which a sentence grants nothing, and how many words there may be.
+_DENIALS = (
+    r"not|no|never|cannot|nor|neither|t|without|unless|if|whether|nothing|none|nobody|instead|"
+    r"refus[a-z]*|declin[a-z]*|reject[a-z]*|den(?:y|ies|ied)|forbid[a-z]*|prohibit[a-z]*|avoid[a-z]*"
+)
+WORDS_BEFORE = 8
+_GRANTED = rf"(?:(?:unless|except where|except as) otherwise (?:noted|stated|specified|indicated) )?(?:(?!(?:{_DENIALS}) )[^ ]+ ){{0,{WORDS_BEFORE}}}?"
 _LEAD = re.compile(
-    r"(?:(?!(?:not|no|never|cannot|nor|neither|t|without|unless|if|whether) )[^ ]+ ){0,8}?"
+    _GRANTED +
     r"(?:licensed|licenced|released|distributed|available|published|provided|covered|redistributed)"
     r" (?:(?:to you|here) )?(?:under|(?<=covered )by)(?: the)?(?: (?:terms|conditions)(?: and conditions)? of)?(?: the| both the| both| either of| either)? "
 )
+#: "is MIT licensed": the name stands between the verb and its participle.
+_BETWEEN = re.compile(rf"{_GRANTED}(?:is|are) (?:now |also |dual )?")
+_PARTICIPLE = re.compile(r" (?:open source )?licen[sc]ed")
 _NEXT = re.compile(r" (?:and|or)(?: the)? ")
 _TAIL = re.compile(r"(?: at your option| (?:see|please see|refer to|you may|by|as|with|which|a copy|in|for) .*| c .*)?")
 
 
 def licences_named(sentence: str):
     """The licences that a notice in normal form names: lead-in, names joined by "or" and "and", a tail."""
+    between = _BETWEEN.match(sentence)
+    if between and (name := _NAME.match(sentence, between.end())):
+        behind = _PARTICIPLE.match(sentence, name.end())
+        if behind and _TAIL.fullmatch(sentence, behind.end()):
+            return [x for x in [_named(name)] if x]
     lead = _LEAD.match(sentence)
     at, out = lead.end() if lead else 0, []
     while lead:
@@ -457,7 +474,7 @@ class Sentences:
             elif b"spdx license identifier" in parts[i]:
                 i, names = self.expression(pairs, i)
                 found += [(number, name) for name in names]
-            elif b"under" in parts[i] or b"covered by" in parts[i]:
+            elif any(verb in parts[i] for verb in (b"under", b"covered by", b" licensed", b" licenced")):
                 i, names = self.notice(pairs, i)
                 found += [(number, name) for name in names]
             i, number = i + 1, number + 1

@@ -172,3 +172,22 @@ def test_a_rule_needs_a_whole_token():
     with pytest.raises(ValueError, match="no whole literal token"):
         url_filter.address_rule("block", "", "/x")
     assert url_filter.address_rule("block", "a.b", "/part").tokens == ("a", "b")
+
+
+@pytest.mark.parametrize(
+    ("sentence", "licences"),
+    [
+        ("He refused to have it released under the MIT License.", []),
+        ("Nothing here is licensed under the MIT License.", []),
+        ("This work is not MIT licensed.", []),
+        ("None of these files are distributed under the terms of the GPL version 2.", []),
+        ("This project is MIT licensed.", ["MIT"]),
+        ("All files are Apache 2.0 licensed, see LICENSE.", ["Apache-2.0"]),
+        ("Unless otherwise noted, code is licensed under the MIT License.", ["MIT"]),
+        ("Except where otherwise stated, all content is licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
+        ("This font is licensed under the SIL Open Font License, Version 1.1.", ["OFL-1.1"]),
+        ("Licensed under the EUPL v1.2", ["EUPL-1.2"]),
+    ],
+)
+def test_notices_grant_or_deny(sentence, licences):
+    assert license_scan.licences_named(license_scan.normal(sentence.encode()).decode()) == licences
