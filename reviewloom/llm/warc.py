@@ -251,9 +251,10 @@ def _records(with_payload):
             for row in batch.to_pylist():
                 if row["path"] != path:
                     path, read = row["path"], _Ranges(row["path"])
-                at, out = row["start"], []
+                at, out = 0, []
+                held = read(row["start"], sum(row["sizes"]))  # the range at once: about RANGE_BYTES, or one larger record
                 for size in row["sizes"]:
-                    record = parse_record(read(at, size))
+                    record = parse_record(held[at : at + size])
                     out.append(record if with_payload else (*record[:-1], None))
                     at += size
                 yield record_batch(out, _RECORDS)
