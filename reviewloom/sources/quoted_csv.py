@@ -34,6 +34,9 @@ RANGE_BYTES = 64 * 1024 * 1024
 _CHUNK = 4 * 1024 * 1024
 _BATCH_BYTES = 8 * 1024 * 1024
 
+#: In place of a table of ranges: every file is one, and begins outside quotes.
+WHOLE_FILES = "whole files"
+
 #: Hadoop's names of stores that pyarrow knows by another one.
 _SCHEMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfss", "wasbs": "abfss", "wasb": "abfss"}
 
@@ -121,6 +124,8 @@ class _Records(DataSourceReader):
         self.path, self.ranges, self.columns = options["path"], options["ranges"], json.loads(options["columns"])
 
     def partitions(self):
+        if self.ranges == WHOLE_FILES:
+            return [Range(path, 0, size) for path, size in csv_files(self.path)[1] if size]
         store, place = filesystem(self.ranges)
         rows = pa.dataset.dataset(place, filesystem=store, format="parquet").to_table().to_pylist()
         return [Range(r["path"], r["start"], r["stop"], r["inside"]) for r in rows]
@@ -172,8 +177,8 @@ def read_quoted_csv(spark: SparkSession, path: str, schema: T.StructType | str |
     spark.dataSource.register(QuotedCsv)
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
+    store, files = csv_files(path)
     if schema is None:
-        store, files = csv_files(path)
         filled = [name for name, size in files if size]
         if not filled:
             raise ValueError(f"no CSV data with a header in {path}")
@@ -181,11 +186,13 @@ def read_quoted_csv(spark: SparkSession, path: str, schema: T.StructType | str |
             names = header_names(next(records(source, 0, 1, False)))
         schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
     source = spark.read.format("quoted_csv").option("path", path)
-    in_file = Window.partitionBy("path").orderBy("start")
-    before = F.sum("quotes").over(in_file) - F.col("quotes")
-    ranges = stage_path(spark, "csv-ranges")
-    counted = source.option("range_bytes", str(range_bytes)).load()
-    counted.select("path", "start", "stop", (before % 2 == 1).alias("inside")).write.parquet(ranges)
+    ranges = WHOLE_FILES
+    if any(size > range_bytes for _, size in files):
+        ranges = stage_path(spark, "csv-ranges")
+        in_file = Window.partitionBy("path").orderBy("start")
+        before = F.sum("quotes").over(in_file) - F.col("quotes")
+        counted = source.option("range_bytes", str(range_bytes)).load()
+        counted.select("path", "start", "stop", (before % 2 == 1).alias("inside")).write.parquet(ranges)
     rows = source.option("ranges", ranges).option("columns", json.dumps(schema.names)).load()
     options = {"quote": '"', "escape": '"', "multiLine": "true"}
     return rows.select(F.from_csv("record", schema.toDDL(), options).alias("r")).select("r.*")
