@@ -140,7 +140,7 @@ def _candidates(wanted: BitTable, window):
 
 
 def window_tables(benchmark: DataFrame, window=WINDOW, shingle=SHINGLE):
-    """The distinct windows (window_id, words, size, shingles), and the items of each (window_id, item_id); staged."""
+    """The distinct windows (window_id, words, size, shingles), and the items of each (window_id, item_id)."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), utf8("text").alias("text"))
     rows = items.mapInArrow(_windows(window, shingle), "item_id string, words array<binary>, size int, shingles array<long>")
     # words hold no space, so that joined words are one window's only
@@ -148,7 +148,7 @@ def window_tables(benchmark: DataFrame, window=WINDOW, shingle=SHINGLE):
     rows = stage(rows.withColumn("window_id", F.unhex(F.sha2(joined, 256))), "window-rows")
     distinct = rows.groupBy("window_id").agg(F.first(F.struct("words", "size", "shingles")).alias("w")).select("window_id", "w.*")
     names = rows.filter("item_id IS NOT NULL").select("window_id", "item_id").distinct()
-    return stage(distinct, "windows"), stage(names, "window-items")
+    return stage(distinct, "windows"), names
 
 
 def rarest_shingles(windows: DataFrame, texts: DataFrame, most_bits=MOST_BITS) -> DataFrame:
@@ -157,11 +157,10 @@ def rarest_shingles(windows: DataFrame, texts: DataFrame, most_bits=MOST_BITS) -
     Windows with a shingle that no document has cannot occur and are left out.
     """
     parts = windows.select("window_id", "size", F.posexplode("shingles").alias("place", "shingle"))
-    parts = stage(parts, "window-shingles")
     wanted = BitTable(parts.select("size", "shingle").distinct(), most_bits)
     counts = texts.select("text").mapInArrow(_count(wanted), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     rarest = (
-        parts.join(stage(counts, "shingle-counts"), "shingle", "left")
+        parts.join(counts, "shingle", "left")
         .groupBy("window_id")
         .agg(F.min(F.struct("n", "shingle", "place")).alias("r"), F.count_if(F.col("n").isNull()).alias("absent"))
         .filter("absent = 0")
@@ -183,7 +182,7 @@ def _occurrences(found: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame, text, benchmark: DataFrame, window, shingle, most_bits, *keep):
-    """``docs`` as digest, n_words and ``keep``, and for each digest with a hit n_hit and items; both staged."""
+    """``docs`` as digest, n_words and ``keep``, and for each digest with a hit n_hit and items."""
     windows, names = window_tables(benchmark, window, shingle)
     texts = docs.select(utf8(text).alias("text"), *keep).withColumn("digest", F.unhex(F.sha2("text", 256)))
     prefixes = rarest_shingles(windows, texts, most_bits)
@@ -198,7 +197,7 @@ def _marked(docs: DataFrame, text, benchmark: DataFrame, window, shingle, most_b
     covered = spans.withColumn("new", F.greatest(new, F.lit(0))).groupBy("digest").agg(F.sum("new").alias("n_hit"))
     listed = hits.select("digest", "window_id").distinct().join(names, "window_id")
     listed = listed.groupBy("digest").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    return found.drop("candidates"), stage(covered.join(listed, "digest", "left"), "hit-texts")
+    return found.drop("candidates"), covered.join(listed, "digest", "left")
 
 
 def _contaminated(n_hit, n_words):

@@ -179,12 +179,12 @@ def fit_language_model(docs: DataFrame, rows_per_label=ROWS_PER_LABEL) -> Model:
     collected = collected.limit(max(1, 2 * rows_per_label * n_labels * (1 + WINDOWS))).toArrow()
     labels = tuple(sorted(set(collected.column("lang").to_pylist())))
     number = {label: i for i, label in enumerate(labels)}
-    bags = [
-        (number[row["lang"]], np.array(row["buckets"], np.int32), np.array(row["shares"], np.float32), row["fold"], row["whole"])
-        for batch in collected.to_batches(500)
-        for row in batch.to_pylist()
-        if row["buckets"]
-    ]
+    bags = []
+    for batch in collected.to_batches():  # the arrays are views of what has arrived, no copies
+        ends = batch.column("buckets").offsets.to_numpy()
+        buckets, shares = (batch.column(c).values.to_numpy() for c in ("buckets", "shares"))
+        facts = zip(*(batch.column(c).to_pylist() for c in ("lang", "fold", "whole")), ends[:-1], ends[1:], strict=True)
+        bags += [(number[lang], buckets[a:b], shares[a:b], fold, whole) for lang, fold, whole, a, b in facts if b > a]
     bags.sort(key=lambda b: (b[0], len(b[1]), b[1].tobytes(), *b[3:]))  # the same order whatever the partitions were
     if not bags:
         return Model((), np.zeros((BUCKETS, 0), np.float32), 1.0, 0.0)
