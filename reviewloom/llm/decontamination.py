@@ -22,8 +22,9 @@ from reviewloom.session import stage
 
 WINDOW = 13
 SHINGLE = 4
-#: Bits for a shingle in the bit table, and the most it may have (32 MB). Fuller tables let more through, and lose nothing.
-BITS_PER_SHINGLE, MOST_BITS = 32, 2**28
+#: Bits for a shingle in the bit table, and the most it may have (32 MB). Fuller tables let more through, and lose nothing:
+#: one in so many shingles of the documents passes without being wanted.
+BITS_PER_SHINGLE, MOST_BITS = 1024, 2**28
 #: Shingles that a task counts before it sends the counts on.
 _COUNTED = 200_000
 _WORD_BYTES = bytes(
