@@ -63,8 +63,24 @@ def record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
+def pyarrow_uri(path: str) -> str:
+    """The path as pyarrow names it, where Hadoop has a scheme of its own for the same store."""
+    scheme, _, rest = path.partition(":")
+    if scheme in ("s3a", "s3n"):
+        return f"s3:{rest}"
+    if scheme in ("wasb", "wasbs"):
+        return f"abfs{scheme[4:]}:{rest.replace('.blob.', '.dfs.', 1)}"
+    if scheme == "dbfs":
+        return f"/dbfs/{rest.lstrip('/')}"
+    return path
+
+
 def filesystem(path: str):
-    """The file system of a path or URI that all executors reach, and the place in it."""
+    """The file system of a path or URI that all executors reach, and the place in it.
+
+    Credentials come from the executors' environment: pyarrow does not read Hadoop's settings.
+    """
+    path = pyarrow_uri(path)
     if "://" in path or path.startswith("file:"):
         return fs.FileSystem.from_uri(path)
     return fs.LocalFileSystem(), path

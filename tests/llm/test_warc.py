@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from reviewloom.llm import warc
+from reviewloom.llm.common import filesystem, pyarrow_uri
 
 LONG = "<p>é</p>" * 200
 
@@ -101,3 +102,27 @@ def test_damage_is_an_error():
         warc.read_directory(lambda start, length: b"no zip"[start : start + length], 6)
     with pytest.raises(ValueError, match="not stored"):
         warc.member_range(None, {"x": (8, 0, 1, 1)}, "x")
+
+
+@pytest.mark.parametrize(
+    ("path", "uri"),
+    [
+        ("s3a://bucket/a/b", "s3://bucket/a/b"),
+        ("s3n://bucket/a", "s3://bucket/a"),
+        ("wasbs://box@name.blob.core.windows.net/a", "abfss://box@name.dfs.core.windows.net/a"),
+        ("wasb://box@name.blob.core.windows.net/a", "abfs://box@name.dfs.core.windows.net/a"),
+        ("dbfs:/a/b", "/dbfs/a/b"),
+        ("dbfs:///a/b", "/dbfs/a/b"),
+        ("gs://bucket/a", "gs://bucket/a"),
+        ("file:/a/b", "file:/a/b"),
+        ("/a/s3a:b", "/a/s3a:b"),
+    ],
+)
+def test_stores_go_by_the_names_that_pyarrow_knows(path, uri):
+    assert pyarrow_uri(path) == uri
+
+
+def test_places_in_stores():
+    assert filesystem("wasbs://box@name.blob.core.windows.net/a/b")[1] == "box/a/b"
+    assert filesystem("dbfs:/a/b")[1] == "/dbfs/a/b"
+    assert filesystem("file:/a/b")[1] == filesystem("/a/b")[1] == "/a/b"
