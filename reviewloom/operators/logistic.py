@@ -4,8 +4,9 @@ Spark's own estimator solves in columns of unit variance. With a penalty on
 the unscaled weights that makes rare terms creep: the penalty of a column
 divided by its variance spans four orders of magnitude. In the columns as they
 are, TF-IDF vectors and a penalty are well conditioned, and the limited-memory
-quasi-Newton method ends after some dozens of passes. Each pass is a Spark job
-over a staged table of sparse rows; the driver holds the weights and a few
+quasi-Newton method, begun with the second derivative of each entry, ends after
+some dozens of passes. Each pass is a Spark job over a staged table of packed
+sparse rows; the driver gets one sum a pass and holds the weights and a few
 directions of their size. The fitted model is Spark ML's.
 """
 
@@ -21,11 +22,14 @@ from pyspark.ml.util import Identifiable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Steps the method remembers, and weights whose gradient is one row of a partial sum.
-MEMORY, BLOCK = 10, 2**15
-#: With more partitions than this, partial gradients are summed by block before the driver gets them.
-FEW_PARTITIONS = 16
+#: Steps the method remembers, weights whose gradient is one row of a partial sum, and rows packed as one.
+MEMORY, BLOCK, PACK = 20, 2**15, 2000
+#: A task has this many entries at least, as long as the cores have two tasks each.
+ENTRIES_PER_TASK = 250_000
 _PARTIAL = pa.schema([("block", pa.int32()), ("sums", pa.binary())])
+_PACKED = pa.schema([("labels", pa.binary()), ("weights", pa.binary()), ("lengths", pa.binary()), ("indices", pa.binary()), ("values", pa.binary())])
+PACKED = ", ".join(f"{name} binary" for name in _PACKED.names)
+_TYPES = (np.int32, float, np.int32, np.int32, float)
 
 
 @dataclass(frozen=True)
@@ -38,6 +42,42 @@ class Training:
     converged: bool
 
 
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (label, weight, indices, values) as few rows of plain numbers, which every pass reads without taking lists apart."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, PACK):
+            batch = whole.slice(start, PACK)
+            indices, values = batch.column("indices"), batch.column("values")
+            lengths = np.diff(indices.offsets.to_numpy())
+            columns = (batch.column("label"), batch.column("weight"), lengths, indices.flatten(), values.flatten())
+            packed = [np.asarray(c).astype(t).tobytes() for c, t in zip(columns, _TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in packed], schema=_PACKED)
+
+
+def _unpack(batches):
+    for batch in batches:
+        for row in zip(*batch.columns, strict=True):
+            label, weight, lengths, index, value = (np.frombuffer(c.as_buffer(), t) for c, t in zip(row, _TYPES, strict=True))
+            yield label, weight, np.repeat(np.arange(len(label)), lengths), index, value
+
+
+def _blocks(out):
+    sums = [out[s : s + BLOCK].tobytes() for s in range(0, len(out), BLOCK)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums, pa.binary())], schema=_PARTIAL)
+
+
+def _squares(width):
+    """The weighted sum of squares of each column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(width)
+        for _, weight, row, index, value in _unpack(batches):
+            out += np.bincount(index, weight[row] * value * value, width)
+        yield _blocks(out)
+
+    return run
+
+
 def _pass(shared, n_classes):
     """Loss and gradient of a task's rows, as blocks of one long vector: loss, intercepts, then weights class by class."""
 
@@ -45,54 +85,48 @@ def _pass(shared, n_classes):
         weights, intercepts = shared.value
         width = weights.shape[1]
         out = np.zeros(1 + n_classes * (1 + width))
-        for batch in batches:
-            label, weight = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "weight"))
-            lists = batch.column("indices")
-            index = lists.flatten().to_numpy()
-            value = batch.column("values").flatten().to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            logits = np.stack(
-                [np.bincount(row, value * weights[k][index], batch.num_rows) + intercepts[k] for k in range(n_classes)]
-            )
+        for label, weight, row, index, value in _unpack(batches):
+            n = len(label)
+            logits = np.stack([np.bincount(row, value * weights[k][index], n) + intercepts[k] for k in range(n_classes)])
             top = logits.max(axis=0)
             e = np.exp(logits - top)
             total = e.sum(axis=0)
-            out[0] += (weight * (top + np.log(total) - logits[label, np.arange(len(label))])).sum()
+            out[0] += (weight * (top + np.log(total) - logits[label, np.arange(n)])).sum()
             error = e / total
-            error[label, np.arange(len(label))] -= 1
+            error[label, np.arange(n)] -= 1
             error *= weight
             out[1 : 1 + n_classes] += error.sum(axis=1)
             for k in range(n_classes):
                 at = 1 + n_classes + k * width
                 out[at : at + width] += np.bincount(index, value * error[k][row], width)
-        starts = range(0, len(out), BLOCK)
-        sums = [out[s : s + BLOCK].tobytes() for s in starts]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums, pa.binary())], schema=_PARTIAL)
+        yield _blocks(out)
 
     return run
 
 
-def _sum_block(key, table: pa.Table) -> pa.Table:
+def _sum_block(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(b, float) for b in table.column("sums").to_pylist())
     return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], schema=_PARTIAL)
 
 
-def _evaluator(rows: DataFrame, n_classes, width, penalty):
+def _total(packed: DataFrame, run, size) -> np.ndarray:
+    """The sum of the tasks' vectors. It is taken by block on the executors: the driver gets one vector, however many the tasks are."""
+    partial = packed.mapInArrow(run, "block int, sums binary").groupBy("block").applyInArrow(_sum_block, "block int, sums binary")
+    found = np.zeros(size)
+    for row in partial.collect():
+        block = np.frombuffer(row.sums, float)
+        found[row.block * BLOCK : row.block * BLOCK + len(block)] = block
+    return found
+
+
+def _evaluator(packed: DataFrame, n_classes, width, penalty, total):
     """The penalised loss and its gradient, per unit of weight, at a point (intercepts, then weights)."""
-    sc = rows.sparkSession.sparkContext
-    summed = rows.rdd.getNumPartitions() > FEW_PARTITIONS
-    total = rows.agg(F.sum("weight")).first()[0]
+    sc = packed.sparkSession.sparkContext
 
     def evaluate(point):
         intercepts, weights = point[:n_classes], point[n_classes:].reshape(n_classes, width)
         shared = sc.broadcast((weights, intercepts))
-        partial = rows.mapInArrow(_pass(shared, n_classes), "block int, sums binary")
-        if summed:
-            partial = partial.groupBy("block").applyInArrow(_sum_block, "block int, sums binary")
-        found = np.zeros(1 + len(point))
-        for row in partial.collect():
-            block = np.frombuffer(row.sums, float)
-            found[row.block * BLOCK : row.block * BLOCK + len(block)] += block
+        found = _total(packed, _pass(shared, n_classes), 1 + len(point))
         shared.destroy()
         loss = found[0] + 0.5 * penalty * (weights**2).sum()
         gradient = found[1:]
@@ -102,8 +136,12 @@ def _evaluator(rows: DataFrame, n_classes, width, penalty):
     return evaluate
 
 
-def minimise(evaluate, point, max_iter, tol):
-    """Limited-memory BFGS with halved steps, until no entry of the gradient is over ``tol``."""
+def minimise(evaluate, point, max_iter, tol, curvature=1.0):
+    """Limited-memory BFGS with halved steps, until no entry of the gradient is over ``tol``.
+
+    ``curvature``: an estimate of the second derivative of each entry. Entries
+    differ by orders of magnitude, the more so the more rows there are to one penalty.
+    """
     loss, gradient = evaluate(point)
     passes, iterations, moves = 1, 0, []
     while np.abs(gradient).max() > tol and iterations < max_iter:
@@ -111,15 +149,17 @@ def minimise(evaluate, point, max_iter, tol):
         for s, y, r in reversed(moves):
             factors.append(r * (s @ direction))
             direction -= factors[-1] * y
+        direction /= curvature
         if moves:
             s, y, _ = moves[-1]
-            direction *= (s @ y) / (y @ y)
+            direction *= (s @ y) / (y @ (y / curvature))
         for (s, y, r), a in zip(moves, reversed(factors), strict=True):
             direction += (a - r * (y @ direction)) * s
         slope = gradient @ direction
         if slope <= 0:  # rounding has spoiled the directions
-            moves, direction, slope = [], gradient, gradient @ gradient
-        step = 1.0 if moves else min(1.0, 1.0 / np.abs(gradient).sum())
+            moves, direction = [], gradient / curvature
+            slope = gradient @ direction
+        step = 1.0 if moves else min(1.0, 1.0 / np.abs(direction).max())
         while True:
             new_loss, new_gradient = evaluate(point - step * direction)
             passes += 1
@@ -137,14 +177,19 @@ def minimise(evaluate, point, max_iter, tol):
     return point, Training(passes, iterations, largest, largest <= tol)
 
 
-def fit(rows: DataFrame, n_classes: int, width: int, penalty: float, max_iter: int, tol: float):
-    """Weights (class, column), intercepts and the ``Training``. ``rows``: label, weight, indices, values; staged."""
-    evaluate = _evaluator(rows, n_classes, width, penalty)
-    mass = {r.label: r.mass for r in rows.groupBy("label").agg(F.sum("weight").alias("mass")).collect()}
+def fit(packed: DataFrame, mass, width: int, penalty: float, max_iter: int, tol: float):
+    """Weights (class, column), intercepts and the ``Training``. ``packed``: rows by ``pack``, staged; ``mass``: the weight of each class."""
+    mass = np.array(mass, float)
+    n_classes, total = len(mass), mass.sum()
+    evaluate = _evaluator(packed, n_classes, width, penalty, total)
     # classes start with their shares, one without rows with less than any
-    start = np.log(np.array([mass.get(k, 0.0) for k in range(n_classes)]) + 1e-3)
+    start = np.log(mass + 1e-3)
     point = np.concatenate([start - start.mean(), np.zeros(n_classes * width)])
-    point, training = minimise(evaluate, point, max_iter, tol)
+    # the second derivatives at that point
+    share = (mass + 1e-3) / (mass + 1e-3).sum()
+    spread = share * (1 - share)
+    curvature = np.concatenate([spread * total, (np.outer(spread, _total(packed, _squares(width), width)) + penalty).ravel()])
+    point, training = minimise(evaluate, point, max_iter, tol, curvature / total)
     return point[n_classes:].reshape(n_classes, width), point[:n_classes], training
 
 

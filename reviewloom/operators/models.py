@@ -45,14 +45,16 @@ def balanced_weights(df: DataFrame, label="sentiment", out=WEIGHT) -> DataFrame:
 
 
 def fit_logistic(
-    train: DataFrame, c=1.0, max_iter=MAX_ITER, tol=1e-5, features=X.FEATURES, rows_per_partition=20_000
+    train: DataFrame, c=1.0, max_iter=MAX_ITER, tol=1e-5, features=X.FEATURES, entries_per_task=logistic.ENTRIES_PER_TASK
 ) -> LogisticRegressionModel:
     """Multinomial logistic regression with an L2 penalty of strength 1 / ``c``.
 
     ``train`` holds the vector, the label index and the row weight. The fit
     ends when no entry of the gradient is above ``tol`` per unit of weight; the
     model's ``training`` tells whether it did. Every step is a pass over the
-    rows, which are staged as sparse lists in partitions of ``rows_per_partition`` at least.
+    rows, which are staged as packed sparse lists. As many tasks read them as have
+    ``entries_per_task`` entries each, but two a core at most: each adds a vector of
+    the size of the weights to the sum of a pass.
     """
     parts = X.sparse_parts(features)
     rows = train.select(
@@ -61,15 +63,21 @@ def fit_logistic(
         parts["indices"].alias("indices"),
         parts["values"].alias("values"),
     )
-    facts = train.agg(F.count(F.lit(1)).alias("n"), F.first(parts["size"]).alias("width")).first()
-    if not facts.n:
+    masses = [F.coalesce(F.sum(F.when(F.col(LABEL) == k, F.col(WEIGHT))), F.lit(0.0)).alias(f"m{k}") for k in range(len(LABELS))]
+    facts = train.agg(
+        F.sum(F.size(parts["indices"]).cast("long")).alias("entries"), F.first(parts["size"]).alias("width"), *masses
+    ).first()
+    if facts.entries is None:
         raise ValueError("no rows to fit a model on")
-    rows = stage(rows.coalesce(max(1, facts.n // rows_per_partition)), "solver-rows")
-    weights, intercepts, training = logistic.fit(rows, len(LABELS), facts.width, 1.0 / c, max_iter, tol)
+    spark = train.sparkSession
+    tasks = max(1, min(facts.entries // entries_per_task, 2 * spark.sparkContext.defaultParallelism))
+    packed = rows.repartition(tasks).mapInArrow(logistic.pack, logistic.PACKED)
+    packed = stage(packed, "solver-rows")
+    weights, intercepts, training = logistic.fit(packed, facts[2:], facts.width, 1.0 / c, max_iter, tol)
     columns = {"featuresCol": features, "labelCol": LABEL, "weightCol": WEIGHT, "rawPredictionCol": RAW}
     columns |= {"probabilityCol": PROBABILITY, "predictionCol": PREDICTION, "maxIter": max_iter, "tol": tol}
     model = logistic.as_model(
-        train.sparkSession, weights, intercepts, standardization=False, regParam=1.0 / c, family="multinomial", **columns
+        spark, weights, intercepts, standardization=False, regParam=1.0 / c, family="multinomial", **columns
     )
     model.training = training
     return model

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from reviewloom.functions import labels as L
 from reviewloom.operators import features as X
 from reviewloom.operators import metrics as V
+from reviewloom.operators import logistic
 from reviewloom.operators import models as M
 from reviewloom.operators import scoring as R
 from reviewloom.schema import LABELS
@@ -223,3 +224,35 @@ def test_text_mode_is_checked():
         M.model_text("A", "cooked")
     with pytest.raises(ValueError, match="text option"):
         M.model_text("C")
+
+
+def test_solver_sums_many_tasks_on_the_executors(texts, monkeypatch):
+    """With more tasks than any limit the driver still gets one vector a pass, and the minimum is the same."""
+    rows = M.training_rows(texts).withColumn("t", L.text_representation("A"))
+    vectors = M.balanced_weights(X.transform_features(X.fit_features(rows, "t", 1), rows, "t"))
+    tasks, sizes = [], []
+    total = logistic._total
+
+    def spied(packed, run, size):
+        tasks.append(packed.rdd.getNumPartitions())
+        partial = packed.mapInArrow(run, "block int, sums binary").groupBy("block").applyInArrow(logistic._sum_block, "block int, sums binary")
+        sizes.append(sum(len(r.sums) for r in partial.collect()) == 8 * size)
+        return total(packed, run, size)
+
+    one = M.fit_logistic(vectors, entries_per_task=10**9)
+    monkeypatch.setattr(logistic, "_total", spied)
+    many = M.fit_logistic(vectors, entries_per_task=1, max_iter=1)
+    assert min(tasks) > 1 and all(sizes)
+    monkeypatch.undo()
+    many = M.fit_logistic(vectors, entries_per_task=1)
+    assert many.training.converged and one.training.converged
+    assert np.abs(many.coefficientMatrix.toArray() - one.coefficientMatrix.toArray()).max() < 1e-2
+
+
+def test_curvature_saves_passes():
+    scale = np.logspace(0, 5, 400)
+    bowl = lambda p: (0.5 * (scale * (p - 1) ** 2).sum(), scale * (p - 1))
+    point, plain = logistic.minimise(bowl, np.zeros(400), 1000, 1e-6)
+    scaled, begun = logistic.minimise(bowl, np.zeros(400), 1000, 1e-6, scale)
+    assert begun.converged and begun.passes < plain.passes / 4
+    assert np.abs(scaled - 1).max() < 1e-5
