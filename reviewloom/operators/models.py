@@ -1,7 +1,9 @@
 """Training and selection of the sentiment model."""
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegressionModel, NaiveBayes, NaiveBayesModel
 from pyspark.ml.functions import vector_to_array
@@ -236,15 +238,18 @@ def run_experiments(
     min_df=X.MIN_DF,
     max_features=X.MAX_FEATURES,
     label="sentiment",
+    parallelism=3,
     **solver,
 ) -> DataFrame:
     """Fit every configuration on ``train`` and measure it on ``val``.
 
     One row per configuration. Configurations that read the same terms share
-    one staged feature table.
+    one staged feature table. ``parallelism`` fits run side by side, as a pass
+    of one alone leaves cores idle between its jobs.
     """
+    spark = train.sparkSession
     staged = {}
-    rows = []
+    fits = []
     for config in grid:
         started = time.monotonic()
         key = (config["text_option"], config["n_max"])
@@ -258,15 +263,21 @@ def run_experiments(
             ]
             sizes = {"n_features": len(X.feature_terms(fitted)), "n_train": vectors[0].count(), "n_val": vectors[1].count()}
             staged[key] = *vectors, sizes
-        fit_rows, val_rows, sizes = staged[key]
+        fits.append((config, *staged[key], time.monotonic() - started))
+
+    def measured(config, fit_rows, val_rows, sizes, seconds):
+        started = time.monotonic()
         classifier = fit_logistic(_weighted(fit_rows, config["class_weight"], label), **solver)
         scored = classifier.transform(val_rows).select(label, label_name(PREDICTION).alias("predicted_sentiment"))
         metrics = _metrics_row(scored, label)
         training = classifier.training
         ended = {"iterations": training.iterations, "converged": training.converged}
-        rows.append({**config, **sizes, **metrics, **ended, "fit_seconds": time.monotonic() - started})
+        return {**config, **sizes, **metrics, **ended, "fit_seconds": seconds + time.monotonic() - started}
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        rows = list(pool.map(inheritable_thread_target(spark)(lambda fit: measured(*fit)), fits))
     columns = list(rows[0])
-    return train.sparkSession.createDataFrame([tuple(r[c] for c in columns) for r in rows], columns)
+    return spark.createDataFrame([tuple(r[c] for c in columns) for r in rows], columns)
 
 
 def select_best(results: DataFrame) -> DataFrame:

@@ -256,3 +256,11 @@ def test_curvature_saves_passes():
     scaled, begun = logistic.minimise(bowl, np.zeros(400), 1000, 1e-6, scale)
     assert begun.converged and begun.passes < plain.passes / 4
     assert np.abs(scaled - 1).max() < 1e-5
+
+
+def test_experiments_side_by_side_are_those_in_a_row(texts):
+    train, val = texts.filter("review_id % 4 != 0"), texts.filter("review_id % 4 = 0")
+    kept = ["exp_no", "n_features", "n_train", "n_val", "accuracy", "macro_f1", "converged"]
+    grid = M.EXPERIMENTS[3:]
+    together, alone = (M.run_experiments(train, val, grid, parallelism=n, max_iter=2).select(kept).collect() for n in (2, 1))
+    assert together == alone
