@@ -128,29 +128,38 @@ def lemmatize(tokens) -> Column:
     return F.transform(_col(tokens), lambda t: F.regexp_replace(t, _SUFFIX, _SUFFIX_KEPT))
 
 
+#: Maps at most that hold the changes of a row.
+_SLOTS = 64
+
+
 def lemmatize_with_table(df, tokens, lemmas, id_col, out="lemmas"):
     """Replace tokens by the lemma a table gives (``token``, ``lemma``).
 
     Tokens the table does not list stay as they are; of several lemmas of a
     token the first by name counts. Each row sends the distinct tokens of its
-    own to the table, and only those that change come back, as a map that is
+    own to the table, and only those that change come back, as maps that are
     applied in place: token lists are not taken apart. A token of every row is
     joined by adaptive execution in several tasks, or to a broadcast table.
-    Rows are told apart by ``id_col`` and their tokens, so a repeated id does
-    no harm. Rows without tokens get an empty list.
+    Rows meet by a hash of ``id_col`` and their tokens, so a repeated id does
+    no harm; rows of one hash share a map of the tokens of both. Rows without
+    tokens get an empty list.
     """
     own = F.coalesce(_col(tokens), F.array().cast("array<string>"))
-    keyed = df.withColumn("_own", own).withColumn(
-        "_row", F.unhex(F.sha2(F.to_json(F.struct(F.col(id_col), F.col("_own"))).cast("binary"), 256))
-    )
+    keyed = df.withColumn("_own", own).withColumn("_row", F.xxhash64(F.col(id_col), F.col("_own")))
     one = lemmas.groupBy("token").agg(F.min("lemma").alias("lemma")).filter("lemma <> token")
-    words = keyed.select("_row", F.explode(F.array_distinct("_own")).alias("token")).distinct()
-    changes = (
-        words.join(one, "token")
-        .groupBy("_row")
-        .agg(F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_changes"))
-    )
-    replaced = F.transform("_own", lambda t: F.coalesce(F.element_at("_changes", t), t))
+    words = keyed.select("_row", F.explode(F.array_distinct("_own")).alias("token"))
+    listed = words.join(one, "token").withColumn("hash", F.xxhash64("token")).groupBy("_row")
+    listed = listed.agg(F.collect_set(F.struct("hash", "token", "lemma")).alias("_list"))
+    # a map is searched from its beginning: many changes are dealt to several
+    slots = F.least(F.lit(_SLOTS), F.ceil(F.size("_list") / 4)).cast("long")
+
+    def changed(slot):
+        entries = F.filter("_list", lambda e: F.pmod(e["hash"], slots) == slot)
+        return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["token"], e["lemma"])))
+
+    changes = listed.select("_row", F.transform(F.sequence(F.lit(0).cast("long"), slots - 1), changed).alias("_changes"))
+    slot = lambda t: F.pmod(F.xxhash64(t), F.size("_changes")).cast("int") + 1
+    replaced = F.transform("_own", lambda t: F.coalesce(F.element_at(F.element_at("_changes", slot(t)), t), t))
     return (
         keyed.join(changes, "_row", "left")
         .withColumn(out, F.when(F.col("_changes").isNull(), F.col("_own")).otherwise(replaced))

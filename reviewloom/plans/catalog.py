@@ -218,7 +218,7 @@ def suffix_lemmas(spark, sf_dir):
 @query
 def table_lemmas(spark, sf_dir):
     """Lemmas from a table: each token that ends in -e maps to its stem."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", TX.tokenize("text").alias("tokens"))
+    docs = stage(table(spark, sf_dir, "documents").select("doc_id", TX.tokenize("text").alias("tokens")), "tokens")
     lemmas = (
         docs.select(F.explode("tokens").alias("token"))
         .distinct()

@@ -71,3 +71,16 @@ def test_unknown_splits_and_labels_are_told(spark):
         G.split_leakage(df).collect()
     labels = spark.createDataFrame([("Neutral",), ("Invalid",), (None,)], "sentiment string")
     assert M.untrainable_rows(labels) == 2
+
+
+def test_lemma_table_with_many_changes_in_a_row(spark):
+    """Changes are dealt to several maps, and rows are neither written as JSON nor made distinct in a shuffle of their own."""
+    tokens = [f"w{i}" for i in range(3000)]
+    df = spark.createDataFrame([(1, tokens), (1, tokens), (2, tokens[:3]), (None, tokens[::7])], "id long, tokens array<string>")
+    lemmas = spark.createDataFrame([(t, t + "x") for t in tokens[::2]], "token string, lemma string")
+    out = lemmatize_with_table(df, "tokens", lemmas, "id")
+    known = set(tokens[::2])
+    got = out.collect()
+    assert len(got) == 4 and all(r.lemmas == [t + "x" if t in known else t for t in r.tokens] for r in got)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json" not in plan and "collect_set" in plan and "pmod" in plan
