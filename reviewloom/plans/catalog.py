@@ -558,13 +558,13 @@ def ngram_lists(spark, sf_dir):
 
 @query
 def vocabulary(spark, sf_dir):
-    return X.vocabulary(X.with_terms(_texts(spark, sf_dir), "text", 2))
+    return X.vocabulary(X.with_terms(_texts(spark, sf_dir), "text", 1), n_max=2)
 
 
 @query
 def vocabulary_prefiltered(spark, sf_dir):
     """The same through hash cells."""
-    return X.vocabulary(X.with_terms(_texts(spark, sf_dir), "text", 2), prefilter_cells=2**22)
+    return X.vocabulary(X.with_terms(_texts(spark, sf_dir), "text", 1), prefilter_cells=2**22, n_max=2)
 
 
 @query

@@ -86,6 +86,24 @@ def test_vocabulary_cut_breaks_ties_by_term(spark):
     assert X.vocabulary(df, min_df=2, max_features=None).count() == 3
 
 
+def test_runs_are_counted_in_blocks_as_in_lists(spark, monkeypatch):
+    lists = [["a", "b", "a", "b"], [], None, ["b"], ["a", "b", "c"], ["é", "a", "b", "é", "a", "b"]]
+    df = spark.createDataFrame([(w,) for w in lists], "words array<string>").coalesce(1)
+    df_of, cf_of = Counter(), Counter()
+    for words in filter(None, lists):
+        runs = [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
+        cf_of.update(runs)
+        df_of.update(set(runs))
+    for most in (1, 5, 1000):
+        monkeypatch.setattr(X, "COUNTED_AT_ONCE", most)
+        got = {r.term: (r.df, r.cf) for r in X.vocabulary(df, "words", 1, None, n_max=3).collect()}
+        assert got == {t: (df_of[t], cf_of[t]) for t in cf_of}
+    # a block sends one row for each of its terms, however often they occur
+    assert X.partial_counts(df, "words", 3).count() == len(cf_of)
+    filtered = X.vocabulary(df, "words", 2, None, prefilter_cells=2**10, n_max=3).collect()
+    assert {r.term for r in filtered} == {t for t in cf_of if df_of[t] >= 2}
+
+
 def test_vectors_have_length_one_or_zero(texts):
     model = X.fit_features(texts, "review_body", 2)
     for features in (
