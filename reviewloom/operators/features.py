@@ -7,11 +7,7 @@ shuffle.
 """
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
 from pyspark.ml.linalg import Vectors, VectorUDT
@@ -19,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewloom.operators import term_counts
 from reviewloom.session import stage, stage_path
 
 TEXT, WORDS, TERMS, TF, WEIGHTED, FEATURES = (
@@ -28,9 +25,6 @@ TEXT, WORDS, TERMS, TF, WEIGHTED, FEATURES = (
 MAX_FEATURES, MIN_DF = 50_000, 2
 LEGACY_MAX_FEATURES, LEGACY_MIN_DF = 10_000, 1
 
-#: Words that a task holds to count their terms; a longer row is held whole.
-COUNTED_AT_ONCE = 1_000_000
-
 
 def _words_sql(text):
     # a split takes two thirds of the time that regexp_extract_all takes for the same words
@@ -69,58 +63,6 @@ def with_terms(df: DataFrame, text: str, n_max=1, out="terms") -> DataFrame:
     return df.withColumn("_words", term_tokens(text)).withColumn(out, ngrams("_words", n_max)).drop("_words")
 
 
-def _tally(terms, code, rows):
-    """(term, df, cf) of the terms with these numbers in these rows."""
-    size = len(terms)
-    places = np.sort(rows * size + code)
-    found = places[np.diff(places, prepend=-1) != 0] % max(size, 1)
-    counts = [pa.array(np.bincount(c, minlength=size).astype(np.int64)) for c in (found, code)]
-    return pa.RecordBatch.from_arrays([terms, *counts], names=["term", "df", "cf"])
-
-
-def _count_block(lists, n_max):
-    """(term, df, cf) of some rows, given as an array of word lists; one batch for each length of runs."""
-    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-    rows = np.repeat(np.arange(len(lists)), lengths)
-    words = lists.flatten().dictionary_encode("encode")
-    names, word = words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    yield _tally(names, word, rows)
-    terms, code, starts = names, word, np.arange(len(word))
-    for n in range(2, n_max + 1):
-        whole = starts + (n - 1) < len(word)
-        whole[whole] = rows[starts[whole]] == rows[starts[whole] + n - 1]
-        starts, code = starts[whole], code[whole]
-        # numbers stand for the words, so that a run is one number, and only distinct ones become text
-        pairs, code = np.unique(code * len(names) + word[starts + n - 1], return_inverse=True)
-        parts = [values.take(pa.array(i)) for values, i in ((terms, pairs // max(len(names), 1)), (names, pairs % max(len(names), 1)))]
-        terms = pc.binary_join_element_wise(*parts, " ", null_handling="skip")
-        yield _tally(terms, code, rows[starts])
-
-
-def _count_in_blocks(n_max):
-    most = COUNTED_AT_ONCE
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words = [], 0
-        for batch in batches:
-            lists = batch.column(0) if n_max == 1 else pc.split_pattern(batch.column(0), " ")
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-            start = 0
-            while start < len(lists):
-                before = ends[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(ends, before + (most - words), "right")))
-                held.append(lists.slice(start, stop - start))
-                words += int(ends[min(stop, len(ends)) - 1] - before)
-                start = stop
-                if words >= most or start < len(lists):
-                    yield from _count_block(pa.chunked_array(held).combine_chunks(), n_max)
-                    held, words = [], 0
-        if words:
-            yield from _count_block(pa.chunked_array(held).combine_chunks(), n_max)
-
-    return count
-
-
 def partial_counts(df: DataFrame, terms: str, n_max=1) -> DataFrame:
     """(term, df, cf): rows with the term and its occurrences, each in a block of rows; to be summed.
 
@@ -129,7 +71,7 @@ def partial_counts(df: DataFrame, terms: str, n_max=1) -> DataFrame:
     """
     # words go to Python as one text, in a fraction of the time that a list of them takes
     sent = F.col(terms) if n_max == 1 else F.nullif(F.array_join(terms, " "), F.lit(""))
-    return df.select(sent).mapInArrow(_count_in_blocks(n_max), "term string, df bigint, cf bigint")
+    return df.select(sent).mapInArrow(term_counts.count_in_blocks(n_max), "term string, df bigint, cf bigint")
 
 
 def frequent_cells(df: DataFrame, terms: str, min_df: int, cells: int, n_max=1) -> DataFrame:
@@ -201,19 +143,20 @@ def idf(terms: DataFrame, n_documents) -> DataFrame:
 
 
 def fit_features(
-    train: DataFrame, text: str, n_max=2, min_df=MIN_DF, max_features=MAX_FEATURES
+    train: DataFrame, text: str, n_max=2, min_df=MIN_DF, max_features=MAX_FEATURES, staged=False
 ) -> PipelineModel:
     """Fit vocabulary and weights on ``train``; apply with ``transform_features``.
 
     The stages: words, terms, counts, times idf, scaled to length 1. Terms are
-    numbered alphabetically. The texts are staged once as a narrow table, which
-    the vocabulary and the number of documents are read from. The driver holds
+    numbered alphabetically. The texts are staged once as a narrow table, unless ``train``
+    is ``staged`` already, and the vocabulary and the number of documents are read from there. The driver holds
     the vocabulary, so ``max_features`` has to bound it.
     """
     if not max_features:
         raise ValueError("max_features has to bound the vocabulary")
     stages = _term_stages(n_max)
-    texts = stage(train.select(F.col(text).alias(TEXT)), "texts")
+    texts = train.select(F.col(text).alias(TEXT))
+    texts = texts if staged else stage(texts, "texts")
     rows = vocabulary(PipelineModel(stages[:1]).transform(texts), WORDS, min_df, max_features, n_max=n_max).collect()
     if not rows:
         raise ValueError("no term occurs in enough documents")

@@ -189,11 +189,13 @@ def fit_sentiment_model(
     """Features and classifier in one pipeline, and the settings its scorer needs.
 
     ``classifier``: ``logistic``, with the options of ``fit_logistic``, or
-    ``naive_bayes``, which is one pass and takes no class weights. The vectors are staged once: the solver then reads them in every iteration
-    without building the features again, whatever executors are lost.
+    ``naive_bayes``, which is one pass and takes no class weights. The texts are staged once, so that rows are prepared and preprocessed
+    once for the vocabulary and the vectors. The vectors are staged once as well: the solver then reads them in every
+    iteration without building the features again, whatever executors are lost.
     """
     rows = training_rows(train, label).select(F.col(label), LABEL, model_text(text_option, text_mode).alias("_text"))
-    features = X.fit_features(rows, "_text", n_max, min_df, max_features)
+    rows = stage(rows, "model-texts")
+    features = X.fit_features(rows, "_text", n_max, min_df, max_features, staged=True)
     vectors = stage(X.transform_features(features, rows, "_text").select(label, LABEL, X.FEATURES), "vectors")
     if classifier == "naive_bayes":
         fitted, class_weight = fit_naive_bayes(vectors, **solver), "none"

@@ -95,7 +95,7 @@ def test_runs_are_counted_in_blocks_as_in_lists(spark, monkeypatch):
         cf_of.update(runs)
         df_of.update(set(runs))
     for most in (1, 5, 1000):
-        monkeypatch.setattr(X, "COUNTED_AT_ONCE", most)
+        monkeypatch.setattr(X.term_counts, "COUNTED_AT_ONCE", most)
         got = {r.term: (r.df, r.cf) for r in X.vocabulary(df, "words", 1, None, n_max=3).collect()}
         assert got == {t: (df_of[t], cf_of[t]) for t in cf_of}
     # a block sends one row for each of its terms, however often they occur
@@ -282,3 +282,19 @@ def test_experiments_side_by_side_are_those_in_a_row(texts):
     grid = M.EXPERIMENTS[3:]
     together, alone = (M.run_experiments(train, val, grid, parallelism=n, max_iter=2).select(kept).collect() for n in (2, 1))
     assert together == alone
+
+
+def test_training_texts_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        made.add(1)
+        return text
+
+    rows = [(i, "Positive" if i % 2 else "Negative", f"good{i % 3} words here {i % 2}") for i in range(30)]
+    df = spark.createDataFrame(rows, "review_id int, sentiment string, text string")
+    train = df.withColumn("review_title", F.lit("t")).withColumn("review_body", counted("text"))
+    model, settings = M.fit_sentiment_model(train, classifier="naive_bayes", text_mode="processed", min_df=1)
+    assert made.value == len(rows)
+    assert settings["vocabulary_size"] == len(X.feature_terms(model)) and settings["untrainable_rows"] == 0
