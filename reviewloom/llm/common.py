@@ -44,7 +44,10 @@ def in_order(column) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes=8_000_000) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that one holds little more than ``most_bytes`` of ``text``."""
+    """The batches cut so that one holds little more than ``most_bytes`` of ``text``.
+
+    A worker lives on after its task: what Arrow has set free with each batch goes back to the machine.
+    """
     for batch in batches:
         sizes = pa.compute.binary_length(batch.column(text)).to_pylist()
         start = held = 0
@@ -55,6 +58,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes=8_000_000) -
             held += size or 0
         if start < len(sizes):
             yield batch.slice(start)
+        pa.default_memory_pool().release_unused()
 
 
 def record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

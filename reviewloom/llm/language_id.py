@@ -276,13 +276,18 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of ``docs`` whose language is not rejected, all columns; no shuffle."""
     model = model or fit_language_model(docs)
 
+    def with_text(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = pa.compute.struct_field(batch.column("row"), "text")
+        return batch.append_column("text", texts.cast(pa.binary()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(map(with_text, batches), "text"):
             keep = []
             for raw in batch.column("text").to_pylist():
-                text = raw.decode("utf-8", "replace")
+                text = (raw or b"").decode("utf-8", "replace")
                 keep.append(bool(model.labels) and has_letter(text) and bool(model.probabilities(text).max() >= model.limit))
             yield batch.select(["row"]).filter(pa.array(keep))
 
+    # the text goes to Python within its row alone, not a second time beside it
     rows = whole_rows(docs)
-    return rows.withColumn("text", utf8("row.text")).mapInArrow(run, rows.schema).select("row.*")
+    return rows.mapInArrow(run, rows.schema).select("row.*")

@@ -178,7 +178,7 @@ def _tokenize(path, capacity, end_id):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_ids = _word_ids(path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4_000_000):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), word_ids.of_all(batch.column("text")), strict=True):
                 ids += end

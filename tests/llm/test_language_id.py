@@ -137,3 +137,30 @@ def test_probabilities_equal_a_forward_pass():
         found = max(1, len(plain_ngrams(text)))
         e = [math.exp(x / found / 0.7) for x in logits]
         assert np.allclose(model.probabilities(text), [x / sum(e) for x in e])
+
+
+def test_a_text_goes_to_python_once(documents, awkward, model):
+    left = language_id.keep_identified(documents(awkward), model)
+    plan = left._jdf.queryExecution().optimizedPlan()
+    while "MapInArrow" not in plan.getClass().getName():
+        plan = plan.children().head()
+    assert plan.child().output().size() == 1
+    stay = [r.doc_id for r in language_id.identify_languages(documents(awkward), model).collect() if not r.rejected]
+    assert sorted((r.doc_id for r in left.collect()), key=repr) == sorted(stay, key=repr)
+
+
+def test_slices_give_free_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    from reviewloom.llm import common
+
+    returned = []
+
+    class Pool:
+        def release_unused(self):
+            returned.append(True)
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    batch = pa.RecordBatch.from_arrays([pa.array([b"abc", None, b"defg", b""], pa.binary())], names=["text"])
+    assert [s.num_rows for s in common.slices(iter([batch, batch]), "text", 4)] == [2, 2, 2, 2]
+    assert len(returned) == 2
