@@ -433,7 +433,15 @@ def keyword_table_by_class(df: DataFrame, keywords: DataFrame, words: str, label
 
 
 def _runs(words, n):
-    """All runs of ``n`` words of a list, joined by spaces."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    """All runs of ``n`` words of a list, joined by spaces.
+
+    Single words stay as they are, and short runs take their words by place: a slice a run takes several times as long.
+    """
+    if n == 1:
+        return F.coalesce(words, F.array().cast("array<string>"))
+    if n <= 8:
+        run = lambda word, i: F.concat_ws(" ", word, *[F.get(words, i + k) for k in range(1, n)])
+    else:
+        run = lambda word, i: F.array_join(F.slice(words, i + 1, n), " ")
+    runs = F.when(F.size(words) >= n, F.transform(F.slice(words, F.lit(1), F.size(words) - (n - 1)), run))
     return F.coalesce(runs, F.array().cast("array<string>"))
