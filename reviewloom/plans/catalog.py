@@ -1080,15 +1080,27 @@ def _timed_turns(spark, sf_dir):
     )
 
 
+#: Turns of a span of time that one file of the stream holds, as long as there are fewer files than shuffle partitions.
+ROWS_PER_FILE = 2_000
+
+
 def _arriving(spark, turns, parts, order):
-    """The turns as a stream of files, one a micro-batch: equal spans of time in the given order."""
+    """The turns as a stream of files: equal spans of time in the given order, each one micro-batch.
+
+    Each span is written by several tasks and read by several. The stream takes the same number of files a
+    micro-batch, so empty files fill up a span with fewer.
+    """
     folder = stage_path(spark, "arriving-turns")
     place = F.col("time").cast("long")
-    bounds = turns.agg(F.min(place).alias("low"), (F.max(place) + 1).alias("high")).first()
+    bounds = turns.agg(F.min(place).alias("low"), (F.max(place) + 1).alias("high"), F.count("time").alias("rows")).first()
     number = F.floor((place - bounds.low) * parts / (bounds.high - bounds.low))
-    for i in order:
-        turns.filter(number == i).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    files = max(1, min(bounds.rows // parts // ROWS_PER_FILE, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    for done, i in enumerate(order, 1):
+        turns.filter(number == i).repartition(files).write.mode("append").parquet(folder)
+        written = len(spark.read.schema(turns.schema).parquet(folder).inputFiles())
+        for _ in range(done * files - written):
+            spark.createDataFrame([], turns.schema).write.mode("append").parquet(folder)
+    return spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def _epochs(df):

@@ -11,7 +11,7 @@ from reviewloom.operators import incremental as I
 from reviewloom.operators import metrics as V
 from reviewloom.operators import sketches as K
 from reviewloom.operators.cleaning import clean_reviews
-from reviewloom.plans import review_run
+from reviewloom.plans import catalog, review_run
 from reviewloom.plans.manifest import Stages, table_digest
 from reviewloom.plans.sample_reviews import sample_reviews
 from reviewloom.schema import LABELS
@@ -171,6 +171,35 @@ def test_keyword_tables_hold_phrases(spark):
     assert V.keyword_table_by_class(df, keywords.limit(0), "words").count() == 0
 
 
+def test_short_runs_are_not_sliced_one_by_one(spark):
+    words = ["a", None, "b", "", "c d", "e", "f", "g", "h", "i", "j"]
+    df = spark.createDataFrame([(words,), (["a"],), ([],), (None,)], "words array<string>")
+    for n in (1, 2, 3, 8, 9, 11, 12):
+        runs = V._runs("words", n)
+        assert n > 8 or "array_join" not in str(runs)
+        expected = [" ".join(w for w in words[i : i + n] if w is not None) for i in range(len(words) - n + 1)]
+        got = [[w or "" for w in r[0]] for r in df.select(runs).collect()]
+        assert got == [expected, ["a"] if n == 1 else [], [], []]
+
+
+def test_a_span_of_time_is_several_files_and_one_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "ROWS_PER_FILE", 10)
+    # the second of four spans has a single row, so that it is short of files
+    seconds = [*range(100), 150, *range(200, 400), None]
+    turns = spark.createDataFrame([(s, "t") for s in seconds], "s long, text string").select(F.timestamp_seconds("s").alias("time"), "text")
+    stream = catalog._arriving(spark, turns, 4, (2, 0, 3, 1))
+    found = []
+
+    def note(batch, number):
+        files = batch.select(F.input_file_name()).distinct().count()
+        found.append((files, *batch.agg(F.min(F.unix_timestamp("time")), F.max(F.unix_timestamp("time")), F.count("text")).first()))
+
+    stream.writeStream.foreachBatch(note).option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start().awaitTermination()
+    spans = [(200, 299, 100), (0, 99, 100), (300, 399, 100), (150, 150, 1)]
+    assert [f[1:] for f in found] == spans
+    assert all(f[0] > 1 for f in found[:3])
+
+
 class Killed(Exception):
     pass
 
