@@ -33,7 +33,9 @@ PATIENCE, EPOCHS = 2, 40
 FULL = 0.995
 #: Rounds at most, should each go on to save sequences.
 ROUNDS = 20
-#: Odd parts of texts and words whose ids a worker remembers (in each of two generations), and their longest.
+#: Bytes of texts that a task is sent, and looks up, at once; it holds a longer text whole.
+SLICE = 4_000_000
+#: Odd parts of texts and words whose ids a worker remembers, and their longest.
 _CACHE_PARTS, _CACHE_WORDS, _CACHE_LENGTH = 50_000, 250_000, 64
 
 _PIECES = pa.schema(
@@ -53,25 +55,33 @@ def _byte_letters():
 _BYTE_LETTERS = _byte_letters()
 
 
-class _Recent:
-    """A cache of two generations: what was used since the last turn outlives the next one."""
+class _Known:
+    """Ids of words, as Arrow arrays of a few bytes a word: a worker lives on after its task, and so do these.
 
-    def __init__(self, size):
-        self.size, self.new, self.old = size, {}, {}
-
-    def missing(self, keys):
-        """The keys that neither generation has; those of the old one are taken over."""
-        absent, new, old = [], self.new, self.old
-        for key in [k for k in keys if k not in new]:
-            if key in old:
-                new[key] = old[key]
-            else:
-                absent.append(key)
-        return absent
+    Of more than ``size`` words, at most half stay: those that were in more slices than the median word.
+    """
 
-    def turn(self):
-        if len(self.new) > self.size:
-            self.old, self.new = self.new, {}
+    def __init__(self, size):
+        self.size = size
+        self.words, self.ids, self.uses = pa.array([], pa.string()), pa.array([], pa.large_binary()), np.zeros(0, np.int64)
+
+    def of(self, words: pa.Array, encode) -> pa.Array:
+        """The ids of distinct words; those not known are learned in one go."""
+        found = pa.compute.index_in(words, value_set=self.words)
+        unknown = words.filter(found.is_null())
+        learned = pa.array(encode(unknown.to_pylist()), pa.large_binary())
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        self.uses[at[at >= 0]] += 1
+        at[at < 0] = len(self.words) + np.arange(len(unknown))
+        ids = pa.concat_arrays([self.ids, learned]).take(pa.array(at))
+        short = pa.compute.less_equal(pa.compute.utf8_length(unknown), _CACHE_LENGTH)
+        self.words = pa.concat_arrays([self.words, unknown.filter(short)])
+        self.ids = pa.concat_arrays([self.ids, learned.filter(short)])
+        self.uses = np.append(self.uses, np.ones(len(self.words) - len(self.uses), np.int64))
+        if len(self.words) > self.size:
+            stay = self.uses > np.median(self.uses)
+            self.words, self.ids, self.uses = self.words.filter(stay), self.ids.filter(stay), self.uses[stay] // 2
+        return ids
 
 
 class WordIds:
@@ -94,7 +104,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         # special tokens inside a text are found as such, whatever stands around them
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.parts, self.words = _Recent(_CACHE_PARTS), _Recent(_CACHE_WORDS)
+        self.parts, self.words = _Known(_CACHE_PARTS), _Known(_CACHE_WORDS)
 
         self.direct = True  # whether the merges alone, over the byte-level alphabet, give the same ids
         probes = ["the", "tokenizer", "qzx", ",", "!!)", "stra\u00dfe", "\u00e9\u00e8"]
@@ -118,28 +128,18 @@ class WordIds:
         ids = np.array(found, "<u4").tobytes()
         return [ids[i:j] for i, j in zip(ends, ends[1:])]
 
-    def _known(self, cache, keys, encode) -> pa.Array:
-        """The ids of distinct keys; those not in the cache are learned in one go."""
-        unknown = cache.missing(keys)
-        cache.new.update(zip(unknown, encode(unknown), strict=True))
-        ids = pa.array([cache.new[k] for k in keys], pa.large_binary())
-        for key in [k for k in unknown if len(k) > _CACHE_LENGTH]:
-            del cache.new[key]
-        cache.turn()
-        return ids
-
     def _of_parts(self, parts: pa.Array) -> pa.Array:
         """The ids of distinct parts without white space."""
         cut = pa.compute.extract_regex(parts, pattern=self._word)
         letters, marks = (pa.compute.struct_field(cut, [i]).dictionary_encode() for i in (0, 1))
         lower = pa.compute.utf8_lower(letters.dictionary).dictionary_encode()
-        word_ids = self._known(self.words, lower.dictionary.to_pylist(), self._encode_plain).take(lower.indices.take(letters.indices))
-        mark_ids = self._known(self.words, marks.dictionary.to_pylist(), self._encode_plain).take(marks.indices)
+        word_ids = self.words.of(lower.dictionary, self._encode_plain).take(lower.indices.take(letters.indices))
+        mark_ids = self.words.of(marks.dictionary, self._encode_plain).take(marks.indices)
         ids = pa.compute.binary_join_element_wise(word_ids, mark_ids, pa.scalar(b"", pa.large_binary()))
         whole = cut.is_null()
         if not pa.compute.any(whole).as_py():
             return ids
-        other = self._known(self.parts, parts.filter(whole).to_pylist(), self._encode)
+        other = self.parts.of(parts.filter(whole), self._encode)
         return pa.compute.replace_with_mask(ids, whole, other)
 
     def of_all(self, texts: pa.Array) -> list[bytes]:
@@ -178,7 +178,7 @@ def _tokenize(path, capacity, end_id):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_ids = _word_ids(path)
-        for batch in slices(batches, "text", 4_000_000):
+        for batch in slices(batches, "text", SLICE):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), word_ids.of_all(batch.column("text")), strict=True):
                 ids += end
@@ -431,6 +431,6 @@ def pack_documents(docs: DataFrame, tokenizer_path, capacity=CAPACITY, end_id=EN
     columns are not read.
     """
     pieces = document_pieces(docs, tokenizer_path, capacity, end_id)
-    pieces = stage(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    pieces = stage(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces", SLICE)
     placed = pack(pieces.select("row", "length"), capacity, chunk)
     return pieces.join(placed, "row").drop("row")

@@ -10,6 +10,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting for the bytes of a batch that goes to Python.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def local_session(cores="*", shuffle_partitions=8, app_name="reviewloom", **conf):
     """A session for tests and the bench; a cluster brings its own."""
@@ -60,13 +63,22 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{stage_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, batch_bytes=None) -> DataFrame:
     """Write ``df`` once and read it back.
 
     This cuts the lineage, survives lost executors, and gives the planner the
     true size of the table, so that it broadcasts only what is really small.
+    Meanwhile Spark sends little more than ``batch_bytes`` to Python at once;
+    the session's own setting holds if none are given, and again afterwards.
     """
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_BYTES)
+    try:
+        if batch_bytes:
+            spark.conf.set(BATCH_BYTES, str(batch_bytes))
+        df.write.parquet(path)
+    finally:
+        if batch_bytes:
+            spark.conf.set(BATCH_BYTES, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,13 +1,17 @@
+import gc
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from reviewloom.llm import packing
 from reviewloom.llm.common import tokenizer_path
+from reviewloom.session import BATCH_BYTES
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +61,62 @@ def test_ids_are_those_of_the_tokenizer(tokenizer):
         assert np.frombuffer(ids.of(text.encode()), "<u4").tolist() == expected, repr(text)
 
 
+def test_known_words_take_little_memory(tokenizer):
+    words = [f"{''.join(chr(97 + int(d)) for d in str(i))}" for i in range(100_000, 300_000)]
+    ids = packing.WordIds(tokenizer_path())
+    gc.collect()
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    for i in range(0, len(words), 10_000):
+        ids.of_all(pa.array([" ".join(words[i : i + 10_000]).encode()], pa.binary()))
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert held < 64 * len(words)
+    assert np.frombuffer(ids.of(words[-1].encode()), "<u4").tolist() == tokenizer.encode(words[-1], add_special_tokens=False).ids
+
+
+def test_known_words_are_bounded_and_those_in_use_stay():
+    asked = []
+
+    def encode(words):
+        asked.extend(words)
+        return [w.encode() for w in words]
+
+    known = packing._Known(100)
+    for turn in range(40):
+        words = ["often", "a" * 65, *(f"{turn}-{i}" for i in range(30))]
+        assert known.of(pa.array(words), encode).to_pylist() == [w.encode() for w in words]
+        assert len(known.words) == len(known.ids) == len(known.uses) <= 100
+    assert asked.count("often") == 1 and asked.count("a" * 65) == 40
+    assert known.of(pa.array([], pa.string()), encode).to_pylist() == []
+    one_at_once = packing._Known(2)
+    assert one_at_once.of(pa.array(["a", "b", "c"]), encode).to_pylist() == [b"a", b"b", b"c"]
+    assert len(one_at_once.words) == 0
+
+
+def test_texts_are_sent_in_small_batches(spark, documents, monkeypatch, tokenizer):
+    sent = packing._tokenize
+
+    def small(path, capacity, end_id):
+        run = sent(path, capacity, end_id)
+
+        def checked(batches):
+            for batch in batches:
+                assert batch.num_rows < 10, batch.num_rows
+                yield from run(iter([batch]))
+
+        return checked
+
+    monkeypatch.setattr(packing, "_tokenize", small)
+    before = spark.conf.get(BATCH_BYTES)
+    rows = [(i, "ab " * 300_000) for i in range(12)] + [(12, None), (13, "ab " * 2_000_000)]
+    got = packing.pack_documents(documents(rows).coalesce(1), tokenizer_path()).groupBy("doc_id").sum("length").collect()
+    one = len(tokenizer.encode("ab", add_special_tokens=False).ids)
+    assert sorted(map(tuple, got)) == [(i, 300_000 * one + 1) for i in range(12)] + [(12, 1), (13, 2_000_000 * one + 1)]
+    assert spark.conf.get(BATCH_BYTES) == before
+
+
 def test_many_chunks_and_rounds(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice([rng.randint(1, 900), rng.randint(500, 1000), 1000])) for i in range(2500)]
