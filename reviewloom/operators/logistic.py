@@ -11,25 +11,37 @@ directions of their size. The fitted model is Spark ML's.
 """
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.common import _py2java
 from pyspark.ml.linalg import DenseMatrix, Vectors
 from pyspark.ml.util import Identifiable
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-#: Steps the method remembers, weights whose gradient is one row of a partial sum, and rows packed as one.
-MEMORY, BLOCK, PACK = 20, 2**15, 2000
+from reviewloom.operators.logistic_rows import BLOCK, PACKED, _pass, _squares, _sum_block, pack
+from reviewloom.session import BATCH_BYTES, batches_of, drop_table, stage_path
+
+#: Steps the method remembers.
+MEMORY = 60
+#: Bytes that go to Python at once, and that are written and read of a staged file at once.
+AT_ONCE = 4 * 2**20
+#: Tasks that add up the blocks of a pass.
+SUMMING_TASKS = 5
+#: Few rows are some megabytes: Parquet's writer, which looks at its buffers every 100 rows, has to look at each.
+ROW_GROUPS = {
+    "parquet.block.size": AT_ONCE,
+    "parquet.page.size": AT_ONCE,
+    "parquet.block.size.row.check.min": 1,
+    "parquet.block.size.row.check.max": 1,
+    "parquet.page.size.row.check.min": 1,
+    "parquet.page.size.row.check.max": 1,
+    "parquet.enable.dictionary": "false",
+}
 #: A task has this many entries at least, as long as the cores have two tasks each.
 ENTRIES_PER_TASK = 250_000
-_PARTIAL = pa.schema([("block", pa.int32()), ("sums", pa.binary())])
-_PACKED = pa.schema([("labels", pa.binary()), ("weights", pa.binary()), ("lengths", pa.binary()), ("indices", pa.binary()), ("values", pa.binary())])
-PACKED = ", ".join(f"{name} binary" for name in _PACKED.names)
-_TYPES = (np.int32, float, np.int32, np.int32, float)
 
 
 @dataclass(frozen=True)
@@ -42,73 +54,6 @@ class Training:
     converged: bool
 
 
-def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (label, weight, indices, values) as few rows of plain numbers, which every pass reads without taking lists apart."""
-    for whole in batches:
-        for start in range(0, whole.num_rows, PACK):
-            batch = whole.slice(start, PACK)
-            indices, values = batch.column("indices"), batch.column("values")
-            lengths = np.diff(indices.offsets.to_numpy())
-            columns = (batch.column("label"), batch.column("weight"), lengths, indices.flatten(), values.flatten())
-            packed = [np.asarray(c).astype(t).tobytes() for c, t in zip(columns, _TYPES, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in packed], schema=_PACKED)
-
-
-def _unpack(batches):
-    for batch in batches:
-        for row in zip(*batch.columns, strict=True):
-            label, weight, lengths, index, value = (np.frombuffer(c.as_buffer(), t) for c, t in zip(row, _TYPES, strict=True))
-            yield label, weight, np.repeat(np.arange(len(label)), lengths), index, value
-
-
-def _blocks(out):
-    sums = [out[s : s + BLOCK].tobytes() for s in range(0, len(out), BLOCK)]
-    return pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums, pa.binary())], schema=_PARTIAL)
-
-
-def _squares(width):
-    """The weighted sum of squares of each column."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(width)
-        for _, weight, row, index, value in _unpack(batches):
-            out += np.bincount(index, weight[row] * value * value, width)
-        yield _blocks(out)
-
-    return run
-
-
-def _pass(shared, n_classes):
-    """Loss and gradient of a task's rows, as blocks of one long vector: loss, intercepts, then weights class by class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, intercepts = shared.value
-        width = weights.shape[1]
-        out = np.zeros(1 + n_classes * (1 + width))
-        for label, weight, row, index, value in _unpack(batches):
-            n = len(label)
-            logits = np.stack([np.bincount(row, value * weights[k][index], n) + intercepts[k] for k in range(n_classes)])
-            top = logits.max(axis=0)
-            e = np.exp(logits - top)
-            total = e.sum(axis=0)
-            out[0] += (weight * (top + np.log(total) - logits[label, np.arange(n)])).sum()
-            error = e / total
-            error[label, np.arange(n)] -= 1
-            error *= weight
-            out[1 : 1 + n_classes] += error.sum(axis=1)
-            for k in range(n_classes):
-                at = 1 + n_classes + k * width
-                out[at : at + width] += np.bincount(index, value * error[k][row], width)
-        yield _blocks(out)
-
-    return run
-
-
-def _sum_block(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(b, float) for b in table.column("sums").to_pylist())
-    return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], schema=_PARTIAL)
-
-
 def _total(packed: DataFrame, run, size) -> np.ndarray:
     """The sum of the tasks' vectors. It is taken by block on the executors: the driver gets one vector, however many the tasks are."""
     partial = packed.mapInArrow(run, "block int, sums binary").groupBy("block").applyInArrow(_sum_block, "block int, sums binary")
@@ -141,6 +86,8 @@ def minimise(evaluate, point, max_iter, tol, curvature=1.0):
 
     ``curvature``: an estimate of the second derivative of each entry. Entries
     differ by orders of magnitude, the more so the more rows there are to one penalty.
+    Many steps are remembered, which saves passes, and in single precision, which a
+    direction can do with: the point, the loss and the gradient are never rounded.
     """
     loss, gradient = evaluate(point)
     passes, iterations, moves = 1, 0, []
@@ -170,13 +117,35 @@ def minimise(evaluate, point, max_iter, tol, curvature=1.0):
             break
         s, y = -step * direction, new_gradient - gradient
         if s @ y > 1e-16:
-            moves = [*moves, (s, y, 1 / (s @ y))][-MEMORY:]
+            moves = [*moves, (s.astype(np.float32), y.astype(np.float32), 1 / (s @ y))][-MEMORY:]
         point, loss, gradient = point + s, new_loss, new_gradient
         iterations += 1
     largest = float(np.abs(gradient).max())
     return point, Training(passes, iterations, largest, largest <= tol)
 
 
+@contextmanager
+def staged(packed: DataFrame) -> Iterator[DataFrame]:
+    """Rows by ``pack``, written once and removed in the end.
+
+    They are read in a session of its own: its settings hold for the passes alone,
+    of which each is one small job, with a task or two for each core.
+    """
+    spark = packed.sparkSession
+    path = stage_path(spark, "solver-rows")
+    with batches_of(spark, AT_ONCE):
+        packed.write.options(**ROW_GROUPS).parquet(path)
+    own = spark.newSession()
+    own.conf.set(BATCH_BYTES, str(AT_ONCE))
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    own.conf.set("spark.sql.shuffle.partitions", str(SUMMING_TASKS))
+    own.conf.set("spark.sql.files.maxPartitionBytes", "1g")
+    try:
+        yield own.read.schema(packed.schema).parquet(path)
+    finally:
+        drop_table(spark, path)
+
+
 def fit(packed: DataFrame, mass, width: int, penalty: float, max_iter: int, tol: float):
     """Weights (class, column), intercepts and the ``Training``. ``packed``: rows by ``pack``, staged; ``mass``: the weight of each class."""
     mass = np.array(mass, float)

@@ -6,12 +6,15 @@ that folder when a run has written its results.
 """
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's setting for the bytes of a batch that goes to Python.
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CHANGING = threading.RLock()
 
 
 def local_session(cores="*", shuffle_partitions=8, app_name="reviewloom", **conf):
@@ -54,8 +57,7 @@ def stage_root(spark: SparkSession) -> str:
 def drop_staged(spark: SparkSession):
     """Remove all that this application has staged. Tables read from there are gone."""
     sc = spark.sparkContext
-    folder = sc._jvm.org.apache.hadoop.fs.Path(f"{stage_root(spark)}/{sc.applicationId}")
-    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+    drop_table(spark, f"{stage_root(spark)}/{sc.applicationId}")
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
@@ -63,22 +65,41 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{stage_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, batch_bytes=None) -> DataFrame:
+@contextmanager
+def batches_of(spark: SparkSession, batch_bytes=None):
+    """Meanwhile Spark sends little more than ``batch_bytes`` to Python at once; the session's own setting holds if none are given.
+
+    The setting is the session's, so threads that change it wait for each other.
+    """
+    if not batch_bytes:
+        yield
+        return
+    with _CHANGING:
+        before = spark.conf.get(BATCH_BYTES)
+        spark.conf.set(BATCH_BYTES, str(batch_bytes))
+        try:
+            yield
+        finally:
+            spark.conf.set(BATCH_BYTES, before)
+
+
+def drop_table(spark: SparkSession, path: str):
+    """Remove one staged table that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stage(df: DataFrame, name: str, batch_bytes=None, **options) -> DataFrame:
     """Write ``df`` once and read it back.
 
     This cuts the lineage, survives lost executors, and gives the planner the
     true size of the table, so that it broadcasts only what is really small.
     Meanwhile Spark sends little more than ``batch_bytes`` to Python at once;
     the session's own setting holds if none are given, and again afterwards.
+    ``options`` go to the writer.
     """
     spark = df.sparkSession
     path = stage_path(spark, name)
-    before = spark.conf.get(BATCH_BYTES)
-    try:
-        if batch_bytes:
-            spark.conf.set(BATCH_BYTES, str(batch_bytes))
-        df.write.parquet(path)
-    finally:
-        if batch_bytes:
-            spark.conf.set(BATCH_BYTES, before)
+    with batches_of(spark, batch_bytes):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
