@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewloom.operators import term_counts
-from reviewloom.session import stage, stage_path
+from reviewloom.session import batches_of, stage, stage_path
 
 TEXT, WORDS, TERMS, TF, WEIGHTED, FEATURES = (
     f"_model_{name}" for name in ("text", "words", "terms", "tf", "weighted", "features")
@@ -156,7 +156,8 @@ def fit_features(
     stages = _term_stages(n_max)
     texts = train.select(F.col(text).alias(TEXT))
     texts = texts if staged else stage(texts, "texts")
-    rows = vocabulary(PipelineModel(stages[:1]).transform(texts), WORDS, min_df, max_features, n_max=n_max).collect()
+    with batches_of(texts.sparkSession, term_counts.SENT_AT_ONCE):
+        rows = vocabulary(PipelineModel(stages[:1]).transform(texts), WORDS, min_df, max_features, n_max=n_max).collect()
     if not rows:
         raise ValueError("no term occurs in enough documents")
     n = texts.count()

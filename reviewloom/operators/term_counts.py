@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 
 #: Words that a task holds to count their terms; a longer row is held whole.
 COUNTED_AT_ONCE = 1_000_000
+#: Bytes of words that go to a task at once: they are held beside the words that it counts.
+SENT_AT_ONCE = 4 * 2**20
 
 
 def _tally(terms, code, rows):

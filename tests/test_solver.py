@@ -7,9 +7,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewloom.operators import logistic, logistic_rows
+from reviewloom.operators import features as X
+from reviewloom.operators import logistic, logistic_rows, term_counts
 from reviewloom.session import BATCH_BYTES
 
 
@@ -77,6 +79,30 @@ def test_solver_rows_are_written_in_small_groups_and_removed(spark):
     assert not any(f.exists() for f in files) and spark.conf.get(BATCH_BYTES) == before
 
 
+def test_words_go_to_the_counting_tasks_in_small_batches(spark, monkeypatch):
+    counted = term_counts.count_in_blocks
+
+    def watched(n_max):
+        count, limit = counted(n_max), 3 * term_counts.SENT_AT_ONCE
+
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    if batch.get_total_buffer_size() > limit:
+                        raise ValueError(f"a batch of {batch.get_total_buffer_size()} bytes")
+                    yield batch
+
+            yield from count(seen())
+
+        return run
+
+    monkeypatch.setattr(term_counts, "count_in_blocks", watched)
+    df = spark.range(0, 2000, 1, 1).select(F.repeat(F.concat(F.lit("same words w"), F.col("id") % 7, F.lit(" ")), 1000).alias("text"))
+    before = spark.conf.get(BATCH_BYTES)
+    model = X.fit_features(df, "text", 2)
+    assert {"same", "words", "w6", "same words", "words w3"} <= set(X.feature_terms(model)) and spark.conf.get(BATCH_BYTES) == before
+
+
 def test_steps_remembered_save_passes(monkeypatch):
     rng = np.random.default_rng(3)
     turned = np.linalg.qr(rng.normal(size=(300, 300)))[0]
