@@ -28,7 +28,7 @@ from reviewloom.session import BATCH_BYTES, batches_of, drop_table, stage_path
 MEMORY = 60
 #: Bytes that go to Python at once, and that are written and read of a staged file at once.
 AT_ONCE = 4 * 2**20
-#: Tasks that add up the blocks of a pass.
+#: Tasks that add up the blocks of a pass, at most.
 SUMMING_TASKS = 5
 #: Few rows are some megabytes: Parquet's writer, which looks at its buffers every 100 rows, has to look at each.
 ROW_GROUPS = {
@@ -40,8 +40,8 @@ ROW_GROUPS = {
     "parquet.page.size.row.check.max": 1,
     "parquet.enable.dictionary": "false",
 }
-#: A task has this many entries at least, as long as the cores have two tasks each.
-ENTRIES_PER_TASK = 250_000
+#: A task has this many entries at least, as long as each core has a task: these take some 20 ms, and the task itself more.
+ENTRIES_PER_TASK = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -125,11 +125,11 @@ def minimise(evaluate, point, max_iter, tol, curvature=1.0):
 
 
 @contextmanager
-def staged(packed: DataFrame) -> Iterator[DataFrame]:
+def staged(packed: DataFrame, tasks: int) -> Iterator[DataFrame]:
     """Rows by ``pack``, written once and removed in the end.
 
     They are read in a session of its own: its settings hold for the passes alone,
-    of which each is one small job, with a task or two for each core.
+    of which each is one small job of some ``tasks`` tasks, and fewer that add up.
     """
     spark = packed.sparkSession
     path = stage_path(spark, "solver-rows")
@@ -138,7 +138,8 @@ def staged(packed: DataFrame) -> Iterator[DataFrame]:
     own = spark.newSession()
     own.conf.set(BATCH_BYTES, str(AT_ONCE))
     own.conf.set("spark.sql.adaptive.enabled", "false")
-    own.conf.set("spark.sql.shuffle.partitions", str(SUMMING_TASKS))
+    own.conf.set("spark.sql.shuffle.partitions", str(max(1, min(SUMMING_TASKS, tasks // 4))))
+    own.conf.set("spark.sql.files.minPartitionNum", str(tasks))
     own.conf.set("spark.sql.files.maxPartitionBytes", "1g")
     try:
         yield own.read.schema(packed.schema).parquet(path)

@@ -55,7 +55,7 @@ def fit_logistic(
     ends when no entry of the gradient is above ``tol`` per unit of weight; the
     model's ``training`` tells whether it did. Every step is a pass over the
     rows, which are staged as packed sparse lists until it ends. As many tasks read them as have
-    ``entries_per_task`` entries each, but two a core at most: each adds a vector of
+    ``entries_per_task`` entries each, but one a core at most: each adds a vector of
     the size of the weights to the sum of a pass.
     """
     parts = X.sparse_parts(features)
@@ -72,9 +72,9 @@ def fit_logistic(
     if facts.entries is None:
         raise ValueError("no rows to fit a model on")
     spark = train.sparkSession
-    tasks = max(1, min(facts.entries // entries_per_task, 2 * spark.sparkContext.defaultParallelism))
+    tasks = max(1, min(facts.entries // entries_per_task, spark.sparkContext.defaultParallelism))
     packed = rows.repartition(tasks).mapInArrow(logistic.pack, logistic.PACKED)
-    with logistic.staged(packed) as packed:
+    with logistic.staged(packed, tasks) as packed:
         weights, intercepts, training = logistic.fit(packed, facts[2:], facts.width, 1.0 / c, max_iter, tol)
     columns = {"featuresCol": features, "labelCol": LABEL, "weightCol": WEIGHT, "rawPredictionCol": RAW}
     columns |= {"probabilityCol": PROBABILITY, "predictionCol": PREDICTION, "maxIter": max_iter, "tol": tol}

@@ -71,11 +71,12 @@ def test_solver_rows_are_written_in_small_groups_and_removed(spark):
 
     packed = spark.range(0, 40, 1, 1).mapInArrow(made, schema)
     before = spark.conf.get(BATCH_BYTES)
-    with logistic.staged(packed) as rows:
+    with logistic.staged(packed, 3) as rows:
         files = [Path(f.removeprefix("file:")) for f in rows.inputFiles()]
         groups = [pq.ParquetFile(f).metadata.row_group(g) for f in files for g in range(pq.ParquetFile(f).metadata.num_row_groups)]
         assert max(g.total_byte_size for g in groups) < 3 * logistic.AT_ONCE and sum(g.num_rows for g in groups) == 40
         assert rows.sparkSession.conf.get(BATCH_BYTES) == str(logistic.AT_ONCE) and rows.count() == 40
+        assert rows.rdd.getNumPartitions() >= 3
     assert not any(f.exists() for f in files) and spark.conf.get(BATCH_BYTES) == before
 
 
