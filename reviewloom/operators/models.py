@@ -245,20 +245,23 @@ def run_experiments(
 ) -> DataFrame:
     """Fit every configuration on ``train`` and measure it on ``val``.
 
-    One row per configuration. Configurations that read the same terms share
-    one staged feature table. ``parallelism`` fits run side by side, as a pass
-    of one alone leaves cores idle between its jobs.
+    One row per configuration. Configurations that read the same text share
+    staged texts, and those that read the same terms one staged feature table.
+    ``parallelism`` fits run side by side, as a pass of one alone leaves cores
+    idle between its jobs.
     """
     spark = train.sparkSession
-    staged = {}
+    texts, staged = {}, {}
     fits = []
     for config in grid:
         started = time.monotonic()
         key = (config["text_option"], config["n_max"])
+        if key[0] not in texts:
+            text = model_text(key[0], text_mode).alias("_text")
+            texts[key[0]] = [stage(training_rows(df, label).select(label, LABEL, text), "model-texts") for df in (train, val)]
         if key not in staged:
-            text = model_text(config["text_option"], text_mode).alias("_text")
-            parts = [training_rows(df, label).select(label, LABEL, text) for df in (train, val)]
-            fitted = X.fit_features(parts[0], "_text", config["n_max"], min_df, max_features)
+            parts = texts[key[0]]
+            fitted = X.fit_features(parts[0], "_text", config["n_max"], min_df, max_features, staged=True)
             vectors = [
                 stage(X.transform_features(fitted, p, "_text").select(label, LABEL, X.FEATURES), "vectors")
                 for p in parts

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from reviewloom.operators import features as X
 from reviewloom.operators import logistic, logistic_rows, term_counts
+from reviewloom.operators import models as M
 from reviewloom.session import BATCH_BYTES
 
 
@@ -114,3 +115,19 @@ def test_steps_remembered_save_passes(monkeypatch):
     monkeypatch.setattr(logistic, "MEMORY", 20)
     _, before = logistic.minimise(bowl, begin, 1000, 1e-5)
     assert training.converged and np.abs(point).max() < 1e-4 and training.passes < 0.8 * before.passes
+
+
+def test_experiments_make_each_text_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        made.add(1)
+        return text
+
+    rows = [(i, ("Positive", "Negative", "Neutral")[i % 3], f"good{i % 3} words here {i % 2}") for i in range(30)]
+    df = spark.createDataFrame(rows, "review_id int, sentiment string, text string").withColumn("review_title", F.lit("t"))
+    train, val = (df.filter(c).withColumn("review_body", counted("text")) for c in ("review_id < 20", "review_id >= 20"))
+    results = M.run_experiments(train, val, max_iter=1).collect()
+    assert made.value == 2 * len(rows)  # once for each text option
+    assert [(r.n_train, r.n_val) for r in results] == [(20, 10)] * 5
