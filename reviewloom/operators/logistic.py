@@ -30,7 +30,8 @@ MEMORY = 60
 AT_ONCE = 4 * 2**20
 #: Tasks that add up the blocks of a pass, at most.
 SUMMING_TASKS = 5
-#: Few rows are some megabytes: Parquet's writer, which looks at its buffers every 100 rows, has to look at each.
+#: Few rows are some megabytes: Parquet's writer, which looks at its buffers every 100 rows, has to look at each,
+#: and may not keep the least and greatest value of each group, whole rows, until the file ends.
 ROW_GROUPS = {
     "parquet.block.size": AT_ONCE,
     "parquet.page.size": AT_ONCE,
@@ -39,6 +40,7 @@ ROW_GROUPS = {
     "parquet.page.size.row.check.min": 1,
     "parquet.page.size.row.check.max": 1,
     "parquet.enable.dictionary": "false",
+    "parquet.column.statistics.enabled": "false",
 }
 #: A task has this many entries at least, as long as each core has a task: these take some 20 ms, and the task itself more.
 ENTRIES_PER_TASK = 1_000_000

@@ -76,6 +76,8 @@ def test_solver_rows_are_written_in_small_groups_and_removed(spark):
         files = [Path(f.removeprefix("file:")) for f in rows.inputFiles()]
         groups = [pq.ParquetFile(f).metadata.row_group(g) for f in files for g in range(pq.ParquetFile(f).metadata.num_row_groups)]
         assert max(g.total_byte_size for g in groups) < 3 * logistic.AT_ONCE and sum(g.num_rows for g in groups) == 40
+        # the least and greatest value of every group would stay in memory until the file ends
+        assert all(g.column(c).statistics is None for g in groups for c in range(g.num_columns))
         assert rows.sparkSession.conf.get(BATCH_BYTES) == str(logistic.AT_ONCE) and rows.count() == 40
         assert rows.rdd.getNumPartitions() >= 3
     assert not any(f.exists() for f in files) and spark.conf.get(BATCH_BYTES) == before
